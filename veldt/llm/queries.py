@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, line_crf
+from . import exact_dedup, line_crf, mixing
 
 QUERIES = {
     "op4_exact_dedup": exact_dedup.op4_exact_dedup,
     "op5_quality_crf": line_crf.op5_quality_crf,
+    "op8_mix_sources": mixing.op8_mix_sources,
 }
 ORACLE_SQL = {
     "op4_exact_dedup": exact_dedup.OP4_SQL,
