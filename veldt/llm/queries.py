@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, line_crf, mixing
+from . import exact_dedup, line_crf, mixing, packing
 
 QUERIES = {
     "op4_exact_dedup": exact_dedup.op4_exact_dedup,
     "op5_quality_crf": line_crf.op5_quality_crf,
     "op8_mix_sources": mixing.op8_mix_sources,
+    "op2_pack_best_fit": packing.op2_pack_best_fit,
 }
 ORACLE_SQL = {
     "op4_exact_dedup": exact_dedup.OP4_SQL,
