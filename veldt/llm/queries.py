@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, line_crf, mixing, packing
+from . import exact_dedup, line_crf, mixing, ngram_join, packing
 
 QUERIES = {
     "op4_exact_dedup": exact_dedup.op4_exact_dedup,
     "op5_quality_crf": line_crf.op5_quality_crf,
     "op8_mix_sources": mixing.op8_mix_sources,
+    "op9_ngram_jaccard": ngram_join.op9_ngram_jaccard,
     "op2_pack_best_fit": packing.op2_pack_best_fit,
 }
 ORACLE_SQL = {
     "op4_exact_dedup": exact_dedup.OP4_SQL,
+    "op9_ngram_jaccard": ngram_join.OP9_SQL,
 }
