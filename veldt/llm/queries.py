@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import byte_cnn, exact_dedup, line_crf, mixing, ngram_join, packing
+from . import byte_cnn, exact_dedup, line_crf, mixing, ngram_join, packing, sanitise
 
 QUERIES = {
     "op4_exact_dedup": exact_dedup.op4_exact_dedup,
     "op5_quality_crf": line_crf.op5_quality_crf,
+    "op6_pii_sanitise": sanitise.op6_pii_sanitise,
     "op8_mix_sources": mixing.op8_mix_sources,
     "op9_ngram_jaccard": ngram_join.op9_ngram_jaccard,
     "op10_language_id": byte_cnn.op10_language_id,
