@@ -104,7 +104,12 @@ def shard_draw(totals: np.ndarray, shards: int, shard: int, seed: int) -> tuple[
 
 @dataclass(frozen=True)
 class Mix:
-    """placed: (id, source, rank, size, start) of each document; slots: (shard, position, rank, epoch, block); sources: rows of the plan."""
+    """What a mix is made of.
+
+    Catalyst takes the slots for as small as the range of shards that they are
+    drawn from, so joins on them carry a merge hint: they must not be broadcast.
+
+    placed: (id, source, rank, size, start) of each document; slots: (shard, position, rank, epoch, block); sources: rows of the plan."""
 
     placed: DataFrame
     slots: DataFrame
@@ -192,7 +197,7 @@ def mix_sources(
 
 def mixed_shards(plan: Mix) -> DataFrame:
     """The output shards: which words of which document stand at which position."""
-    return plan.slots.join(plan.segments, ["rank", "block"]).select("shard", "position", "epoch", "id", "first_word", "words")
+    return plan.segments.join(plan.slots.hint("merge"), ["rank", "block"]).select("shard", "position", "epoch", "id", "first_word", "words")
 
 
 RANGES = "array<struct<first_word:bigint,words:bigint>>"
@@ -247,7 +252,7 @@ def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     plan = mix_sources(read_table(spark, sf_dir, "documents"))
     counts = plan.slots.groupBy("rank", "block").agg(F.count("*").alias("times"))
     taken = (
-        plan.segments.join(counts, ["rank", "block"])
+        plan.segments.join(counts.hint("merge"), ["rank", "block"])
         .groupBy(F.col("rank").alias("t_rank"), F.col("start").alias("t_start"))
         .agg(F.sum(F.col("words") * F.col("times")).alias("taken"))
     )
