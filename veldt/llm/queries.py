@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import byte_cnn, cross_entropy, exact_dedup, line_crf, mixing, ngram_join, packing, sanitise
+from . import byte_cnn, cross_entropy, exact_dedup, line_crf, mixing, ngram_join, packing, paragraphs, sanitise
 
 QUERIES = {
     "op4_exact_dedup": exact_dedup.op4_exact_dedup,
     "op5_quality_crf": line_crf.op5_quality_crf,
     "op6_pii_sanitise": sanitise.op6_pii_sanitise,
+    "op7_paragraph_minhash": paragraphs.op7_paragraph_minhash,
     "op8_mix_sources": mixing.op8_mix_sources,
     "op9_ngram_jaccard": ngram_join.op9_ngram_jaccard,
     "op10_language_id": byte_cnn.op10_language_id,
