@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import byte_cnn, cross_entropy, exact_dedup, line_crf, mixing, ngram_join, packing, paragraphs, sanitise
+from . import byte_cnn, cross_entropy, exact_dedup, line_crf, mixing, ngram_join, packing, paragraphs, quotations, sanitise
 
 QUERIES = {
     "op4_exact_dedup": exact_dedup.op4_exact_dedup,
@@ -12,6 +12,7 @@ QUERIES = {
     "op8_mix_sources": mixing.op8_mix_sources,
     "op9_ngram_jaccard": ngram_join.op9_ngram_jaccard,
     "op10_language_id": byte_cnn.op10_language_id,
+    "op1_quotation_linking": quotations.op1_quotation_linking,
     "op2_pack_best_fit": packing.op2_pack_best_fit,
     "op3_cross_entropy_difference": cross_entropy.op3_cross_entropy_difference,
 }
