@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+from . import feature_queries, index_queries, metric_queries
 
 FLAGSHIP = "grouped_auc"
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
+for part in (feature_queries, metric_queries, index_queries):
+    QUERIES |= part.QUERIES
+    ORACLE_SQL |= part.ORACLE_SQL
