@@ -24,12 +24,16 @@ def prepare(spark: SparkSession) -> SparkSession:
 
 
 def input_bytes(df: DataFrame) -> int:
-    """Catalyst's estimate of the size of a plan; 0 where it has none."""
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return size if size < 1 << 56 else 0
+    """Catalyst's estimate of the size of a plan's sources; those without one, as checkpoints, count nothing.
+
+    Estimates of whole plans won't do: Catalyst takes a join for as large as the product of its sides.
+    """
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
+    return sum(s for s in sizes if s < 1 << 56)
 
 
-def bucket_count(df: DataFrame, bytes_each: int = 16 << 20) -> int:
+def bucket_count(df: DataFrame, bytes_each: int = 8 << 20) -> int:
     """How many hash buckets bring one bucket's share of the input to about `bytes_each`."""
     shuffle = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return max(shuffle, -(-input_bytes(df) // bytes_each))
