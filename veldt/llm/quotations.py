@@ -125,16 +125,22 @@ def link_quotations(conversations: DataFrame) -> DataFrame:
         .select("conv_id", "turn", F.coalesce("linked", "previous").alias("reply_to"), F.coalesce("n_linked", F.lit(0)).alias("n_linked"))
         .checkpoint()
     )
-    # pointer doubling: up is where the chain leads after some replies, depth how many
-    chain = replies.select("conv_id", "turn", "reply_to", F.coalesce("reply_to", "turn").alias("up"), F.col("reply_to").isNotNull().cast("long").alias("depth")).checkpoint()
-    while True:
-        above = chain.select("conv_id", F.col("turn").alias("up"), F.col("up").alias("up2"), F.col("depth").alias("more"))
-        chain = chain.drop("more").join(above, ["conv_id", "up"]).select("conv_id", "turn", "reply_to", F.col("up2").alias("up"), (F.col("depth") + F.col("more")).alias("depth"), F.col("more")).checkpoint()
-        if chain.where("more > 0").select("more").first() is None:
-            break
+    # pointer doubling: up is where the chain leads after some replies, depth how many; rows that lead to a first turn are done
+    parent = F.col("reply_to")
+    chain = replies.select("conv_id", "turn", F.coalesce(parent, "turn").alias("up"), parent.isNotNull().cast("long").alias("depth"), parent.isNull().alias("done")).checkpoint()
+    done, still = chain.where("done"), chain.where("not done")
+    while still.select("turn").first() is not None:
+        above = done.unionByName(still).select("conv_id", F.col("turn").alias("up"), F.col("up").alias("up2"), F.col("depth").alias("more"), F.col("done").alias("done2"))
+        moved = (
+            still.drop("done")
+            .join(above, ["conv_id", "up"])
+            .select("conv_id", "turn", F.col("up2").alias("up"), (F.col("depth") + F.col("more")).alias("depth"), F.col("done2").alias("done"))
+            .checkpoint()
+        )
+        done, still = done.unionByName(moved.where("done")), moved.where("not done")
     found = (
-        chain.select("conv_id", "turn", "reply_to", F.col("up").alias("thread"), "depth")
-        .join(replies.select("conv_id", "turn", "n_linked"), ["conv_id", "turn"])
+        done.select("conv_id", "turn", F.col("up").alias("thread"), "depth")
+        .join(replies, ["conv_id", "turn"])
         .join(counted, ["conv_id", "turn"], "left")
         .join(outside, ["conv_id", "turn"], "left")
     )
