@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 
 #: A task sends what it holds after this many keys.
-FLUSH_KEYS = 1_500_000
+FLUSH_KEYS = 750_000
 
 RUNS = "bucket int, owner binary, total binary, count binary, keys binary"
 RUNS_ARROW = pa.schema([("bucket", pa.int32()), ("owner", pa.binary()), ("total", pa.binary()), ("count", pa.binary()), ("keys", pa.binary())])
