@@ -36,7 +36,7 @@ def _auc_of_counts(counts: DataFrame, keys: list[str]) -> DataFrame:
 def auc(df: DataFrame, score: str, label: str, weight: str | None = None, buckets: int = 64) -> DataFrame:
     """Exact AUC.  Scores are ranged into buckets, so that no single task ranks all of them."""
     counts = _rank_counts(df, [], D(score), D(label), D(weight) if weight else None)
-    edges = sorted(set(counts.approxQuantile("__s", [i / buckets for i in range(1, buckets)], 0.001)))
+    edges = sorted(set(counts.approxQuantile("__s", [i / buckets for i in range(1, buckets)], 0.001))) if buckets > 1 else []
     bounds = F.array(*[F.lit(float(e)) for e in edges]) if edges else F.array().cast("array<double>")
     ranged = counts.withColumn("__b", F.size(F.filter(bounds, lambda b: b <= F.col("__s"))))
     totals = ranged.groupBy("__b").agg(F.sum("__n").alias("__bn"))
@@ -154,7 +154,7 @@ def xauc(df: DataFrame, prediction: str, target: str, batch: str | None = None,
     # rows are dealt into places by a hash, `pairs` times; neighbours in a dealing are the drawn pairs
     rows = df.select(D(prediction).alias("p"), D(target).alias("t"), F.monotonically_increasing_id().alias("i"))
     dealt = rows.select("p", "t", F.explode(F.sequence(F.lit(1), F.lit(pairs))).alias("r"), "i").withColumn("h", F.xxhash64("i", "r", F.lit(seed)))
-    cells = dealt.withColumn("c", F.shiftright("h", 44))
+    cells = dealt.withColumn("c", F.pmod("h", F.lit(max(1, rows.count() // 1000))))  # about 1000 rows to a task's group
     w = Window.partitionBy("r", "c").orderBy("h")
     both = cells.withColumn("p2", F.lead("p").over(w)).withColumn("t2", F.lead("t").over(w)).where("p2 is not null")
     return both.agg(F.avg((((F.col("t") - F.col("t2")) * (F.col("p") - F.col("p2"))) > 0).cast("double")).alias("xauc"))
