@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .session import prepare, read_table
+from .session import free_name, prepare, read_table
 from .textops import chunks
 
 #: About so many labelled texts of each language are fetched to train, by a hash of the text's id; a fixed bound of the model.
@@ -200,7 +200,7 @@ def identify(docs: DataFrame, net: ByteNet | None, keep: list[str], text_col: st
                     scores[lettered] = score[lettered]
                 yield pa.RecordBatch.from_arrays([*part.columns[: len(keep)], pa.array(names.tolist(), pa.string()), pa.array(scores)], names=[*keep, "lang_pred", "score"])
 
-    return docs.select(*keep, F.col(text_col).alias("__text")).mapInArrow(run, schema)
+    return docs.select(*keep, F.col(text_col).alias(free_name(docs, "__text"))).mapInArrow(run, schema)
 
 
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .session import saved
+
 
 def _state(edges: DataFrame) -> tuple[int, int]:
     row = edges.agg(
@@ -18,7 +20,7 @@ def _larger_first(a: Column, b: Column) -> list[Column]:
     return [F.greatest(a, b).alias("u"), F.least(a, b).alias("v")]
 
 
-def connected_components(edges: DataFrame, a: str, b: str) -> DataFrame:
+def connected_components(edges: DataFrame, a: str, b: str, rows: int | None = None) -> DataFrame:
     """(node, component) for every node of an edge; component is the smallest node reached.
 
     Edges may repeat, run in either direction and be loops.  Each round is two
@@ -26,11 +28,13 @@ def connected_components(edges: DataFrame, a: str, b: str) -> DataFrame:
     summed up before it is shuffled, and its edges are an ordinary join side,
     which adaptive execution can split.  Rounds end when the edges stay the
     same; each is checkpointed, so lineage stays short and a lost executor
-    costs one round at most.
+    costs one round at most.  No round has more edges than the one before;
+    `rows` is about how many there are at first, if that is known.
     """
     e = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u is not null and v is not null")
     loops = e.where("u = v").select(F.col("u").alias("node")).distinct()
-    e = e.where("u <> v").select(*_larger_first(F.col("u"), F.col("v"))).distinct().checkpoint()
+    e = e.where("u <> v").select(*_larger_first(F.col("u"), F.col("v"))).distinct()
+    e = saved(e, rows)
     before = _state(e)
     while before[0]:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -38,7 +42,7 @@ def connected_components(edges: DataFrame, a: str, b: str) -> DataFrame:
         e = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         low = e.groupBy("u").agg(F.min("v").alias("m"))
         moved = e.join(low, "u").where("v <> m").select(*_larger_first(F.col("v"), F.col("m")))
-        e = moved.unionByName(low.select("u", F.col("m").alias("v"))).distinct().checkpoint()
+        e = saved(moved.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), before[0])
         after = _state(e)
         if after == before:
             break

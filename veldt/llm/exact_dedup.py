@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .session import bucket_count, prepare, read_table
+from .session import bucket_count, prepare, read_table, saved
 from .textops import mix
 
 SPACES = r"[\x20\x09-\x0D]+"
@@ -139,23 +139,19 @@ def _grouped(keys: DataFrame, buckets: int) -> DataFrame:
     )
 
 
-def build_snapshot(keys: DataFrame, buckets: int) -> Snapshot:
-    """A snapshot of rows (id, digest)."""
-    index = _grouped(keys, buckets).checkpoint()
+def build_snapshot(keys: DataFrame, buckets: int, rows: int | None = None) -> Snapshot:
+    """A snapshot of rows (id, digest), of which there are at most `rows`."""
+    index = saved(_grouped(keys, buckets), rows)
     filters = index.select("bucket", "key").groupBy("bucket").applyInPandas(_build_bucket, "bucket int, seed string, segment long, span long, prints binary")
     return Snapshot(index, filters, buckets)
 
 
-def match_batch(batch: DataFrame, snapshot: Snapshot) -> DataFrame:
+def match_batch(batch: DataFrame, snapshot: Snapshot, rows: int | None = None) -> DataFrame:
     """(digest, keep_id, group_size) over the snapshot and a batch of rows (id, digest)."""
     new = _grouped(batch, snapshot.buckets)
     asked = new.select("bucket", "key", "digest")
     positive = asked.groupBy("bucket").cogroup(snapshot.filters.groupBy("bucket")).applyInPandas(_screen_bucket, asked.schema)
-    hits = (
-        positive.select("digest")
-        .join(snapshot.index.select("digest", F.col("keep_id").alias("old_id"), F.col("n").alias("old_n")), "digest")
-        .checkpoint()
-    )
+    hits = saved(positive.select("digest").join(snapshot.index.select("digest", F.col("keep_id").alias("old_id"), F.col("n").alias("old_n")), "digest"), rows)
     fresh = (
         new.join(hits, "digest", "left")
         .select("digest", F.least("keep_id", "old_id").alias("keep_id"), (F.col("n") + F.coalesce("old_n", F.lit(0))).alias("group_size"))
@@ -178,11 +174,12 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     texts = docs.select(F.col(id_col).alias("id"), normalised(F.col(text_col)).alias("norm"))
     texts = texts.withColumn("digest", digest(F.col("norm")))
     keys = texts.select("id", "digest").checkpoint()
+    rows = keys.count()
     if old is None:
         edge = keys.agg(((F.min("id") + F.max("id")) / 2).alias("x")).first()["x"]
         old = F.col("id") <= F.lit(edge if edge is not None else 0)
-    snapshot = build_snapshot(keys.where(old), bucket_count(docs))
-    copies = match_batch(keys.where(~old), snapshot).where("group_size > 1").select("digest").checkpoint()
+    snapshot = build_snapshot(keys.where(old), bucket_count(docs), rows)
+    copies = saved(match_batch(keys.where(~old), snapshot, rows).where("group_size > 1").select("digest"), rows)
     held = F.broadcast(copies) if copies.count() <= BROADCAST_DIGESTS else copies
     once = Window.partitionBy("digest")
     classes = (
@@ -191,8 +188,8 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         .agg(F.min("id").alias("keep_id"), F.count("*").alias("group_size"))
         .withColumn("n_texts", F.count("*").over(once))
         .select("digest", "keep_id", "group_size", F.when(F.col("n_texts") > 1, F.col("norm")).alias("norm"))
-        .checkpoint()
     )
+    classes = saved(classes, rows, 10_000)
     out = keys.join(classes.where("norm is null").drop("norm"), "digest", "left")
     collided = classes.where("norm is not null")
     if collided.select("digest").first() is not None:

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .session import prepare, read_table
+from .session import free_name, prepare, read_table
 from .textops import chunks, mix, span_hashes, utf8, words
 
 #: At most so many labelled documents are fetched to fit the field, by a hash of their id.
@@ -290,7 +290,7 @@ def label_lines(docs: DataFrame, field: LineField, text_col: str = "text", keep:
     are judged alike; an empty table gives an empty result.
     """
     keep = docs.columns if keep is None else keep
-    chosen = docs.select(*[F.col(c) for c in keep], F.col(text_col).alias("__text"))
+    chosen = docs.select(*[F.col(c) for c in keep], F.col(text_col).alias(free_name(docs, "__text")))
     schema = T.StructType([docs.schema[c] for c in keep] + ([] if only_kept else list(MEASURES)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

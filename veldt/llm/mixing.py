@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .session import prepare, read_table
+from .session import free_name, prepare, read_table, saved
 from .textops import chunks, mix, words
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -31,7 +31,7 @@ BLOCK_WORDS = 128
 SLOTS_PER_SHARD = 4096
 #: The plan holds one row per source on the driver; more sources than this are an error.
 MAX_SOURCES = 100_000
-ROWS_PER_BUCKET = 5_000
+ROWS_PER_BUCKET = 2_000
 WEIGHTS = (3.0, 1.0, 2.0)
 SHARE, MAX_REPEATS = 1.5, 2
 
@@ -117,10 +117,9 @@ class Mix:
     sources: list[dict]
 
 
-def _placed(docs: DataFrame, id_col: str, text_col: str, source_col: str, ranks: DataFrame, sized: DataFrame, rows: int) -> DataFrame:
-    """Word offsets of the documents within their source's stream, by two-level prefix sums."""
-    buckets = max(1, rows // ROWS_PER_BUCKET)
-    keyed = sized.join(F.broadcast(ranks), F.col("source").eqNullSafe(F.col("r_source"))).withColumn("bucket", F.pmod(F.xxhash64("id"), F.lit(buckets)).cast("int"))
+def _placed(ranks: DataFrame, sized: DataFrame, rows: int) -> DataFrame:
+    """Word offsets of the documents within their source's stream, by two-level prefix sums; large sources have more buckets."""
+    keyed = sized.join(F.broadcast(ranks), F.col("source").eqNullSafe(F.col("r_source"))).withColumn("bucket", F.pmod(F.xxhash64("id"), F.col("buckets")).cast("int"))
     base = (
         keyed.groupBy("rank", "bucket")
         .agg(F.sum("size").alias("n"))
@@ -128,12 +127,9 @@ def _placed(docs: DataFrame, id_col: str, text_col: str, source_col: str, ranks:
         .select("rank", "bucket", F.coalesce("base", F.lit(0)).alias("base"))
     )
     before = Window.partitionBy("rank", "bucket").orderBy("id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    return (
-        keyed.withColumn("inner", F.coalesce(F.sum("size").over(before), F.lit(0)))
-        .join(base, ["rank", "bucket"])
-        .select("id", "source", "rank", "size", (F.col("base") + F.col("inner")).alias("start"))
-        .checkpoint()
-    )
+    inner = keyed.withColumn("inner", F.coalesce(F.sum("size").over(before), F.lit(0)))
+    placed = inner.join(base, ["rank", "bucket"]).select("id", "source", "rank", "size", (F.col("base") + F.col("inner")).alias("start"))
+    return saved(placed, rows, 20_000)
 
 
 def mix_sources(
@@ -159,8 +155,8 @@ def mix_sources(
     for i, (r, size, target) in enumerate(zip(found, sizes, targets, strict=True)):
         blocks = -(-size // block_words)
         sources.append({"rank": i, "source": r["source"], "size": size, "target": target, "blocks": blocks, "slots": min(max_repeats * blocks, round(target * blocks / size)) if size else 0})
-    ranks = spark.createDataFrame([(s["rank"], s["source"]) for s in sources], "rank int, r_source string")
-    placed = _placed(docs, id_col, text_col, source_col, ranks, sized, sum(r["rows"] for r in found))
+    ranks = spark.createDataFrame([(s["rank"], s["source"], -(-r["rows"] // ROWS_PER_BUCKET)) for s, r in zip(sources, found)], "rank int, r_source string, buckets int")
+    placed = _placed(ranks, sized, sum(r["rows"] for r in found))
     totals, blocks = np.array([s["slots"] for s in sources], np.int64), [s["blocks"] for s in sources]
     shards = max(1, -(-int(totals.sum()) // SLOTS_PER_SHARD))
 
@@ -214,9 +210,9 @@ def mixed_documents(docs: DataFrame, plan: Mix, id_col: str = "doc_id", text_col
         mixed_shards(plan)
         .groupBy("id", "epoch")
         .agg(F.sort_array(F.collect_list(F.struct("first_word", "words"))).alias("ranges"))
-        .select(F.col("id").alias("__id"), "epoch", "ranges")
+        .select("id", "ranges")
     )
-    rows = docs.join(taken, F.col(id_col) == F.col("__id")).select(*docs.columns, "ranges")
+    rows = docs.join(taken, docs[id_col] == taken["id"]).select(*[docs[c] for c in docs.columns], taken["ranges"].alias(free_name(docs, "__ranges")))
     names = docs.columns
     schema = T.StructType([docs.schema[c] for c in names])
 

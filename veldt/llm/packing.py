@@ -23,8 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .session import prepare, read_table
-from .textops import mix
+from .session import prepare, read_table, saved
+from .textops import mix, release_memory
 
 CAPACITY = 1024
 END_ID = 2
@@ -54,8 +54,13 @@ def load_encoder(spec: bytes):
     """
     from tokenizers import Tokenizer
 
-    plain = Tokenizer.from_str(spec.decode())
-    slow = lambda text: np.array(plain.encode(text, add_special_tokens=False).ids, np.uint32)
+    plain = []
+
+    def slow(text: str) -> np.ndarray:
+        if not plain:  # seldom needed, and large
+            plain.append(Tokenizer.from_str(spec.decode()))
+        return np.array(plain[0].encode(text, add_special_tokens=False).ids, np.uint32)
+
     d = json.loads(spec)
     model, before, added = d["model"], d.get("pre_tokenizer") or {}, d.get("added_tokens") or []
     vocab = model.get("vocab")
@@ -107,6 +112,7 @@ def tokenised_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPAC
     schema = f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, deal long" + ", ids array<int>" * with_ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_memory()
         encode, seen = load_encoder(spec), 0
         for batch in batches:
             rows = []
@@ -266,7 +272,8 @@ def pack_pieces(pieces: DataFrame, capacity: int = CAPACITY, per_shard: int = PI
 
         return run
 
-    state = dealt.select("shard", "length").groupBy("shard").applyInPandas(begin, STATE).checkpoint()
+    state = dealt.select("shard", "length").groupBy("shard").applyInPandas(begin, STATE)
+    state = saved(state, shards, 1)
     best = lambda: state.groupBy("shard").agg(F.min_by(F.col("population")[0], F.struct("bins", "island")).alias("grouping"), F.min("bins").alias("bins"), F.min("bound").alias("bound"))
     done = []
     for number in range(epochs):
@@ -276,7 +283,7 @@ def pack_pieces(pieces: DataFrame, capacity: int = CAPACITY, per_shard: int = PI
             break
         done.append(state.join(still, "shard", "left_anti"))
         elites = opened.select("shard", F.pmod(F.col("island") + 1, F.lit(islands)).cast("int").alias("island"), F.col("population")[0].alias("elite"))
-        state = opened.join(elites, ["shard", "island"]).mapInPandas(epoch(number), STATE).checkpoint()
+        state = saved(opened.join(elites, ["shard", "island"]).mapInPandas(epoch(number), STATE), shards, 1)
     for rows in done:
         state = state.unionByName(rows)
 

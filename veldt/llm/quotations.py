@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .session import prepare, read_table
+from .session import prepare, read_table, saved
 
 MARKS = r"(?:[ \t]?>)"
 QUOTED = rf"(?m)^{MARKS}"
@@ -60,12 +60,13 @@ def quoted_passages(messages: DataFrame) -> DataFrame:
     )
 
 
-def _previous(turns: DataFrame) -> DataFrame:
+def _previous(turns: DataFrame, count: int) -> DataFrame:
     """(conv_id, turn, previous) of distinct turns; null for a conversation's first."""
     before = turns.select("conv_id", (F.col("turn") + 1).alias("turn"), F.col("turn").alias("previous"))
     joined = turns.join(before, ["conv_id", "turn"], "left")
     first = turns.groupBy("conv_id").agg(F.min("turn").alias("first"))
-    gaps = joined.where("previous is null").join(first, "conv_id").where("turn > first").select("conv_id").distinct().checkpoint()
+    gaps = joined.where("previous is null").join(first, "conv_id").where("turn > first").select("conv_id").distinct()
+    gaps = saved(gaps, count)
     if gaps.select("conv_id").first() is None:
         return joined
     lagged = turns.join(gaps, "conv_id", "left_semi").withColumn("previous", F.lag("turn").over(Window.partitionBy("conv_id").orderBy("turn")))
@@ -86,12 +87,13 @@ def link_quotations(conversations: DataFrame) -> DataFrame:
     result.
     """
     prepare(conversations.sparkSession)
+    count = conversations.count()
     rows = conversations.select("conv_id", "turn", "role", F.coalesce("text", F.lit("")).alias("text"))
     known = rows.where("conv_id is not null and turn is not null")
     bare = known.select("conv_id", "turn", unquoted(F.col("text")).alias("body"))
     passages = quoted_passages(known).distinct().checkpoint()
     asked = passages.select("conv_id", "turn", "level", "passage", F.explode(parts(F.col("body"))).alias("p")).select("conv_id", "turn", "level", "passage", "p.*").checkpoint()
-    turns = known.select("conv_id", "turn").distinct().checkpoint()
+    turns = saved(known.select("conv_id", "turn").distinct(), count)
     if asked.select("turn").first() is None:
         links = turns.select("conv_id", "turn", F.lit(None).cast(turns.schema["turn"].dataType).alias("linked"), F.lit(0).alias("n_linked")).where(F.lit(False))
         outside = turns.select("conv_id", "turn", F.col("conv_id").alias("quoted_conv"), F.col("turn").alias("quoted_turn")).where(F.lit(False))
@@ -120,14 +122,15 @@ def link_quotations(conversations: DataFrame) -> DataFrame:
         )
     counted = passages.groupBy("conv_id", "turn").agg(F.count("*").alias("n_passages"))
     replies = (
-        _previous(turns)
+        _previous(turns, count)
         .join(links, ["conv_id", "turn"], "left")
         .select("conv_id", "turn", F.coalesce("linked", "previous").alias("reply_to"), F.coalesce("n_linked", F.lit(0)).alias("n_linked"))
-        .checkpoint()
     )
+    replies = saved(replies, count)
     # pointer doubling: up is where the chain leads after some replies, depth how many; rows that lead to a first turn are done
     parent = F.col("reply_to")
-    chain = replies.select("conv_id", "turn", F.coalesce(parent, "turn").alias("up"), parent.isNotNull().cast("long").alias("depth"), parent.isNull().alias("done")).checkpoint()
+    chain = replies.select("conv_id", "turn", F.coalesce(parent, "turn").alias("up"), parent.isNotNull().cast("long").alias("depth"), parent.isNull().alias("done"))
+    chain = saved(chain, count)
     done, still = chain.where("done"), chain.where("not done")
     while still.select("turn").first() is not None:
         above = done.unionByName(still).select("conv_id", F.col("turn").alias("up"), F.col("up").alias("up2"), F.col("depth").alias("more"), F.col("done").alias("done2"))
@@ -135,8 +138,8 @@ def link_quotations(conversations: DataFrame) -> DataFrame:
             still.drop("done")
             .join(above, ["conv_id", "up"])
             .select("conv_id", "turn", F.col("up2").alias("up"), (F.col("depth") + F.col("more")).alias("depth"), F.col("done2").alias("done"))
-            .checkpoint()
         )
+        moved = saved(moved, count)
         done, still = done.unionByName(moved.where("done")), moved.where("not done")
     found = (
         done.select("conv_id", "turn", F.col("up").alias("thread"), "depth")

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .session import prepare, read_table
+from .session import free_name, prepare, read_table, saved
 
 KINDS = ("email", "ip", "card", "phone")
 _LOCAL = "[A-Za-z0-9._%+-]"
@@ -107,13 +107,13 @@ def disclosing_terms(docs: DataFrame, spans: DataFrame, text_col: str = "text",
     value = F.when(F.col("kind").isin("card", "phone"), _digits(F.col("hit"))).otherwise(F.lower("hit"))
     words = F.regexp_extract_all(F.lower(F.concat_ws(" ", "left", "right")), F.lit(TERM), F.lit(0))
     near = spans.select("id", "h", F.concat_ws(":", "kind", value).alias("entity"), words.alias("words"))
+    rows = spans.count()
     one_per_doc = near.select("id", "h", "entity").distinct()
     entities = one_per_doc.groupBy("entity").agg(F.count("*").alias("df_e"), F.count_distinct("h").alias("texts")).where(F.col("texts") >= support).drop("texts")
-    pairs = near.join(entities, "entity").select("id", "h", "entity", "df_e", F.explode("words").alias("term")).distinct().checkpoint()
-    together = (
-        pairs.groupBy("entity", "df_e", "term").agg(F.count("*").alias("df_te"), F.count_distinct("h").alias("texts")).where(F.col("texts") >= support).drop("texts").checkpoint()
-    )
-    terms = together.select("term").distinct().checkpoint()
+    pairs = saved(near.join(entities, "entity").select("id", "h", "entity", "df_e", F.explode("words").alias("term")).distinct(), rows, 5_000)
+    together = pairs.groupBy("entity", "df_e", "term").agg(F.count("*").alias("df_te"), F.count_distinct("h").alias("texts")).where(F.col("texts") >= support).drop("texts")
+    together = saved(together, rows, 5_000)
+    terms = saved(together.select("term").distinct(), rows, 20_000)
     n_terms = terms.count()
     if not n_terms:
         return pairs.select("id", "h", "term", F.lit("").alias("action")).where(F.lit(False))
@@ -158,7 +158,7 @@ def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     """
     prepare(docs.sparkSession)
     spans = base_spans(docs, id_col, text_col).checkpoint()
-    terms = disclosing_terms(docs, spans, text_col).checkpoint()
+    terms = saved(disclosing_terms(docs, spans, text_col), spans.count(), 5_000)
     place = F.when(F.col("kind") == KINDS[0], 0).when(F.col("kind") == KINDS[1], 1).when(F.col("kind") == KINDS[2], 2).otherwise(3)
     base = spans.groupBy("id", "h").agg(F.sort_array(F.collect_list(F.struct(place.alias("k"), "start", "end", "kind"))).alias("base"))
     if terms.select("term").first() is None:
@@ -174,12 +174,15 @@ def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 def redacted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents with base spans and generalised terms replaced by their kind in brackets and removed terms cut out."""
-    spans = sanitise(docs, id_col, text_col).withColumnsRenamed({"id": "__id", "h": "__h"})
+    spans = sanitise(docs, id_col, text_col)
+    text = F.coalesce(docs[text_col], F.lit(""))
+    base, terms = free_name(docs, "__base"), free_name(docs, "__terms")
+    on = docs[id_col].eqNullSafe(spans["id"]) & (F.xxhash64(text) == spans["h"])
+    rows = docs.join(spans, on, "left").select(*[docs[c] for c in docs.columns], spans["base"].alias(base), spans["terms"].alias(terms))
     text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.join(spans, F.col(id_col).eqNullSafe(F.col("__id")) & (F.xxhash64(text) == F.col("__h")), "left")
     marks = F.concat(
-        F.transform("base", lambda b: F.struct(b["start"].cast("long").alias("start"), b["end"].cast("long").alias("end"), F.concat(F.lit("["), F.upper(b["kind"]), F.lit("]")).alias("put"))),
-        F.transform("terms", lambda t: F.struct(t["start"].alias("start"), t["end"].alias("end"), F.when(t["action"] == "removed", "").otherwise("[TERM]").alias("put"))),
+        F.transform(base, lambda b: F.struct(b["start"].cast("long").alias("start"), b["end"].cast("long").alias("end"), F.concat(F.lit("["), F.upper(b["kind"]), F.lit("]")).alias("put"))),
+        F.transform(terms, lambda t: F.struct(t["start"].alias("start"), t["end"].alias("end"), F.when(t["action"] == "removed", "").otherwise("[TERM]").alias("put"))),
     )
     state = lambda at, out: F.struct(at.cast("long").alias("at"), out.alias("out"))
 
@@ -190,7 +193,7 @@ def redacted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         return state(F.greatest(s["at"], m["end"]), F.concat(s["out"], gap, F.when(fresh, m["put"]).otherwise(F.lit(""))))
 
     done = F.aggregate(F.sort_array(marks), state(F.lit(0), F.lit("")), put, lambda s: F.concat(s["out"], F.substr(text, s["at"] + 1, F.length(text))))
-    return rows.select(*[F.when(F.col("base").isNotNull(), done).otherwise(F.col(c)).alias(c) if c == text_col else F.col(c) for c in docs.columns])
+    return rows.select(*[F.when(F.col(base).isNotNull(), done).otherwise(F.col(c)).alias(c) if c == text_col else F.col(c) for c in docs.columns])
 
 
 def op6_pii_sanitise(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -23,6 +23,24 @@ def prepare(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """The name, with underscores after it until the table has no such column."""
+    while name in df.columns:
+        name += "_"
+    return name
+
+
+def saved(df: DataFrame, rows: int | None = None, each: int = 100_000) -> DataFrame:
+    """A checkpoint of the table, in few files where it is known to have at most `rows` rows.
+
+    Every file that an executor writes has a price: on a local file system
+    Hadoop starts a process to set its mode, and a store of objects answers a
+    request for each.  A shuffle of a small table into many partitions would
+    write as many files.
+    """
+    return (df if rows is None else df.coalesce(max(1, -(-rows // each)))).checkpoint()
+
+
 def input_bytes(df: DataFrame) -> int:
     """Catalyst's estimate of the size of a plan's sources; those without one, as checkpoints, count nothing.
 
