@@ -153,6 +153,11 @@ def tree_samples(
     return rows.select(user, item, "level", "tree_code", F.lit(1).alias("label")).unionByName(negative)
 
 
+def expand_tree_samples(samples: DataFrame, users: DataFrame, nodes: DataFrame, user: str) -> DataFrame:
+    """Training rows: each sample (user, item, level, tree_code, label) with its user's columns and its node's."""
+    return samples.join(users, user).join(nodes.drop("item_id", "level"), "tree_code")
+
+
 def tree_children(frontier: DataFrame, branches: int) -> DataFrame:
     """The children's codes of each row's tree_code, for prediction level by level."""
     return frontier.withColumn("child_code", F.explode(F.sequence(F.col("tree_code") * branches + 1, F.col("tree_code") * branches + branches)))
