@@ -149,8 +149,8 @@ def brute_resolve(items, sizes, capacity, draws):
         (own if len(own) < capacity else over).append((i, c, h))
     used, out = {k: len(v) for k, v in buckets.items()}, {i: c[-1] for v in buckets.values() for i, c, h in v}
     for i, c, h in sorted(over, key=lambda x: (x[1][-1], x[2], x[0])):
-        for d in S.drawn_codes(h, c[-1], sizes[-1], draws):
-            if used.get((*c[:-1], d), 0) < capacity:
+        for d in S.drawn_codes(h, sizes[-1], draws):
+            if d != c[-1] and used.get((*c[:-1], d), 0) < capacity:
                 break
         else:
             d = c[-1]
@@ -171,6 +171,23 @@ def test_collisions(spark, parts):
     assert max(slots.values()) == 1 and all(r["moved"] == (r["codes"] != r["resolved_codes"]) for r in rows)
 
 
+def test_drawn_codes_golden(spark):
+    rows = S.with_hash(spark.createDataFrame([(0,), (1,)], "item_id long"), "item_id").orderBy("item_id").collect()
+    assert [S.drawn_codes(r["item_hash"], 4, n) for n in (3, 10) for r in rows] == [[1, 2, 0], [2, 0, 2]] * 2
+
+
+def test_collision_golden(spark):
+    codes = [[0, 0]] * 4 + [[0, 1]] + [[0, 2]] * 2 + [[1, 0]] * 3
+    choice = {1: [0, 1, 2], 3: [1, 2, 3], 8: [0, 1, 2]}
+    rows = [(i, c, [[c[0], k] for k in choice.get(i, [])]) for i, c in enumerate(codes)]
+    df = S.with_hash(spark.createDataFrame(rows, "item_id long, codes array<int>, candidate_codes array<array<int>>"), "item_id")
+    plan = S.collision_plan(df, "codes", [2, 4], 2, "item_hash")
+    assert sorted(r["item_id"] for r in plan.where("overflow").collect()) == [1, 3, 8]
+    got = S.resolve_collisions(df, "codes", [2, 4], 2, candidates="candidate_codes").orderBy("item_id").collect()
+    assert [r["resolved_last"] for r in got] == [0, 1, 0, 3, 1, 2, 2, 0, 1, 0]
+    assert [r["slot"] for r in got] == [2, 2, 1, 1, 1, 2, 1, 2, 1, 1]
+
+
 def test_append_never_moves(spark):
     df = S.with_hash(spark.createDataFrame([(i, [i % 2, i % 3]) for i in range(30)], "item_id long, codes array<int>"), "item_id")
     old = S.resolve_collisions(df.where("item_id < 15"), "codes", [2, 3], 3, draws=2).select("item_id", "key", "slot")

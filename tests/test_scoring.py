@@ -35,3 +35,8 @@ def test_batch_helpers(spark):
     assert sampling.negatives_with_hard(easy, easy).where("hard").count() == 1
     assert sampling.tree_children(spark.createDataFrame([(1,)], "tree_code long"), 2).count() == 2
     assert sorted(r["i"] for r in sampling.shuffled(df, "i", seed=1).collect()) == [1, 2]
+
+
+def test_regrouped(spark):
+    df = spark.createDataFrame([(1, 2, 0.2), (1, 1, 0.1), (2, 1, 0.9)], "r int, i int, p double")
+    assert {r["r"]: r["p"] for r in scoring.regrouped(df, "r", "i", ["p"]).collect()} == {1: [0.1, 0.2], 2: [0.9]}

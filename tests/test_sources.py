@@ -48,6 +48,11 @@ def test_read_and_write(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "out.parquet")).columns == ["a", "b", "k"]
 
 
+def test_reading_in_order(spark):
+    df = io.in_order_of(spark.range(100).selectExpr("99 - id AS d"), "d")
+    assert [r["d"] for r in df.collect()] == list(range(100))
+
+
 def test_text_tables(spark, tmp_path):
     (tmp_path / "list").write_text("abc\nefg\n")
     (tmp_path / "dict").write_text("abc 5\nefg 7\n")

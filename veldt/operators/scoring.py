@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
@@ -28,6 +29,12 @@ def predict(df: DataFrame, model: Callable[[dict[str, np.ndarray]], dict[str, np
     return df.select(*dict.fromkeys([*reserved, *inputs])).mapInPandas(run, schema)
 
 
+def regrouped(df: DataFrame, request: str, order: str, outputs: list[str]) -> DataFrame:
+    """Outputs of a request's rows as one list each, in order: what flattening took apart."""
+    rows = df.groupBy(request).agg(F.sort_array(F.collect_list(F.struct(order, *outputs))).alias("l"))
+    return rows.select(request, *[F.col("l")[c].alias(c) for c in outputs])
+
+
 def linear_model(weights: dict[str, float], bias: float = 0.0) -> Callable:
     """A logistic model of number columns, as an example and for tests."""
 

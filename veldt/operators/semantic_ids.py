@@ -100,7 +100,7 @@ def require_valid(df: DataFrame, codes: str, sizes: list[int], drop: bool = Fals
     ok = valid_codes(F.col(codes), sizes)
     if drop:
         return df.where(ok)
-    return df.withColumn(codes, F.when(ok, F.col(codes)).otherwise(F.raise_error(F.concat(F.lit("invalid codes "), F.to_json(codes)))))
+    return df.withColumn(codes, F.when(ok, F.col(codes)).otherwise(F.raise_error(F.concat(F.lit("invalid codes "), F.coalesce(F.to_json(codes), F.lit("null"))))))
 
 
 # --- quality --------------------------------------------------------------------------
@@ -167,22 +167,31 @@ def quality_report(df: DataFrame, before: str, sizes: list[int], after: str | No
 # --- collisions -----------------------------------------------------------------------
 
 
+# Fixed values of SplitMix64 and the seed that makes hashes agree with published semantic ids.
+SPLITMIX_STEP = 0x9E3779B97F4A7C15
+SPLITMIX_FACTORS = (0xBF58476D1CE4E5B9, 0x94D049BB133111EB)
+SIGN = 1 << 63
+
+
 def splitmix(x: np.ndarray, seed: int = HASH_SEED) -> np.ndarray:
-    """SplitMix64 of whole numbers, stable over machines; wraps around on purpose."""
+    """SplitMix64 of uint64 numbers with a seed, stable over machines; wraps around on purpose."""
     with np.errstate(over="ignore"):
-        z = x.astype(np.int64).view(np.uint64) + np.uint64(seed) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(0x9E3779B97F4A7C15)
-        z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-        z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        z = x + np.uint64(seed * SPLITMIX_STEP & (1 << 64) - 1)
+        for shift, factor in zip((30, 27), SPLITMIX_FACTORS):
+            z = (z ^ (z >> np.uint64(shift))) * np.uint64(factor)
         return z ^ (z >> np.uint64(31))
 
 
 def with_hash(df: DataFrame, item_id: str, out: str = "item_hash") -> DataFrame:
-    """Add a stable 64-bit hash of the item id; text ids go through pandas' own stable hash first."""
+    """Add a stable hash of the item id: 64 bits, the sign flipped so that signed order is unsigned order.
+
+    Text ids go through pandas' own stable hash first.
+    """
 
     @F.pandas_udf("long")
     def h(ids: pd.Series) -> pd.Series:
-        base = ids.to_numpy(np.int64) if ids.dtype.kind in "iu" else pd.util.hash_array(ids.to_numpy(object)).view(np.int64)
-        return pd.Series((splitmix(base) >> np.uint64(1)).view(np.int64))
+        base = ids.to_numpy(np.int64).view(np.uint64) if ids.dtype.kind in "iu" else pd.util.hash_array(ids.to_numpy(object))
+        return pd.Series((splitmix(base) ^ np.uint64(SIGN)).view(np.int64))
 
     return df.withColumn(out, h(F.col(item_id)))
 
@@ -212,8 +221,8 @@ def resolve_collisions(
 
     Overflowing items go in order of (last code, hash) and take the first
     candidate with room, their own code left out; without one they stay, over
-    capacity.  Candidates are a column of code lists, or `draws` distinct last
-    codes drawn by hash.  Bands are independent, so each is one group; a task
+    capacity.  Candidates are a column of code lists, or `draws` last codes drawn
+    by hash, with replacement.  Bands are independent, so each is one group; a task
     sees a band's overflow and its counts only, the items that fit never move.
     """
     last_size = sizes[-1]
@@ -233,7 +242,7 @@ def resolve_collisions(
         rows = rows.sort_values(["last", "h", "item_id"], kind="stable")
         out = []
         for r in rows.itertuples():
-            options = r.choice if len(r.choice) else drawn_codes(int(r.h), int(r.last), last_size, draws)
+            options = r.choice if len(r.choice) else drawn_codes(int(r.h), last_size, draws)
             target = next((int(c) for c in options if int(c) != r.last and used.get(int(c), 0) < capacity), int(r.last))
             used[target] = used.get(target, 0) + 1
             out.append((r.item_id, target))
@@ -243,8 +252,8 @@ def resolve_collisions(
     counts = counts.select(F.col("band").alias("held_band"), F.col("last").alias("held_last"), "n")
     moved = over.groupBy("band").cogroup(counts.groupBy("held_band")).applyInPandas(first_fit, f"item_id {kind}, resolved_last int")
     done = plan.join(moved, "item_id", "left").withColumn("resolved_last", F.coalesce("resolved_last", "last"))
-    # slots count on from published ones: items that fit first, by hash, then those that came
-    w = Window.partitionBy("band", "resolved_last").orderBy(F.col("overflow"), hash_col, "item_id")
+    # slots count on from published ones: items that fit first, by hash, then the others as they were placed
+    w = Window.partitionBy("band", "resolved_last").orderBy("overflow", F.when(F.col("overflow"), F.col("last")), hash_col, "item_id")
     done = done.withColumn("key", F.col("band") * last_size + F.col("resolved_last"))
     if prior is not None:
         done = done.drop("taken").join(prior.select("key", F.col("n").alias("taken")), "key", "left").withColumn("taken", F.coalesce("taken", F.lit(0)))
@@ -254,15 +263,12 @@ def resolve_collisions(
     )
 
 
-def drawn_codes(h: int, own: int, size: int, draws: int) -> list[int]:
-    """Distinct last codes other than `own`, in an order drawn from the item's hash."""
-    wanted, out, step = min(draws, size - 1), [], 0
-    while len(out) < wanted:
-        c = int(splitmix(np.array([h + step], np.int64))[0] % np.uint64(size))
-        step += 1
-        if c != own and c not in out:
-            out.append(c)
-    return out
+def drawn_codes(h: int, size: int, draws: int) -> list[int]:
+    """Last codes drawn from an item's hash, with replacement; at most one less than there are."""
+    n = min(draws, size - 1)
+    steps = np.arange(n, dtype=np.uint64) * np.uint64(SPLITMIX_STEP)
+    with np.errstate(over="ignore"):
+        return [int(c) for c in splitmix(np.uint64(h % (1 << 64) ^ SIGN) + steps) % np.uint64(size)]
 
 
 def group_items(resolved: DataFrame) -> DataFrame:

@@ -67,6 +67,11 @@ def read(
     return df
 
 
+def in_order_of(df: DataFrame, *columns: str) -> DataFrame:
+    """Ranges of the columns as partitions, each sorted, so that partitions are consumed in order (a date, say)."""
+    return df.repartitionByRange(*columns).sortWithinPartitions(*columns)
+
+
 def required_columns(features: list[str], labels: list[str] = (), weights: list[str] = (), extra: list[str] = ()) -> list[str]:
     """The columns that a job reads, each once, in order of need."""
     return list(dict.fromkeys([*features, *labels, *weights, *extra]))
