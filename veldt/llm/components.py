@@ -25,8 +25,9 @@ def connected_components(edges: DataFrame, a: str, b: str, rows: int | None = No
 
     Edges may repeat, run in either direction and be loops.  Each round is two
     grouped minima joined back to the edges: a node with very many edges is
-    summed up before it is shuffled, and its edges are an ordinary join side,
-    which adaptive execution can split.  Rounds end when the edges stay the
+    summed up before it is shuffled, and the minima are stored before the join,
+    so that both sides of it are plain shuffles, which adaptive execution splits
+    where one node's edges fill a partition.  Rounds end when the edges stay the
     same; each is checkpointed, so lineage stays short and a lost executor
     costs one round at most.  No round has more edges than the one before;
     `rows` is about how many there are at first, if that is known.
@@ -38,9 +39,10 @@ def connected_components(edges: DataFrame, a: str, b: str, rows: int | None = No
     before = _state(e)
     while before[0]:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        low = saved(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), 2 * before[0])
         e = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        low = e.groupBy("u").agg(F.min("v").alias("m"))
+        e = saved(e, before[0])
+        low = saved(e.groupBy("u").agg(F.min("v").alias("m")), before[0])
         moved = e.join(low, "u").where("v <> m").select(*_larger_first(F.col("v"), F.col("m")))
         e = saved(moved.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), before[0])
         after = _state(e)
