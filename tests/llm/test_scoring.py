@@ -68,3 +68,15 @@ def test_target_like_documents_score_lower(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     got = {r["doc_id"]: r["ce_diff"] for r in C.score(df, df.where("doc_id < 5").selectExpr("doc_id AS id")).collect()}
     assert max(got[i] for i in range(10)) < min(got[i] for i in range(10, 20))
+
+
+def test_rare_words_count_at_any_size(spark):
+    """A word and a bigram of few occurrences among three million tokens are modelled, not one unknown word."""
+    rows = [(i, "common words fill this line " * 6000) for i in range(100)] + [(i, "zyx wvu common words") for i in range(100, 102)] + [(i, "lone%d tsr common words" % i) for i in range(102, 104)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r for r in C.score(df, df.where("doc_id = 100").selectExpr("doc_id AS id")).collect()}
+    want = brute({i: t for i, t in rows}, {100}, 0.0)
+    for i, r in got.items():
+        assert r["n_tokens"] == want[i][0] and math.isclose(r["ce_target"], want[i][1], rel_tol=1e-9) and math.isclose(r["ce_background"], want[i][2], rel_tol=1e-9)
+    share = brute({i: t for i, t in rows}, {100}, 2.0**-20)
+    assert abs(share[101][1] - want[101][1]) > 0.1 and abs(share[102][2] - want[102][2]) > 0.1

@@ -3,10 +3,13 @@
 A target model (documents labelled good) and a background model (all documents)
 are matched: interpolated bigram models of the same order, smoothing and
 vocabulary, counted over every whole text.  The vocabulary is every word that
-makes up at least SHARE of all tokens (and occurs twice); other words are one
-unknown word.  Bigrams of vocabulary words are kept from the same share on, so
-either table has at most 1 / SHARE entries whatever the size of the corpus:
-that bounds what is sent to the executors for scoring.
+occurs twice, at any size of the corpus; other words are one unknown word.
+Bigrams that occur twice are kept too, so both tables grow with the corpus.
+
+They are therefore never gathered.  Documents are stored in chunks; a chunk
+sends its distinct words and bigrams, packed, to hash buckets that add them up,
+and each bucket answers every chunk with the counts of what that chunk sent, in
+the same order.  A chunk scores its documents from its answers.
 
 A document is scored with its own counts taken out of both models, so a good
 document is not preferred for having been counted.  The score is the mean over
@@ -20,26 +23,30 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .exchange import received
 from .session import bucket_count, prepare, read_table
-from .textops import LOWER, chunks, mix, span_hashes, words
+from .textops import LOWER, chunks, mix, release_memory, span_hashes, words
 
-SHARE = 2.0**-20
+#: Words and bigrams count from two occurrences on; a share of all tokens above 0 raises that.
+SHARE = 0.0
 BIGRAM_WEIGHT = 0.6
 PSEUDO_COUNT = 0.5
 #: Target ids are broadcast up to this many (8 bytes each, 16 MB); beyond, documents are shuffled by id.
 BROADCAST_IDS = 2_000_000
-#: A task merges equal keys when it holds so many, and sends what is left above half of it.
-HELD_KEYS = 500_000
+#: Text of one chunk: larger ones repeat fewer keys, smaller ones need less memory.
+STORED_BYTES = 8 << 20
 UNKNOWN = np.uint64(1)
 
-COUNTS = "bucket int, keys binary, background binary, target binary"
-COUNTS_ARROW = pa.schema([("bucket", pa.int32()), ("keys", pa.binary()), ("background", pa.binary()), ("target", pa.binary())])
-COUNT_KINDS = {"keys": np.uint64, "background": np.int64, "target": np.int64}
+CHUNKS = "chunk long, docs binary, tokens long, target_tokens long"
+CHUNKS_ARROW = pa.schema([("chunk", pa.int64()), ("docs", pa.binary()), ("tokens", pa.int64()), ("target_tokens", pa.int64())])
+COUNTS = "bucket int, chunk long, keys binary, background binary, target binary"
+COUNTS_ARROW = pa.schema([("bucket", pa.int32()), ("chunk", pa.int64()), ("keys", pa.binary()), ("background", pa.binary()), ("target", pa.binary())])
+ANSWERS = "bucket int, chunk long, background binary, target binary, held long, background_sum long, target_sum long"
+ANSWERS_ARROW = pa.schema([("bucket", pa.int32()), ("chunk", pa.int64()), ("background", pa.binary()), ("target", pa.binary()), ("held", pa.int64()), ("background_sum", pa.int64()), ("target_sum", pa.int64())])
 
 
 @dataclass(frozen=True)
@@ -65,35 +72,35 @@ def sum_by_key(keys: np.ndarray, *counts: np.ndarray) -> list[np.ndarray]:
     return [keys[first], *[np.add.reduceat(c[order], first) if len(first) else c[:0] for c in counts]]
 
 
-class CountSender:
-    """Sums up counts within a task and sends them by bucket."""
-
-    def __init__(self, buckets: int):
-        self.buckets, self.held, self.n = buckets, [], 0
-
-    def add(self, keys: np.ndarray, target: np.ndarray) -> list[dict]:
-        """Count keys once each; `target` marks those of target documents."""
-        self.held.append(sum_by_key(keys, np.ones(len(keys), np.int64), target.astype(np.int64)))
-        self.n += len(self.held[-1][0])
-        if self.n < HELD_KEYS:
-            return []
-        self.held = [sum_by_key(*[np.concatenate(x) for x in zip(*self.held)])]
-        self.n = len(self.held[0][0])
-        return self.flush() if self.n > HELD_KEYS // 2 else []
-
-    def flush(self) -> list[dict]:
-        if not self.held:
-            return []
-        keys, background, target = sum_by_key(*[np.concatenate(x) for x in zip(*self.held)])
-        self.held, self.n = [], 0
-        bucket = (keys % np.uint64(self.buckets)).astype(np.int32)
-        order = np.argsort(bucket, kind="stable")
-        edge = np.r_[np.flatnonzero(np.diff(bucket[order], prepend=-1)), len(order)]
-        rows = []
-        for a, b in zip(edge[:-1], edge[1:]):
-            own = order[a:b]
-            rows.append({"bucket": int(bucket[own[0]]), "keys": keys[own].tobytes(), "background": background[own].tobytes(), "target": target[own].tobytes()})
-        return rows
+def _narrow(counts: np.ndarray) -> bytes:
+    """Counts in the least width that holds them, compressed; the first byte is the width."""
+    kind = np.min_scalar_type(int(counts.max()))
+    raw = counts.astype(kind).tobytes()
+    return bytes([kind.itemsize]) + pa.compress(raw, "zstd", asbytes=True)
+
+
+def _wide(packed: bytes, n: int) -> np.ndarray:
+    """The n counts of `_narrow`."""
+    raw = pa.decompress(packed[1:], n * packed[0], "zstd", asbytes=True)
+    return np.frombuffer(raw, f"u{packed[0]}").astype(np.int64)
+
+
+def _near(keys: np.ndarray) -> bytes:
+    """Keys in order by their differences: number, width, the lower bytes plane by plane, and the highest bytes compressed."""
+    step = np.diff(keys, prepend=np.uint64(0))
+    width = max(1, -(-int(step.max()).bit_length() // 8))
+    planes = step.astype("<u8").view(np.uint8).reshape(-1, 8).T
+    return len(keys).to_bytes(4, "little") + bytes([width]) + planes[: width - 1].tobytes() + pa.compress(planes[width - 1].tobytes(), "zstd", asbytes=True)
+
+
+def _far(packed: bytes) -> np.ndarray:
+    """The keys of `_near`."""
+    n, width = int.from_bytes(packed[:4], "little"), packed[4]
+    edge = 5 + n * (width - 1)
+    planes = np.zeros((n, 8), np.uint8)
+    planes[:, : width - 1] = np.frombuffer(packed[5:edge], np.uint8).reshape(width - 1, n).T
+    planes[:, width - 1] = np.frombuffer(pa.decompress(packed[edge:], n, "zstd", asbytes=True), np.uint8)
+    return np.cumsum(planes.view("<u8")[:, 0], dtype=np.uint64)
 
 
 def word_hashes(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -115,74 +122,142 @@ def _pairs(ids: np.ndarray, word_at: np.ndarray) -> np.ndarray:
     return np.flatnonzero(inner)
 
 
-def _count(docs: DataFrame, buckets: int, vocabulary: Table | None) -> DataFrame:
-    """Packed counts by bucket of words or, with a vocabulary, of its bigrams."""
+def _stored(docs: DataFrame) -> DataFrame:
+    """Rows (id, text, is_target) in chunks of whole documents, compressed, with their numbers of tokens; a checkpoint, so that chunks keep their names."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sender = CountSender(buckets)
-        for batch in batches:
-            flags = batch.column(1).to_numpy(zero_copy_only=False)
-            for first, last, data, at in chunks(batch.column(0)):
-                keys, word_at = word_hashes(data, at)
-                marked = np.repeat(flags[first:last].astype(bool), np.diff(word_at))
-                if vocabulary is not None:
-                    known = vocabulary.find(keys) >= 0
-                    p = _pairs(keys, word_at)
-                    p = p[known[p] & known[p - 1]]
-                    keys, marked = pair_keys(keys[p - 1], keys[p]), marked[p]
-                rows = sender.add(keys, marked)
-                if rows:
-                    yield pa.RecordBatch.from_pylist(rows, COUNTS_ARROW)
-        rows = sender.flush()
-        if rows:
-            yield pa.RecordBatch.from_pylist(rows, COUNTS_ARROW)
+        task = TaskContext.get()
+        name = (task.partitionId() if task else 0) << 33
+        held, size = [], 0
+
+        def chunk() -> pa.RecordBatch:
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, held[0].schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=6))) as writer:
+                for part in held:
+                    writer.write_batch(part)
+            n = np.zeros(2, np.int64)
+            for part in held:
+                flags = part.column(2).to_numpy(zero_copy_only=False).astype(bool)
+                for first, last, data, at in chunks(part.column(1)):
+                    own = np.diff(words(data, at)[2])
+                    n += own.sum(), own[flags[first:last]].sum()
+            return pa.RecordBatch.from_pylist([{"chunk": name, "docs": sink.getvalue().to_pybytes(), "tokens": int(n[0]), "target_tokens": int(n[1])}], CHUNKS_ARROW)
 
-    def total(table: pa.Table) -> pa.Table:
-        keys, background, target = sum_by_key(*received(table, COUNT_KINDS))
-        often = background >= 2
-        row = {"keys": keys[often].tobytes(), "background": background[often].tobytes(), "target": target[often].tobytes(), "all": int(background.sum()), "all_target": int(target.sum())}
-        return pa.Table.from_pylist([row], pa.schema([("keys", pa.binary()), ("background", pa.binary()), ("target", pa.binary()), ("all", pa.int64()), ("all_target", pa.int64())]))
+        for batch in batches:
+            for first, last, data, _ in chunks(batch.column(1), STORED_BYTES):
+                if held and size + len(data) > STORED_BYTES:
+                    yield chunk()
+                    name, held, size = name + 1, [], 0
+                held.append(pa.RecordBatch.from_arrays([c.slice(first, last - first) for c in batch.columns], names=["id", "text", "is_target"]))
+                size += len(data)
+        if held:
+            yield chunk()
+        release_memory()
+
+    return docs.mapInArrow(run, CHUNKS).checkpoint()
+
+
+def _texts(docs: bytes) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]]:
+    """(ids, target flags, word hashes, word offsets) of runs of a chunk's documents."""
+    for batch in pa.ipc.open_stream(docs):
+        flags = batch.column(2).to_numpy(zero_copy_only=False).astype(bool)
+        for first, last, data, at in chunks(batch.column(1)):
+            yield batch.column(0).slice(first, last - first), flags[first:last], *word_hashes(data, at)
+
+
+def _keys(docs: bytes, buckets: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """(bucket, keys, background, target) of a chunk's distinct words, then of its bigrams in as many buckets after them; keys in order."""
+    held = ([], [])
+    for _, flags, hashes, word_at in _texts(docs):
+        marked = np.repeat(flags, np.diff(word_at)).astype(np.int64)
+        p = _pairs(hashes, word_at)
+        for own, keys, target in ((held[0], hashes, marked), (held[1], pair_keys(hashes[p - 1], hashes[p]), marked[p])):
+            own.append(sum_by_key(keys, np.ones(len(keys), np.int64), target))
+    for kind, own in enumerate(held):
+        if not own:
+            continue
+        counts = sum_by_key(*[np.concatenate(x) for x in zip(*own)])
+        own.clear()
+        bucket = (counts[0] % np.uint64(buckets)).astype(np.int32)
+        order = np.argsort(bucket, kind="stable")
+        edge = np.r_[np.flatnonzero(np.diff(bucket[order], prepend=-1)), len(order)]
+        for a, b in zip(edge[:-1], edge[1:]):
+            yield int(bucket[order[a]]) + kind * buckets, *[c[order[a:b]] for c in counts]
 
-    sent = docs.select("text", "is_target").mapInArrow(run, COUNTS)
-    return sent.groupBy("bucket").applyInArrow(total, "keys binary, background binary, target binary, `all` long, all_target long").checkpoint()
 
+def _answers(stored: DataFrame, buckets: int, least: int) -> DataFrame:
+    """For each chunk and bucket the counts over all chunks, 0 for keys that occur less than `least` times.
 
-def _frequent(counts: DataFrame, least: int) -> Table:
-    """The keys that occur at least `least` times, of which there are at most (all tokens) / least."""
+    A bigram occurs no more often than its words, so bigrams that are kept have
+    their words in the vocabulary.  Sums over a word bucket's vocabulary stand in its first row.
+    """
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            parts = [[np.frombuffer(b, kind) for b in batch.column(name).to_pylist()] for name, kind in COUNT_KINDS.items()]
-            keys, background, target = (np.concatenate(p) for p in parts)
-            on = background >= least
-            if on.any():
-                yield pa.RecordBatch.from_pydict({"keys": [keys[on].tobytes()], "background": [background[on].tobytes()], "target": [target[on].tobytes()]})
-
-    table = counts.select(*COUNT_KINDS).mapInArrow(cut, "keys binary, background binary, target binary").toArrow()
-    keys, background, target = received(table, COUNT_KINDS)
-    order = np.argsort(keys, kind="stable")
-    return Table(keys[order], background[order], target[order])
+            for name, docs in zip(batch.column(0).to_pylist(), batch.column(1)):
+                rows = [
+                    {"bucket": bucket, "chunk": name, "keys": _near(keys // np.uint64(buckets)), "background": _narrow(background), "target": _narrow(target)}
+                    for bucket, keys, background, target in _keys(docs.as_py(), buckets)
+                ]
+                if rows:
+                    yield pa.RecordBatch.from_pylist(rows, COUNTS_ARROW)
+        release_memory()
+
+    def total(table: pa.Table) -> pa.Table:
+        bucket = table.column("bucket")[0].as_py()
+        parts = [_far(k) for k in table.column("keys").to_pylist()]  # keys of one bucket differ in their quotients
+        edge = np.cumsum([0, *map(len, parts)])
+        keys = np.concatenate(parts)
+        order = np.argsort(keys, kind="stable")
+        ranked = keys[order]
+        first = np.flatnonzero(np.r_[True, ranked[1:] != ranked[:-1]])
+        size = np.diff(np.r_[first, len(keys)])
+        sums = []
+        for name in ("background", "target"):
+            sent = np.concatenate([_wide(c, len(k)) for c, k in zip(table.column(name).to_pylist(), parts)])
+            sums.append(np.add.reduceat(sent[order], first))
+        on = sums[0] >= least
+        totals = [int(on.sum()), int(sums[0][on].sum()), int(sums[1][on].sum())] if bucket < buckets else [0, 0, 0]
+        found = []
+        for s in sums:
+            out = np.empty(len(keys), np.int64)
+            out[order] = np.repeat(np.where(on, s, 0), size)
+            found.append([_narrow(out[a:b]) for a, b in zip(edge[:-1], edge[1:])])
+        more = [0] * (len(parts) - 1)
+        out = pa.table([table.column("bucket"), table.column("chunk"), *found, *[[t, *more] for t in totals]], schema=ANSWERS_ARROW)
+        release_memory()
+        return out
+
+    return stored.select("chunk", "docs").mapInArrow(run, COUNTS).groupBy("bucket").applyInArrow(total, ANSWERS).checkpoint()
 
 
 @dataclass(frozen=True)
 class Models:
-    """Both models: the shared vocabulary and bigrams, and all tokens counted."""
+    """What a chunk needs of both models: its words and bigrams that are held, and the whole corpus's sums."""
 
     words: Table
     pairs: Table
     tokens: int
     target_tokens: int
-
-
-def train_models(docs: DataFrame, share: float = SHARE) -> Models:
-    """Count rows (text, is_target)."""
-    buckets = bucket_count(docs)
-    counts = _count(docs, buckets, None)
-    all_ = counts.agg(F.sum("all").alias("n"), F.sum("all_target").alias("t")).first()
-    tokens, target = int(all_["n"] or 0), int(all_["t"] or 0)
-    least = max(2, int(np.ceil(share * tokens)))
-    vocabulary = _frequent(counts, least)
-    return Models(vocabulary, _frequent(_count(docs, buckets, vocabulary), least), tokens, target)
+    held: int
+    background_sum: int
+    target_sum: int
+
+
+def _own_models(docs: bytes, buckets: int, answers: pa.Table, sums: tuple[int, ...]) -> Models:
+    """The models of a chunk's own keys, from the buckets' answers."""
+    found = {b: (x, y) for b, x, y in zip(*[answers.column(c).to_pylist() for c in ("bucket", "background", "target")])}
+    held = ([], [])
+    for bucket, keys, _, _ in _keys(docs, buckets):
+        background, target = (_wide(c, len(keys)) for c in found[bucket])
+        on = background > 0
+        held[bucket >= buckets].append((keys[on], background[on], target[on]))
+    tables = []
+    for own in held:
+        keys, background, target = [np.concatenate(x) for x in zip(*own)] if own else (np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64))
+        order = np.argsort(keys, kind="stable")
+        tables.append(Table(keys[order], background[order], target[order]))
+    return Models(*tables, *sums)
 
 
 def _own(keys: np.ndarray) -> np.ndarray:
@@ -210,12 +285,12 @@ def losses(models: Models, hashes: np.ndarray, word_at: np.ndarray, in_target: n
     pair_at = models.pairs.find(keys)
     pair_own = _own(keys ^ salt[p])
     out = []
-    size = len(models.words.keys) + 1
-    for counts, pairs, total, taken in (
-        (models.words.target, models.pairs.target, models.target_tokens, in_target[text].astype(np.int64)),
-        (models.words.background, models.pairs.background, models.tokens, np.ones(len(text), np.int64)),
+    size = models.held + 1
+    for counts, pairs, total, known, taken in (
+        (models.words.target, models.pairs.target, models.target_tokens, models.target_sum, in_target[text].astype(np.int64)),
+        (models.words.background, models.pairs.background, models.tokens, models.background_sum, np.ones(len(text), np.int64)),
     ):
-        counts = np.append(counts, total - counts.sum())  # -1 finds the unknown word
+        counts = np.append(counts, total - known)  # -1 finds the unknown word
         single = counts[at] - own * taken
         loss = (single + PSEUDO_COUNT) / (total - n[text] * taken + PSEUDO_COUNT * size)
         if len(p):
@@ -247,24 +322,32 @@ def score(docs: DataFrame, target: DataFrame, id_col: str = "doc_id", text_col:
     """
     spark = prepare(docs.sparkSession)
     marked = mark_target(docs, target, id_col, text_col, (id_col,))
-    models = train_models(marked, share)
-    shared = spark.sparkContext.broadcast(models)
+    buckets = bucket_count(marked)
+    stored = _stored(marked.select(id_col, "text", "is_target"))
+    all_ = stored.agg(F.sum("tokens").alias("n"), F.sum("target_tokens").alias("t")).first()
+    tokens, target_tokens = int(all_["n"] or 0), int(all_["t"] or 0)
+    answers = _answers(stored, buckets, max(2, int(np.ceil(share * tokens))))
+    sums = (tokens, target_tokens, *[int(x or 0) for x in answers.agg(*[F.sum(c) for c in ("held", "background_sum", "target_sum")]).first()])
     schema = T.StructType([docs.schema[id_col], *[T.StructField(c, t) for c, t in SCORES]])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            flags = batch.column(2).to_numpy(zero_copy_only=False).astype(bool)
-            for first, last, data, at in chunks(batch.column(1)):
-                hashes, word_at = word_hashes(data, at)
-                means = []
-                n = np.diff(word_at)
-                for loss in losses(shared.value, hashes, word_at, flags[first:last]):
-                    total = np.r_[0.0, np.cumsum(loss)]
-                    means.append((total[word_at[1:]] - total[word_at[:-1]]) / np.maximum(1, n))
-                columns = [batch.column(0).slice(first, last - first), pa.array(n), pa.array(means[0]), pa.array(means[1]), pa.array(means[0] - means[1])]
-                yield pa.RecordBatch.from_arrays(columns, names=schema.names)
-
-    return marked.select(id_col, "text", "is_target").mapInArrow(run, schema)
+    def run(chunk: pa.Table, found: pa.Table) -> pa.Table:
+        text = chunk.column("docs")[0].as_py()
+        models = _own_models(text, buckets, found, sums)
+        parts = []
+        for ids, flags, hashes, word_at in _texts(text):
+            means = []
+            n = np.diff(word_at)
+            for loss in losses(models, hashes, word_at, flags):
+                total = np.r_[0.0, np.cumsum(loss)]
+                means.append((total[word_at[1:]] - total[word_at[:-1]]) / np.maximum(1, n))
+            columns = [ids, pa.array(n), pa.array(means[0]), pa.array(means[1]), pa.array(means[0] - means[1])]
+            parts.append(pa.RecordBatch.from_arrays(columns, names=schema.names))
+        out = pa.Table.from_batches(parts)
+        release_memory()
+        return out
+
+    asked = stored.select("chunk", "docs").groupBy("chunk")
+    return asked.cogroup(answers.select("chunk", "bucket", "background", "target").groupBy("chunk")).applyInArrow(run, schema)
 
 
 def op3_cross_entropy_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
