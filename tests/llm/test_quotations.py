@@ -35,3 +35,11 @@ def test_given_conversations(spark):
         turns = sorted(t for c, t in source if c == r["conv_id"])
         at = turns.index(r["turn"])
         assert r["reply_to"] == (turns[at - 1] if at else None) and r["depth"] == at and r["text"] == source[r["conv_id"], r["turn"]].strip()
+
+
+def test_originals_that_exist_more_than_once(spark):
+    """A passage of other conversations is linked to the smallest one outside its own, however many have it."""
+    rows = [(c, 0, "u", "a text that many have") for c in (4, 5, 6, 7)] + [(9, 0, "u", "> a text that many have\nnew"), (4, 1, "u", "two"), (3, 0, "u", "> two\nthree"), (3, 1, "u", "two"), (2, 0, "u", "> lost\nx")]
+    df = spark.createDataFrame(rows, "conv_id long, turn int, role string, text string")
+    got = {(r["conv_id"], r["turn"]): (r["quoted_conv"], r["quoted_turn"]) for r in link_quotations(df).collect()}
+    assert len(got) == len(rows) and {k: v for k, v in got.items() if v[0] is not None} == {(9, 0): (4, 0), (3, 0): (4, 1)}

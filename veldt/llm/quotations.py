@@ -6,8 +6,9 @@ each of its lines are normalised (marks off, white space collapsed, lower case)
 and hashed; so are the unquoted parts of all messages.  Hashes are joined within
 the conversation, to earlier turns: the message that shares the longest part
 with a level-1 passage is the one replied to, the latest of equals.  Passages
-that find nothing there are looked up among parts that only one message of the
-whole corpus has.  A message without a link answers the turn before it.
+that find nothing there are looked up in the other conversations; of several
+messages that have the part, the one of the smallest (conversation, turn)
+stands for all.  A message without a link answers the turn before it.
 
 Thread and depth come from pointer doubling over (conversation, turn), so a
 conversation of any length is never gathered in one task, except by a window
@@ -111,11 +112,15 @@ def link_quotations(conversations: DataFrame) -> DataFrame:
         links = best.groupBy("conv_id", "turn").agg(
             F.max(F.when(F.col("level") == 1, F.col("best"))).alias("b"), F.count("*").alias("n_linked")
         ).select("conv_id", "turn", F.col("b.o_turn").alias("linked"), "n_linked")
-        single = originals.groupBy("hash").agg(F.count("*").alias("n"), F.min(F.struct("conv_id", "turn")).alias("at")).where("n = 1").select("hash", "at")
+        first = originals.groupBy("hash").agg(F.min(F.struct("conv_id", "turn")).alias("at"))
+        met = asked.join(best.select("conv_id", "turn", "level", "passage"), ["conv_id", "turn", "level", "passage"], "left_anti").join(first, "hash").checkpoint()
+        # a hash has one smallest conversation: only what is asked there needs the next one
+        own = F.col("at.conv_id") == F.col("conv_id")
+        inside = met.where(own).select("hash", F.col("conv_id").alias("own_conv")).distinct()
+        second = originals.join(inside, "hash").where("conv_id <> own_conv").groupBy("hash").agg(F.min(F.struct("conv_id", "turn")).alias("at"))
         outside = (
-            asked.join(best.select("conv_id", "turn", "level", "passage"), ["conv_id", "turn", "level", "passage"], "left_anti")
-            .join(single, "hash")
-            .where("at.conv_id <> conv_id")
+            met.where(~own)
+            .unionByName(met.where(own).drop("at").join(second, "hash"))
             .groupBy("conv_id", "turn")
             .agg(F.max(F.struct("words", "at")).alias("b"))
             .select("conv_id", "turn", F.col("b.at.conv_id").alias("quoted_conv"), F.col("b.at.turn").alias("quoted_turn"))
