@@ -28,6 +28,16 @@ def odd(spark):
     return df.withColumns({c: F.lit("x") for c in clashing})
 
 
+@pytest.fixture(scope="session")
+def odd_ids(odd, spark):
+    """The odd documents and rows whose ids are null, repeated with other texts, and very large."""
+    rows = [
+        (None, "lost text of a row without an id", "en", "a", 1), (None, "Same text  here for all of them", "en", None, 1), (None, "only rows without an id have this", "en", "a", 1), (None, "only rows  without an id have this", "en", "a", 1),
+        (7, "another text under the id of others", "en", "b", 1), (7, "Same text here  for all of them", "en", "b", 1), (2**62 + 5, "far away", "en", "b", 1), (2**62 + 6, "far  away", "en", "b", 1), (-(2**63), "far   away", "en", "b", 1),
+    ]
+    return odd.unionByName(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long"), allowMissingColumns=True)
+
+
 @pytest.fixture
 def stored(odd, spark, tmp_path_factory):
     """A folder with the odd documents as tables, for registered queries."""
@@ -37,6 +47,15 @@ def stored(odd, spark, tmp_path_factory):
     return d
 
 
+@pytest.fixture
+def stored_ids(odd_ids, spark, tmp_path_factory):
+    """A folder like `stored` with the documents of odd ids."""
+    d = str(tmp_path_factory.mktemp("ids"))
+    odd_ids.write.parquet(f"{d}/documents.parquet")
+    spark.read.parquet(f"{SF}/labels.parquet").write.parquet(f"{d}/labels.parquet")
+    return d
+
+
 @pytest.fixture
 def empty(odd, spark, tmp_path_factory):
     d = str(tmp_path_factory.mktemp("empty"))

@@ -38,6 +38,23 @@ def test_bytes_decide_whatever_the_digest(spark, documents, odd, digest):
     assert got == sorted(set(brute([tuple(r) for r in df.collect()])))
 
 
+@pytest.mark.parametrize("kind", ["long", "string"])
+def test_any_ids(odd_ids, kind):
+    """Ids that are null, repeated, very large, or strings."""
+    from pyspark.sql import functions as F
+
+    df = odd_ids.withColumn("doc_id", F.col("doc_id").cast(kind))
+    rows = [(r["doc_id"], r["text"]) for r in df.select("doc_id", "text").collect()]
+    keep, size = {}, {}
+    for i, t in rows:
+        k = X_norm(t)
+        keep[k] = min((x for x in (keep.get(k), i) if x is not None), default=None)
+        size[k] = size.get(k, 0) + 1
+    want = sorted(((i, keep[X_norm(t)], size[X_norm(t)], i == keep[X_norm(t)]) for i, t in rows), key=str)
+    got = sorted(((r["id"], r["keep_id"], r["group_size"], r["kept"]) for r in X.exact_dedup(df).collect()), key=str)
+    assert got == want
+
+
 def test_split_of_snapshot_and_batch_does_not_matter(spark, documents):
     want = brute([(r["doc_id"], r["text"]) for r in documents.select("doc_id", "text").collect()])
     for old in (F.lit(True), F.lit(False), F.col("id") % 2 == 0):

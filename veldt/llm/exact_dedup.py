@@ -161,23 +161,28 @@ def match_batch(batch: DataFrame, snapshot: Snapshot, rows: int | None = None) -
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest=lambda text: F.unhex(F.sha2(text, 256)), old=None) -> DataFrame:
-    """(id, digest, keep_id, group_size, kept), one row per document.
+    """(id, row, digest, keep_id, group_size, kept), one row per document.
 
     `digest` maps the normalised text to a binary column; a weak one costs time,
     never correctness, because texts of one digest are compared byte by byte.
     `old` is a condition on `id` that marks the rows of the standing snapshot;
-    by default the lower half of the id range.  Null text counts as empty, rows
-    repeated in full are documents of their own, other columns are ignored, and
-    an empty table gives an empty result.
+    by default a bit of the id's hash.  `row` is a hash of the text as it is, so
+    (id, row) names a document even where ids repeat.
+
+    Ids may be of any type that has an order, may repeat and may be null: of
+    equal texts the smallest id stays and null ids only where no other has the
+    text.  Rows that repeat id and text are all `kept`: they are one document.
+    Null text counts as empty; texts of any length are digested whole; other
+    columns, whatever their names, are ignored; an empty table gives an empty
+    result.
     """
     prepare(docs.sparkSession)
-    texts = docs.select(F.col(id_col).alias("id"), normalised(F.col(text_col)).alias("norm"))
+    text = F.col(text_col)
+    texts = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("row"), normalised(text).alias("norm"))
     texts = texts.withColumn("digest", digest(F.col("norm")))
-    keys = texts.select("id", "digest").checkpoint()
+    keys = texts.select("id", "row", "digest").checkpoint()
     rows = keys.count()
-    if old is None:
-        edge = keys.agg(((F.min("id") + F.max("id")) / 2).alias("x")).first()["x"]
-        old = F.col("id") <= F.lit(edge if edge is not None else 0)
+    old = F.xxhash64("id").bitwiseAND(F.lit(1)) == 0 if old is None else F.coalesce(old, F.lit(False))
     snapshot = build_snapshot(keys.where(old), bucket_count(docs), rows)
     copies = saved(match_batch(keys.where(~old), snapshot, rows).where("group_size > 1").select("digest"), rows)
     held = F.broadcast(copies) if copies.count() <= BROADCAST_DIGESTS else copies
@@ -194,14 +199,14 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     collided = classes.where("norm is not null")
     if collided.select("digest").first() is not None:
         clash = F.broadcast(collided.select("digest").distinct()) if collided.count() <= BROADCAST_DIGESTS else collided.select("digest").distinct()
-        own = texts.join(clash, "digest", "left_semi").join(collided, ["digest", "norm"]).select("id", "digest", "keep_id", "group_size")
-        out = out.join(collided.select("digest").distinct(), "digest", "left_anti").select("id", "digest", "keep_id", "group_size").unionByName(own)
-    keep = F.coalesce("keep_id", "id")
-    return out.select("id", "digest", keep.alias("keep_id"), F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"), (F.col("id") == keep).alias("kept"))
+        own = texts.join(clash, "digest", "left_semi").join(collided, ["digest", "norm"]).select("id", "row", "digest", "keep_id", "group_size")
+        out = out.join(collided.select("digest").distinct(), "digest", "left_anti").select("id", "row", "digest", "keep_id", "group_size").unionByName(own)
+    keep = F.when(F.col("group_size").isNull(), F.col("id")).otherwise(F.col("keep_id"))
+    return out.select("id", "row", "digest", keep.alias("keep_id"), F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"), F.col("id").eqNullSafe(keep).alias("kept"))
 
 
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document with the copy that stays; the upper half of the ids is the new batch."""
+    """Every document with the copy that stays; a bit of the ids' hashes divides snapshot and new batch."""
     out = exact_dedup(read_table(spark, sf_dir, "documents"))
     return out.select(F.col("id").alias("doc_id"), "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
 
@@ -209,6 +214,6 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP4_SQL = r"""
 WITH t AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS norm FROM documents),
 g AS (SELECT norm, min(doc_id) AS keep_id, count(*) AS group_size FROM t GROUP BY norm)
-SELECT t.doc_id, g.keep_id, g.group_size, t.doc_id = g.keep_id AS kept, sha256(t.norm) AS text_sha256
+SELECT t.doc_id, g.keep_id, g.group_size, t.doc_id IS NOT DISTINCT FROM g.keep_id AS kept, sha256(t.norm) AS text_sha256
 FROM t JOIN g ON t.norm = g.norm
 """
