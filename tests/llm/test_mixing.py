@@ -31,6 +31,30 @@ def test_targets(sizes):
     assert abs(sum(got) - 1.5 * sum(sizes)) < 1e-6
 
 
+@pytest.mark.parametrize("good,bad,draws", [(5, 7, 6), (1, 0, 1), (0, 9, 4), (40, 3, 30), (300, 900, 200), (2, 5000, 2500)])
+def test_draws_are_hypergeometric(good, bad, draws):
+    """Shares of every outcome are near the exact probabilities."""
+    from math import comb
+
+    rng, n = np.random.default_rng(good + draws), 20_000
+    got = Counter(M.draw_without_replacement(rng, good, bad, draws) for _ in range(n))
+    chi, cells = 0.0, 0
+    for x in range(max(0, draws - bad), min(good, draws) + 1):
+        want = n * comb(good, x) * comb(bad, draws - x) / comb(good + bad, draws)
+        if want >= 5:
+            chi, cells = chi + (got[x] - want) ** 2 / want, cells + 1
+    assert sum(got.values()) == n and chi < cells + 5 * (2 * cells) ** 0.5 + 5
+
+
+def test_draws_from_very_many():
+    """Mean and deviation of draws from 10^12 slots."""
+    rng = np.random.default_rng(1)
+    got = np.array([M.draw_without_replacement(rng, 3 * 10**11, 7 * 10**11, 5 * 10**11) for _ in range(2000)], float)
+    deviation = (5e11 * 0.3 * 0.7 * 0.5) ** 0.5
+    assert abs(got.mean() - 1.5e11) < 5 * deviation / 2000**0.5 and abs(got.std() / deviation - 1) < 0.08
+    assert M._split(rng, np.array([10**11, 0, 5, 9 * 10**11]), 10**12).sum() <= 10**12
+
+
 @pytest.mark.parametrize("n", [1, 2, 3, 7, 64, 1000, 4097])
 def test_permutation(n):
     for key in (1, 99):
