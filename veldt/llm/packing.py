@@ -22,6 +22,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .session import prepare, read_table, saved
 from .textops import mix, release_memory
@@ -29,6 +30,7 @@ from .textops import mix, release_memory
 CAPACITY = 1024
 END_ID = 2
 PIECES_PER_SHARD = 16_384
+SHARDS_PER_TASK = 16
 ISLANDS = 3
 EPOCHS = 3
 POPULATION = 4
@@ -272,7 +274,9 @@ def pack_pieces(pieces: DataFrame, capacity: int = CAPACITY, per_shard: int = PI
 
         return run
 
-    state = dealt.select("shard", "length").groupBy("shard").applyInPandas(begin, STATE)
+    # packing a shard costs seconds for bytes, so tasks are dealt by shards and not by the size of their rows
+    tasks = max(1, min(shards, int(pieces.sparkSession.conf.get("spark.sql.shuffle.partitions"))), -(-shards // SHARDS_PER_TASK))
+    state = dealt.select("shard", "length").repartition(tasks, "shard").groupBy("shard").applyInPandas(begin, STATE)
     state = saved(state, shards, 1)
     best = lambda: state.groupBy("shard").agg(F.min_by(F.col("population")[0], F.struct("bins", "island")).alias("grouping"), F.min("bins").alias("bins"), F.min("bound").alias("bound"))
     done = []
@@ -283,34 +287,36 @@ def pack_pieces(pieces: DataFrame, capacity: int = CAPACITY, per_shard: int = PI
             break
         done.append(state.join(still, "shard", "left_anti"))
         elites = opened.select("shard", F.pmod(F.col("island") + 1, F.lit(islands)).cast("int").alias("island"), F.col("population")[0].alias("elite"))
-        state = saved(opened.join(elites, ["shard", "island"]).mapInPandas(epoch(number), STATE), shards, 1)
+        state = saved(opened.join(elites, ["shard", "island"]).repartition(tasks, "shard", "island").mapInPandas(epoch(number), STATE), shards, 1)
     for rows in done:
         state = state.unionByName(rows)
 
-    wanted = dealt.columns
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in dealt.schema) + ", sequence_id long, offset long"
+    schema = T.StructType([*dealt.schema.fields, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
 
-    def place(rows: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
-        if rows.empty:
-            return rows.assign(sequence_id=0, offset=0)
-        rows = rows.sort_values(["length", "deal"], ascending=[False, True], kind="stable")
-        grouping = np.frombuffer(found["grouping"].iloc[0], "<i4").astype(np.int64)
-        length = rows["length"].to_numpy(np.int64)
-        order = np.argsort(grouping, kind="stable")
-        run = np.cumsum(length[order]) - length[order]
-        first = np.r_[True, grouping[order][1:] != grouping[order][:-1]]
-        offset = np.empty(len(rows), np.int64)
-        offset[order] = run - run[first][np.cumsum(first) - 1]
-        return rows[wanted].assign(sequence_id=(int(rows["shard"].iloc[0]) << 32) + grouping, offset=offset)
+    def place(rows: pa.Table, found: pa.Table) -> pa.Table:
+        # Arrow, not pandas: a column of ids with a null in it must not become one of floats
+        length, deal = (rows.column(c).to_numpy().astype(np.int64) for c in ("length", "deal"))
+        order = np.lexsort((deal, -length))
+        grouping = np.frombuffer(found.column("grouping")[0].as_py(), "<i4").astype(np.int64) if rows.num_rows else np.zeros(0, np.int64)
+        length = length[order]
+        by = np.argsort(grouping, kind="stable")
+        run = np.cumsum(length[by]) - length[by]
+        first = np.r_[True, grouping[by][1:] != grouping[by][:-1]] if len(by) else np.zeros(0, bool)
+        offset = np.empty(len(by), np.int64)
+        offset[by] = run - run[first][np.cumsum(first) - 1]
+        rows = rows.take(pa.array(order))
+        shard = rows.column("shard")[0].as_py() if rows.num_rows else 0
+        return rows.append_column("sequence_id", pa.array((shard << 32) + grouping)).append_column("offset", pa.array(offset))
 
-    return dealt.groupBy("shard").cogroup(best().select("shard", "grouping").groupBy("shard")).applyInPandas(place, schema).drop("shard", "deal")
+    return dealt.groupBy("shard").cogroup(best().select("shard", "grouping").groupBy("shard")).applyInArrow(place, schema).drop("shard", "deal")
 
 
 def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32, sequence_id, offset[, ids]), one row per piece.
 
-    Null and empty texts are the end token alone; rows that repeat an id are
-    packed as documents of their own; other columns are ignored; an empty table
+    Null and empty texts are the end token alone; very long ones are cut into
+    many pieces; rows that repeat an id or have none are packed as documents of
+    their own; other columns, whatever their names, are ignored; an empty table
     gives an empty result.
     """
     prepare(docs.sparkSession)
