@@ -6,9 +6,10 @@ labels the whole text at once.  The share of words on content lines decides
 whether the text is kept, after the base rules.
 
 The field is trained here, by maximum likelihood, on a bounded sample of
-labelled documents (`TRAIN_DOCS`): lines of good documents are content; lines of
-bad documents are labelled by the seed rule `_seed_labels`, and a bad document
-in which that rule finds nothing is left out.
+labelled documents (`TRAIN_DOCS`).  Lines have no labels of their own: those of
+good documents are content, those of bad documents are hidden.  Hard expectation
+maximisation starts with all of these as boilerplate, fits the field, decodes
+the bad documents again, and goes on until their labels stay the same.
 """
 
 from __future__ import annotations
@@ -25,10 +26,13 @@ from pyspark.sql import types as T
 from .session import free_name, prepare, read_table
 from .textops import chunks, mix, span_hashes, utf8, words
 
-#: At most so many labelled documents are fetched to fit the field, by a hash of their id.
+#: At most so many labelled documents are read to fit the field, by a hash of their id, ...
 TRAIN_DOCS = 1000
-#: Training stops taking documents once it holds this many lines.
-TRAIN_LINES = 100_000
+#: ... of each a stretch of at most so many lines, which begins where a hash of the text says, ...
+TRAIN_LINES = 256
+#: ... in at most so many rounds.
+EM_ROUNDS = 8
+UNLINKED_ROUNDS = 2
 MIN_CONTENT_SHARE = 0.5
 
 SYMBOLS = np.zeros(256, bool)
@@ -186,14 +190,8 @@ def viterbi(field: LineField, features: np.ndarray, line_at: np.ndarray) -> np.n
     return labels
 
 
-def _seed_labels(features: np.ndarray) -> np.ndarray:
-    """Content unless symbols, capitals or exclamation marks fill the line."""
-    f = {name: features[:, i] for i, name in enumerate(FEATURES)}
-    return ~((f["symbols"] >= 0.4) | (f["upper"] >= 0.5) | (f["shouting"] >= 1.0)).astype(bool)
-
-
-def fit_field(texts: list[tuple[np.ndarray, np.ndarray]], rounds: int = 300, rate: float = 0.2) -> LineField:
-    """Maximum likelihood by gradient ascent (Adam); texts are (features, labels) of one text each."""
+def fit_field(texts: list[tuple[np.ndarray, np.ndarray]], rounds: int = 300, rate: float = 0.2, linked: bool = True) -> LineField:
+    """Maximum likelihood by gradient ascent (Adam); texts are (features, labels) of one text each; lines not `linked` have no transitions."""
     texts = [t for t in texts if len(t[0])]
     if len({int(y) for _, labels in texts for y in np.unique(labels)}) < 2:
         return DEFAULT_FIELD
@@ -232,33 +230,58 @@ def fit_field(texts: list[tuple[np.ndarray, np.ndarray]], rounds: int = 300, rat
             pair = alpha[j - 1][:, :, None] + step[None] + (emit[j] + beta[j])[:, None, :] - z[j][:, None, None]
             expected[2 * k : 2 * k + 4] = np.exp(pair).sum(0).ravel()
         grad = (gold - expected) / len(x) - 1e-4 * w
+        if not linked:
+            grad[2 * k :] = 0
         m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad**2
         w = w + rate * (m / (1 - 0.9**i)) / (np.sqrt(v / (1 - 0.99**i)) + 1e-8)
     return LineField(w[: 2 * k].reshape(2, k), w[2 * k : 2 * k + 4].reshape(2, 2), w[2 * k + 4 :])
 
 
+def fit_hidden(texts: list[tuple[np.ndarray, bool]]) -> LineField:
+    """The field of (features, good) of one text each, by hard expectation maximisation; without both kinds, DEFAULT_FIELD."""
+    texts = [t for t in texts if len(t[0])]
+    if len({good for _, good in texts}) < 2:
+        return DEFAULT_FIELD
+    labels = [np.full(len(f), int(good)) for f, good in texts]
+    bad = [i for i, (_, good) in enumerate(texts) if not good]
+    x = np.concatenate([texts[i][0] for i in bad])
+    at = np.concatenate([[0], np.cumsum([len(texts[i][0]) for i in bad])])
+    for i in range(EM_ROUNDS):
+        # the first labels change with the text only, so transitions learned from them would hold a text to one label
+        linked = i >= UNLINKED_ROUNDS
+        field = fit_field([(f, y) for (f, _), y in zip(texts, labels)], linked=linked)
+        found = viterbi(field, x, at).astype(int)
+        if linked and all((labels[j] == found[a:b]).all() for j, a, b in zip(bad, at[:-1], at[1:])) or found.all():
+            break
+        for j, a, b in zip(bad, at[:-1], at[1:]):
+            labels[j] = found[a:b]
+    return field
+
+
 def train_field(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> LineField:
-    """Fit the field on at most TRAIN_DOCS labelled documents; without any, DEFAULT_FIELD."""
-    chosen = labels.where("doc_id is not null and quality is not null").orderBy(F.xxhash64("doc_id"), "doc_id").limit(TRAIN_DOCS).select("doc_id", "quality").collect()
-    quality = {r["doc_id"]: r["quality"] for r in chosen}
+    """Fit the field on at most TRAIN_DOCS labelled documents; without any, DEFAULT_FIELD.
+
+    Executors measure the lines of these, so the driver gets features of a
+    bounded number of lines and no text, in one job.
+    """
+    chosen = labels.where("doc_id is not null and quality is not null").orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(TRAIN_DOCS).select("doc_id", "quality").collect()
+    quality = {str(r["doc_id"]): r["quality"] == 1 for r in chosen}
     if not quality:
         return DEFAULT_FIELD
-    texts, lines = [], 0
-    rows = docs.where(F.col(id_col).isin(list(quality))).select(id_col, text_col)
-    found = sorted(rows.toLocalIterator(), key=lambda r: (r[0], r[1] or ""))
-    for doc_id, text in found:
-        data, at = utf8(pa.array([text or ""], pa.string()))
-        features = measure(data, at).features
-        seed = _seed_labels(features)
-        if quality[doc_id] == 1:
-            seed[:] = True
-        elif seed.all():
-            continue
-        texts.append((features, seed.astype(int)))
-        lines += len(features)
-        if lines >= TRAIN_LINES:
-            break
-    return fit_field(texts)
+
+    def lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first, last, data, at in chunks(batch.column(1)):
+                found = measure(data, at)
+                n = np.diff(found.line_at)
+                skip = (mix(span_hashes(data, at[:-1], at[1:])) % np.maximum(1, n - TRAIN_LINES + 1).astype(np.uint64)).astype(np.int64)
+                rows = [found.features[a + s : min(a + s + TRAIN_LINES, b)].astype("<f4").tobytes() for a, b, s in zip(found.line_at, found.line_at[1:], skip)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, last - first), pa.array(rows, pa.binary())], names=["id", "lines"])
+
+    rows = docs.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text")).where(F.col("id").isin(list(quality)))
+    # rows that repeat an id are texts of their own, but no more than the bound in all
+    found = rows.mapInArrow(lines, "id string, lines binary").orderBy("id", "lines").limit(2 * TRAIN_DOCS).collect()
+    return fit_hidden([(np.frombuffer(r["lines"], "<f4").reshape(-1, len(FEATURES)).astype(float), quality[r["id"]]) for r in found])
 
 
 MEASURES = T.StructType(
@@ -286,8 +309,10 @@ def label_lines(docs: DataFrame, field: LineField, text_col: str = "text", keep:
     """The columns `keep` of each document and, unless `only_kept`, the columns of MEASURES.
 
     With `only_kept` the rejected documents go and the rest keep just `keep`.
-    Null text counts as empty and fails the base rules; rows repeated in full
-    are judged alike; an empty table gives an empty result.
+    Null text counts as empty and fails the base rules; very long texts are
+    measured and decoded whole; rows repeated in full are judged alike; of label
+    sequences that tie, boilerplate goes first; columns keep their values
+    whatever their names; an empty table gives an empty result.
     """
     keep = docs.columns if keep is None else keep
     chosen = docs.select(*[F.col(c) for c in keep], F.col(text_col).alias(free_name(docs, "__text")))
