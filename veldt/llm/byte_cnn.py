@@ -28,10 +28,10 @@ from .textops import chunks
 
 #: About so many labelled texts of each language are fetched to train, by a hash of the text's id; a fixed bound of the model.
 TRAIN_TEXTS = 300
-#: Windows of each training text, spread over its whole length.
+#: The sample takes so many windows of each of these texts, spread over its whole length; predictions read every window.
 TRAIN_WINDOWS = 6
-#: At most so many languages are learned, the most frequent first.
-MAX_LANGUAGES = 200
+#: The network holds a column per language on the driver; a column of more values than this is no language column and an error.
+MAX_LANGUAGES = 20_000
 WINDOW = 256
 WIDTHS = (2, 3, 4)
 FILTERS = 12
@@ -153,28 +153,35 @@ def predict(net: ByteNet, data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray,
 def train_on(docs: DataFrame, usable: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> ByteNet | None:
     """Train on rows where `usable` holds and neither text nor language is null; None where there are none.
 
-    Language counts cover all such rows; the texts fetched are those whose id
-    hashes lowest, about TRAIN_TEXTS of each language and never more than twice
-    that in all.
+    Language counts cover all such rows, and every language is learned.  Of the
+    texts whose id hashes lowest, about TRAIN_TEXTS of each language and never
+    more than twice that in all, executors cut TRAIN_WINDOWS windows, so the
+    driver gets windows and no text.
     """
     rows = docs.where(usable & F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}"))
-    counts = {r["lang"]: r["n"] for r in rows.groupBy(F.col(lang_col).alias("lang")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES).collect()}
+    found = rows.groupBy(F.col(lang_col).alias("lang")).agg(F.count("*").alias("n")).limit(MAX_LANGUAGES + 1).collect()
+    if len(found) > MAX_LANGUAGES:
+        raise ValueError(f"more than {MAX_LANGUAGES} languages")
+    counts = {r["lang"]: r["n"] for r in found}
     if not counts:
         return None
     languages = sorted(counts)
-    share = F.create_map(*[F.lit(x) for name in languages for x in (name, min(1.0, TRAIN_TEXTS / counts[name]))])
+    shares = docs.sparkSession.createDataFrame([(name, min(1.0, TRAIN_TEXTS / counts[name])) for name in languages], "lang string, share double")
     place = F.pmod(F.xxhash64(F.col(id_col).cast("string")), F.lit(1 << 30)) / float(1 << 30)
-    chosen = (
-        rows.where(F.col(lang_col).isin(languages) & (place < share[F.col(lang_col)]))
-        .select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), place.alias("place"), F.col(id_col).cast("string").alias("id"))
-        .orderBy("place", "id", "text")
-        .limit(2 * TRAIN_TEXTS * len(languages))
-        .collect()
-    )
-    parts = [windows_of(r["text"].encode(), TRAIN_WINDOWS) for r in chosen]
+    drawn = rows.select(F.col(lang_col).alias("lang"), place.alias("place"), F.col(text_col).alias("text")).join(F.broadcast(shares), "lang").where("place < share")
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            grids = [windows_of(t.as_py().encode(), TRAIN_WINDOWS).tobytes() for t in batch.column(2)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(grids, pa.binary())], names=["lang", "place", "windows"])
+
+    windows = drawn.select("lang", "place", "text").mapInArrow(cut, "lang string, place double, windows binary")
+    chosen = windows.orderBy("place", "lang", "windows").limit(2 * TRAIN_TEXTS * len(languages)).collect()
+    parts = [np.frombuffer(r["windows"], np.uint8).reshape(-1, WINDOW) for r in chosen]
     if not parts:
         return None
-    labels = np.repeat([languages.index(r["lang"]) for r in chosen], [len(x) for x in parts])
+    index = {name: i for i, name in enumerate(languages)}
+    labels = np.repeat([index[r["lang"]] for r in chosen], [len(x) for x in parts])
     return train_net(np.concatenate(parts), labels, languages)
 
 
@@ -182,8 +189,10 @@ def identify(docs: DataFrame, net: ByteNet | None, keep: list[str], text_col: st
     """The columns `keep` with lang_pred and score.
 
     A text that is null, empty or without a letter is `und` with score 0, and so
-    is every text where nothing could be learned.  Rows repeated in full get
-    equal predictions; an empty table gives an empty result.
+    is every text where nothing could be learned.  Very long texts are read to
+    their end, window by window.  Of languages that tie the first by code point
+    wins.  Rows repeated in full get equal predictions; other columns, whatever
+    their names, are ignored; an empty table gives an empty result.
     """
     schema = T.StructType([docs.schema[c] for c in keep] + [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
 
