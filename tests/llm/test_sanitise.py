@@ -2,7 +2,7 @@ import hashlib
 import math
 import random
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 from veldt.llm import sanitise as S
 
@@ -50,52 +50,107 @@ def test_base_spans(spark, documents, tmp_path):
         assert [r[f"n_{k}"] for k in S.KINDS] == [sum(w[0] == k for w in want) for k in S.KINDS]
 
 
+def secrets(t):
+    """Long tokens of letters and digits by turns, that carry 64 bits."""
+    out = []
+    for m in re.finditer(r"[A-Za-z0-9_]{20,}", t or "", re.A):
+        bits = sum(-n * math.log2(n / len(m[0])) for n in Counter(m[0]).values())
+        if len(re.findall("[A-Za-z](?=[0-9])|[0-9](?=[A-Za-z])", m[0])) >= 4 and bits >= 64:
+            out.append(("secret", m.start(), m.end()))
+    return out
+
+
 def corpus():
-    filler = "lorem ipsum dolor amet sit elit sed".split()
-    rows = [f"write to Zorblax Quuxly at zq{i % 2}@mail.org about {filler[i % 7]} and {filler[(i + 3) % 7]}" for i in range(6)]
-    rows += [f"the {filler[i % 7]} {filler[(i + 1) % 7]} about nothing and write more at {i}" for i in range(60)]
-    rows += ["Quuxly alone without an address", rows[0], rows[0], "seen once: Vexmor vx@mail.org"]
+    rng = random.Random(3)
+    filler = ["".join(rng.choice("klmnopqr") for _ in range(5)) for _ in range(600)]
+    text = lambda: " ".join(rng.choice(filler) for _ in range(12))
+    rows = [f"write to Zorblax Quuxly, {text()} at zq{i % 2}@mail.org about {text()}" for i in range(8)]
+    rows += [f"{text()} 10.0.0.{i} server Kelvex {text()}" for i in range(9)] + [f"pay Rumold by 4111 1111 1111 1111 {text()}" for _ in range(4)]
+    rows += [f"call Vintor or Vinten on +1 (988) 555-2485 {text()}" for _ in range(4)] + [f"passkey {''.join(rng.choice('0123456789abcdef') for _ in range(40))} {text()}" for _ in range(7)]
+    rows += [text() for _ in range(80)] + [f"Vinten {text()}", f"Zornal {text()}", "Quuxly alone without an address"]
+    rows += [rows[0]] * 2 + ["seen once: Vexmor vx@mail.org", None, ""]
     return rows
 
 
 def brute_terms(rows, generalise=S.GENERALISE, remove=S.REMOVE):
-    """Terms near entities whose mutual information with an entity of the document is high."""
-    token = re.compile(r"[^\W\d_]\w{2,}")
-    near, df_e, df_t, texts = defaultdict(set), defaultdict(set), defaultdict(int), defaultdict(set)
+    """{(row, term): (action, put)} by loops over all documents, entities and terms."""
+    import xxhash
+
+    words = [set(re.findall(r"[^\W\d_](?:[^\W_]){2,}", (t or "").lower())) for t in rows]
+    terms = [w | {x[:k] + "*" for x in w for k in S.LEVELS if len(x) > k} for w in words]
+    sketch = [min((xxhash.xxh64(w.encode(), seed=42).intdigest() + 2**63) % 2**64 - 2**63 for w in ws) if ws else 0 for ws in words]
+    held = defaultdict(set)
     for i, t in enumerate(rows):
-        for w in set(token.findall(t.lower())):
-            df_t[w] += 1
-        for m in re.finditer(PLAIN["email"], t):
-            e = m[0].lower()
-            df_e[e].add(i)
-            for w in token.findall(t[: m.start()].lower() + " " + t[m.end() :].lower()):
-                near[e, w].add(i)
-                texts[e, w].add(t)
+        for k, a, b in brute(t) + secrets(t):
+            v = t[a:b] if k == "secret" else re.sub("[^0-9]", "", t[a:b]) if k in ("card", "phone") else t[a:b].lower()
+            held[k, v].add(i)
+            held[k, None].add(i)
+    n, df_t, shares = len(rows), Counter(x for ts in terms for x in ts), {}
+    for e, docs in held.items():
+        for x in set().union(*(terms[i] for i in docs)):
+            both = [i for i in docs if x in terms[i]]
+            same = Counter(sketch[i] for i in both)
+            worth = sum(same.values()) ** 2 / sum(c * c for c in same.values())
+            share = math.log2(n * len(both) / (df_t[x] * len(docs))) / math.log2(n / len(docs))
+            if worth >= (S.EVIDENCE if e[1] is not None else S.KIND_EVIDENCE) and share >= generalise:
+                for i in both:
+                    shares[i, x] = max(shares.get((i, x), 0), share)
     out = {}
-    n = len(rows)
-    for (e, w), docs in near.items():
-        if len(texts[e, w]) >= 2 and len({rows[i] for i in df_e[e]}) >= 2:
-            share = math.log2(n * len(docs) / (df_t[w] * len(df_e[e]))) / math.log2(n / len(df_e[e]))
-            if share >= generalise:
-                for i in docs:
-                    out[i, w] = max(out.get((i, w), 0), share)
-    return {k: "removed" if v >= remove else "generalised" for k, v in out.items()}
+    for (i, x), share in shares.items():
+        if not x.endswith("*"):
+            levels = [x[:k] + "*" for k in S.LEVELS if len(x) > k and (i, x[:k] + "*") not in shares]
+            out[i, x] = ("removed", "") if share >= remove else ("generalised", levels[0] if levels else "[TERM]")
+    return out
 
 
-def test_disclosing_terms(spark):
+def test_disclosing_terms(spark, monkeypatch):
     rows = corpus()
     df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
-    found = S.sanitise(df).collect()
-    got = {(r["id"], rows[r["id"]][t["start"] : t["end"]].lower()): t["action"] for r in found for t in r["terms"]}
     want = brute_terms(rows)
-    assert got == want and any(w == "zorblax" for _, w in want) and not any(w == "vexmor" for _, w in want)
+    for broadcast in (S.BROADCAST_ROWS, 0):
+        monkeypatch.setattr(S, "BROADCAST_ROWS", broadcast)
+        terms = S.disclosing_terms(df, S.spans_of(df).checkpoint()).collect()
+        assert {(r["id"], r["term"]): (r["action"], r["put"]) for r in terms} == want
+    named = {w for _, w in want}
+    # a name beside an address, a word beside any address of a kind, beside a card, a number and a key; never a text seen once
+    assert {"zorblax", "kelvex", "rumold", "vintor", "passkey"} <= named and "vexmor" not in named
+    assert {a for a, _ in want.values()} == {"removed", "generalised"} and any(p.endswith("*") for _, p in want.values())
+    found = S.sanitise(df).collect()
+    for r in found:
+        t = rows[r["id"]]
+        fixed = [(b["start"], b["end"]) for b in [*r["base"], *r["secrets"]]]
+        places = [(m.start(), m.end()) for m in re.finditer(r"[^\W\d_](?:[^\W_]){2,}", t) if (r["id"], m[0].lower()) in want]
+        assert [(x["start"], x["end"]) for x in r["terms"]] == [p for p in places if not any(a < p[1] and p[0] < b for a, b in fixed)]
     # documents without an entity are left alone, and redaction keeps the rest of the text
-    assert {r["id"] for r in found} == {i for i, t in enumerate(rows) if "@" in t}
+    assert {r["id"] for r in found} == {i for i, t in enumerate(rows) if brute(t) + secrets(t)}
     out = {r["doc_id"]: r["text"] for r in S.redacted(df).collect()}
-    assert out[6] == rows[6] and "Zorblax" not in out[0] and "[EMAIL]" in out[0] and out[0].startswith("write to")
+    assert all(out[i] == t for i, t in enumerate(rows) if not brute(t) + secrets(t)) and "Zorblax" not in out[0] and "[EMAIL]" in out[0]
+    assert all("[SECRET]" in out[i] for i, t in enumerate(rows) if t and t.startswith("passkey"))
+
+
+def test_near_copies_are_no_evidence(spark):
+    """Many copies of one text, each with another word, disclose nothing; as many different texts do."""
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(9))
+    base = [word() for _ in range(60)]
+    copies = [" ".join([*base, word(), "secretary", f"to a{i}@one.org"]) for i in range(40)]
+    others = [" ".join([*(word() for _ in range(60)), "hidden", f"at 10.1.1.{i}"]) for i in range(40)]
+    rows = copies + others + [" ".join(word() for _ in range(60)) for _ in range(120)]
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    terms = {r["term"] for r in S.disclosing_terms(df, S.spans_of(df).checkpoint()).collect()}
+    assert "hidden" in terms and not terms & {*base, "secretary"}
+
+
+def test_secrets(spark):
+    rng = random.Random(9)
+    texts = ["x" * 40, "a1" * 30, "word_with_many_parts_of_2020", "9b0b3c6a43eb78aa99cbd7049c572391524f37a8", "é9b0b3c6a43eb78aa99cbd7049c572391524f37a8é", "1" * 3000, "aB3" * 2000]
+    texts += ["".join(rng.choice("abcDEF0123_ .") for _ in range(300)) for _ in range(100)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = sorted((r["id"], r["start"], r["end"]) for r in S.spans_of(df).where("kind = 'secret'").collect())
+    assert got == sorted((i, a, b) for i, t in enumerate(texts) for _, a, b in secrets(t)) and got
 
 
 def test_no_python_in_the_plan(spark, documents):
     S.prepare(spark)
-    plan = S.base_spans(documents)._jdf.queryExecution().executedPlan().toString()
+    plan = S.spans_of(documents)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
