@@ -10,9 +10,11 @@ that find nothing there are looked up in the other conversations; of several
 messages that have the part, the one of the smallest (conversation, turn)
 stands for all.  A message without a link answers the turn before it.
 
-Thread and depth come from pointer doubling over (conversation, turn), so a
-conversation of any length is never gathered in one task, except by a window
-over conversations whose turn numbers have gaps.
+No conversation and no passage is gathered in one task, however often it
+occurs.  The latest earlier turn that has a passage, and the turn before a gap,
+are running maxima over ranges of rows (`last_before`), one row for each turn
+that asks and each that has it; never a join of all that ask with all that
+have.  Thread and depth come from pointer doubling over (conversation, turn).
 """
 
 from __future__ import annotations
@@ -26,14 +28,15 @@ from .session import prepare, read_table, saved
 MARKS = r"(?:[ \t]?>)"
 QUOTED = rf"(?m)^{MARKS}"
 #: A line that introduces a quotation, in the languages of the corpus.
-INTRODUCTION = r"(?im)^[^\n>]{0,200}\b(?:wrote|writes|schrieb|écrit|a écrit|escribió)\s?:[ \t]*\n(?=[ \t]?>)"
+INTRODUCTION = r"(?im)^[^\n>]*\b(?:wrote|writes|schrieb|écrit|a écrit|escribió)\s?:[ \t]*\n(?=[ \t]?>)"
 
 
 def unquoted(text: Column) -> Column:
-    """The text without quoted lines and the lines that introduce them."""
+    """The text without quoted lines, the lines that introduce them and the gaps that they leave; without any, the text as it is."""
     bare = F.regexp_replace(text, INTRODUCTION, "")
     bare = F.regexp_replace(bare, rf"(?m)^{MARKS}[^\n]*(?:\n|\z)", "")
-    return F.regexp_replace(F.regexp_replace(bare, r"\n{3,}", "\n\n"), r"^\s+|\s+$", "")
+    bare = F.regexp_replace(F.regexp_replace(bare, r"\n{3,}", "\n\n"), r"^\s+|\s+$", "")
+    return F.when(text.rlike(QUOTED), bare).otherwise(text)
 
 
 def normalised(text: Column) -> Column:
@@ -61,6 +64,23 @@ def quoted_passages(messages: DataFrame) -> DataFrame:
     )
 
 
+def last_before(rows: DataFrame, keys: list[str], order: str, value: str, out: str) -> DataFrame:
+    """Add `out`: the greatest `value` among rows of equal keys that come before in `order`.
+
+    Rows are dealt by ranges of (keys, order), so a key of very many rows spans
+    many tasks; what a task has seen of its last key is carried to the next by
+    one row per range.
+    """
+    part, carried = "__part", "__carried"
+    dealt = rows.repartitionByRange(*keys, order).withColumn(part, F.spark_partition_id()).checkpoint()
+    here = Window.partitionBy(*keys, part).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    parts = Window.partitionBy(*keys).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    # a range carries on at most one key from those before it, so these are no more rows than ranges
+    over = dealt.groupBy(*keys, part).agg(F.max(value).alias("__m")).withColumn(carried, F.max("__m").over(parts)).where(F.col(carried).isNotNull()).drop("__m")
+    found = dealt.withColumn(out, F.max(value).over(here)).join(F.broadcast(over), [*keys, part], "left")
+    return found.withColumn(out, F.coalesce(out, carried)).drop(part, carried)
+
+
 def _previous(turns: DataFrame, count: int) -> DataFrame:
     """(conv_id, turn, previous) of distinct turns; null for a conversation's first."""
     before = turns.select("conv_id", (F.col("turn") + 1).alias("turn"), F.col("turn").alias("previous"))
@@ -70,7 +90,7 @@ def _previous(turns: DataFrame, count: int) -> DataFrame:
     gaps = saved(gaps, count)
     if gaps.select("conv_id").first() is None:
         return joined
-    lagged = turns.join(gaps, "conv_id", "left_semi").withColumn("previous", F.lag("turn").over(Window.partitionBy("conv_id").orderBy("turn")))
+    lagged = last_before(turns.join(gaps, "conv_id", "left_semi").withColumn("at", F.col("turn")), ["conv_id"], "turn", "at", "previous").drop("at")
     return joined.join(gaps, "conv_id", "left_anti").select("conv_id", "turn", "previous").unionByName(lagged)
 
 
@@ -82,10 +102,12 @@ def link_quotations(conversations: DataFrame) -> DataFrame:
     `depth` the number of replies back to it.  Sorting by (conv_id, thread,
     depth, turn) gives reply-ordered conversations.  `quoted_conv` and
     `quoted_turn` name a message of another conversation that a passage without
-    a match in its own quotes.  Null text counts as empty; rows without a
-    conversation or turn are messages without links; rows that repeat a turn
-    share its links; other columns are ignored; an empty table gives an empty
-    result.
+    a match in its own quotes.  Null text counts as empty; very long texts are
+    parsed whole; rows without a conversation or turn are messages without
+    links; rows that repeat a turn share its links; of originals that tie, the
+    latest earlier turn is answered and the smallest (conversation, turn)
+    elsewhere is named; other columns, whatever their names, are ignored; an
+    empty table gives an empty result.
     """
     prepare(conversations.sparkSession)
     count = conversations.count()
@@ -101,10 +123,13 @@ def link_quotations(conversations: DataFrame) -> DataFrame:
     else:
         wanted = asked.select("hash").distinct()
         originals = bare.select("conv_id", "turn", F.explode(parts(F.col("body"))).alias("p")).select("conv_id", "turn", "p.hash", "p.words").distinct().join(wanted, "hash", "left_semi").checkpoint()
-        here = originals.select("conv_id", F.col("turn").alias("o_turn"), "hash")
+        # one row for each turn that asks for a part or has it
+        sides = asked.select("conv_id", "hash", "turn", F.lit(None).cast(turns.schema["turn"].dataType).alias("has"), F.lit(True).alias("asks"))
+        sides = sides.unionByName(originals.select("conv_id", "hash", "turn", F.col("turn").alias("has"), F.lit(False).alias("asks")))
+        sides = sides.groupBy("conv_id", "hash", "turn").agg(F.max("has").alias("has"), F.max("asks").alias("asks"))
+        answered = last_before(sides, ["conv_id", "hash"], "turn", "has", "o_turn").where("asks and o_turn is not null").select("conv_id", "hash", "turn", "o_turn")
         best = (
-            asked.join(here, ["conv_id", "hash"])
-            .where("o_turn < turn")
+            asked.join(answered, ["conv_id", "hash", "turn"])
             .groupBy("conv_id", "turn", "level", "passage")
             .agg(F.max(F.struct("words", "o_turn")).alias("best"))
             .checkpoint()
