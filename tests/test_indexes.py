@@ -45,6 +45,64 @@ def test_negatives_avoid_positives(spark):
     assert not {(r["u"], r["i"]) for r in got} & known and Counter(r["u"] for r in got) == {u: 5 for u in range(6)}
 
 
+def test_negatives_follow_the_weights(spark):
+    """First draws of many users against the weights of all items: chi-square, with one item of a third of all weight."""
+    weights = [30.0, 20.0, *[float(w) for w in range(1, 9)], 4.0]
+    items = spark.createDataFrame(list(enumerate([*weights, 0.0])), "i int, w double")
+    users = spark.range(4000).selectExpr("id AS u", "cast(99 AS int) AS i")
+    rows = sampling.negative_sample(users, items, "u", "i", 3, "w", seed=5).collect()
+    assert Counter(r["u"] for r in rows) == {u: 3 for u in range(4000)} and len({(r["u"], r["i"]) for r in rows}) == 12000
+    first, total = Counter(r["i"] for r in rows if r["rank"] == 1), sum(weights)
+    assert sum((first[i] - 4000 * w / total) ** 2 / (4000 * w / total) for i, w in enumerate(weights)) < 30  # 10 degrees of freedom
+    # the second of two draws without replacement
+    want = sum(4000 * (w / total) * (30.0 / (total - w)) for i, w in enumerate(weights) if i)
+    assert abs(Counter(r["i"] for r in rows if r["rank"] == 2)[0] - want) < 5 * want**0.5
+
+
+def test_negatives_where_positives_weigh_nearly_all(spark):
+    items = spark.createDataFrame([(i, 1e9 if i < 3 else 1.0) for i in range(9)], "i int, w double")
+    positives = spark.createDataFrame([(1, i) for i in range(3)] + [(2, i) for i in range(8)], "u int, i int")
+    got = Counter((r["u"], r["i"]) for r in sampling.negative_sample(positives, items, "u", "i", 4, "w").collect())
+    assert set(got.values()) == {1} and {i for u, i in got if u == 1} < set(range(3, 9)) and sum(u == 1 for u, _ in got) == 4 and [i for u, i in got if u == 2] == [8]
+    assert sampling.sample_size(9, 4) == 9 and sampling.sample_size(9, 4, False) == 4 and sampling.sample_size(9, None, False) == 9
+
+
+@pytest.mark.parametrize("kind", ["UNIFORM", "ARITHMETIC", "RECIPROCAL"])
+def test_kept_levels(spark, kind):
+    """Exactly round(share * inner levels) and the last one, alike for all rows of a batch; later levels more often where chances rise."""
+    rows = spark.range(2000).select("id", sampling.kept_levels(7, kind, 0.5, "id", seed=1).alias("l")).collect()
+    assert all(len(set(r["l"])) == 4 and 7 in r["l"] for r in rows)
+    seen = Counter(lv for r in rows for lv in r["l"])
+    assert abs(seen[6] - 1000) < 150 if kind == "UNIFORM" else seen[6] > 1.4 * seen[1]
+    one = spark.range(50).select(sampling.kept_levels(7, kind, 0.5, 0, seed=1).alias("l")).distinct().count()
+    assert one == 1
+
+
+@pytest.mark.parametrize("branches", [2, 3, 9, 10, 11])
+def test_levels_in_whole_numbers(spark, branches):
+    firsts, want = [], []
+    code = 0
+    for level in range(20):
+        if code >= 2**62:
+            break
+        firsts += [code] + ([code - 1] if level else [])
+        want += [level] + ([level - 1] if level else [])
+        code = code * branches + 1
+    got = [r["l"] for r in spark.createDataFrame(list(enumerate(firsts)), "i int, c long").orderBy("i").select(trees.level_of(F.col("c"), branches).alias("l")).collect()]
+    assert got == want
+
+
+def test_cells_reach_their_recall(spark):
+    """The registered search in cells against all vectors."""
+    from veldt.plans import index_queries as I
+
+    for sf in ("0.001", "0.01"):
+        d = f"/root/testdata/sf{sf}"
+        best = {(r["query_id"], r["item_id"]) for r in I.QUERIES["top_k_inner_product"](spark, d).collect()}
+        found = {(r["query_id"], r["item_id"]) for r in I.QUERIES["top_k_in_cells"](spark, d).collect()}
+        assert len(best & found) >= 0.9 * len(best)
+
+
 def test_weighted_sample_prefers_weight(spark):
     df = spark.range(1000).selectExpr("id AS i", "IF(id < 100, 50.0, 1.0) AS w")
     got = [r["i"] for r in sampling.weighted_sample(df, 100, "w", "i").collect()]

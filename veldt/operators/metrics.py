@@ -74,10 +74,15 @@ def binned_auc(df: DataFrame, score: str, label: str, thresholds: int = 200) ->
 
 
 def decay_auc(df: DataFrame, score: str, label: str, batch: str, decay: float = 0.9, thresholds: int = 200) -> DataFrame:
-    """AUC of threshold counts in which each batch weighs `decay` to its age in batches."""
+    """AUC of threshold counts folded batch by batch: decay * old + (1 - decay) * new, from the first batch's counts on.
+
+    The fold is a weighted sum: a batch weighs 1 - decay, or 1 if it is the
+    first, and `decay` to the number of batches after it.
+    """
     cuts = threshold_counts(df, score, label, thresholds, [batch])
-    batches = df.select(batch).distinct().withColumn("__age", F.dense_rank().over(Window.orderBy(F.desc(batch))) - 1)
-    w = F.pow(F.lit(decay), F.col("__age"))
+    every = Window.orderBy(F.desc(batch))
+    batches = df.select(batch).distinct().select(batch, (F.row_number().over(every) - 1).alias("__age"), F.lead(batch).over(every).isNull().alias("__first"))
+    w = F.pow(F.lit(decay), F.col("__age")) * F.when(F.col("__first"), 1.0).otherwise(1 - decay)
     summed = cuts.join(batches, batch).groupBy("k").agg(*[F.sum(F.col(c) * w).alias(c) for c in ("tp", "fp", "pos", "neg")])
     return _trapezoids(summed.withColumn("__one", F.lit(1)), ["__one"]).select("auc")
 

@@ -33,43 +33,73 @@ def expansion(num_sample: int, num_positive: int) -> int:
     return -(-num_sample // max(1, num_positive))
 
 
-#: Items of a pool of negatives are broadcast up to this many rows; a larger pool is cut to each user's draw by candidate cells.
-POOL_ROWS = 200_000
+def weight_intervals(items: DataFrame, item: str, weight: str | None = None) -> DataFrame:
+    """(item, low, high): items of positive weight end to end on a line, each as long as its weight.
+
+    The order is by four digits of the id's md5, then by id: sums over the
+    65,536 groups of a prefix come first, sums within each group after.
+    """
+    rows = items.select(F.col(item), F.substring(F.md5(F.col(item).cast("string").cast("binary")), 1, 4).alias("__b"), (F.col(weight).cast("double") if weight else F.lit(1.0)).alias("__w")).where("__w > 0")
+    before = Window.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
+    base = rows.groupBy("__b").agg(F.sum("__w").alias("__s")).select("__b", F.coalesce(F.sum("__s").over(before), F.lit(0.0)).alias("__base"))
+    within = Window.partitionBy("__b").orderBy(item).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    high = F.col("__base") + F.sum("__w").over(within)
+    return rows.join(F.broadcast(base), "__b").select(item, (high - F.col("__w")).alias("low"), high.alias("high"))
+
+
+def sample_size(num: int, num_eval: int | None = None, training: bool = True) -> int:
+    """How many samples to draw: `num_eval`, where it is given, when not training."""
+    return num if training or num_eval is None else num_eval
+
+
+#: Draws of a user in the first round of negatives, as a multiple of the wanted number; each further round has four times as many.
+DRAWS, ROUNDS = 3, 4
 
 
 def negative_sample(
-    positives: DataFrame, items: DataFrame, user: str, item: str, num: int, weight: str | None = None, edges: DataFrame | None = None, seed: int = 0, oversample: float = 4.0,
+    positives: DataFrame, items: DataFrame, user: str, item: str, num: int, weight: str | None = None, edges: DataFrame | None = None, seed: int = 0,
 ) -> DataFrame:
-    """(user, item, rank): `num` negatives of each user, none a positive of theirs, by weight without replacement.
+    """(user, item, rank): `num` negatives of each user, none a positive of theirs, drawn by weight among all items without replacement.
 
     Positives are the user's rows of `positives` and, if given, of `edges`.
-    Items are dealt to cells by a hash and each user draws from as many cells as
-    hold `oversample` times the wanted number, by equal keys: users times a few
-    candidates, never users times items.  A user whose cells come short (long
-    lists of positives) draws again from all items, as a second pass.
+    Draws are points on the line of all weights; repeats and positives are
+    passed over, which is drawing one by one from what is left.  A point finds
+    its item by the slot it falls into, of as many equal slots as items, so a
+    user meets its draws and never all items.  Users who come short draw on;
+    those who still do after the last round (few items, or positives with nearly
+    all weight) rank all their items by ln(u) / w, the same distribution.
     """
-    pool = items.select(F.col(item), (F.col(weight).cast("double") if weight else F.lit(1.0)).alias("__w")).where("__w > 0")
-    n_items = pool.count()
+    line = weight_intervals(items, item, weight)
+    head = line.agg(F.count("*").alias("n"), F.max("high").alias("w")).first()
     known = positives.select(user, item)
     if edges is not None:
         known = known.unionByName(edges.select(user, item))
     known = known.distinct()
     users = positives.select(user).distinct()
-    cells = max(1, int(n_items // max(1.0, num * oversample)))
-
-    def drawn(who: DataFrame, n_cells: int) -> DataFrame:
-        dealt = pool.withColumn("__cell", F.floor(uniform(item, seed=seed + 1) * n_cells).cast("int"))
-        asked = who.withColumn("__cell", F.floor(uniform(user, seed=seed + 2) * n_cells).cast("int"))
-        pairs = asked.join(dealt, "__cell").join(known, [user, item], "left_anti")
-        key = F.ln(uniform(user, item, seed=seed)) / F.col("__w")
-        w = Window.partitionBy(user).orderBy(F.desc(key), item)
-        return pairs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= num).select(user, item, "rank")
-
-    first = drawn(users, cells)
-    if cells == 1:
-        return first
-    done = first.groupBy(user).agg(F.count("*").alias("__n")).where(F.col("__n") >= num).select(user)
-    return first.join(done, user, "left_semi").unionByName(drawn(users.join(done, user, "left_anti"), 1))
+    n, total = head["n"], head["w"] or 1.0
+    slot = lambda x: F.least(F.lit(n - 1), F.floor(x / total * n)).cast("bigint")
+    slots = line.withColumn("__slot", F.explode(F.sequence(slot(F.col("low")), slot(F.col("high")))))
+
+    def drawn(who: DataFrame, draws: int) -> DataFrame:
+        points = who.withColumn("__j", F.explode(F.sequence(F.lit(1), F.lit(draws)))).withColumn("__x", uniform(user, "__j", seed=seed) * total).withColumn("__slot", slot(F.col("__x")))
+        hits = points.join(slots, "__slot").where("low <= __x and __x < high").groupBy(user, item).agg(F.min("__j").alias("__j"))
+        w = Window.partitionBy(user).orderBy("__j")
+        return hits.join(known, [user, item], "left_anti").withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= num).select(user, item, "rank")
+
+    if not n:
+        return drawn(users, 1).limit(0)
+    out, draws = None, num * DRAWS
+    for _ in range(ROUNDS):
+        found = drawn(users, draws)
+        done = found.groupBy(user).agg(F.count("*").alias("__n")).where(F.col("__n") >= num).select(user)
+        full = found.join(done, user, "left_semi")
+        out = full if out is None else out.unionByName(full)
+        users, draws = users.join(done, user, "left_anti"), draws * 4
+        if users.first() is None:
+            return out
+    key = F.ln(uniform(user, item, seed=seed)) / (F.col("high") - F.col("low"))
+    ranked = users.crossJoin(line).join(known, [user, item], "left_anti").withColumn("rank", F.row_number().over(Window.partitionBy(user).orderBy(F.desc(key), item)))
+    return out.unionByName(ranked.where(F.col("rank") <= num).select(user, item, "rank"))
 
 
 def hard_negatives(positives: DataFrame, hard_edges: DataFrame, user: str, item: str, num: int, weight: str | None = None) -> DataFrame:
@@ -116,30 +146,41 @@ def _up(code: Column, steps: Column, branches: int) -> Column:
     return F.when(power < 2.0**61, F.floor((code.cast("double") - before) / power)).otherwise(F.lit(-1)).cast("bigint")
 
 
-def keep_probability(level: Column, top: int, kind: str, share: float) -> Column:
-    """How likely a level's positive stays: the last level always; others UNIFORM, ARITHMETIC or RECIPROCAL in the level, at `share` in the mean."""
-    n = max(1, top - 1)
-    shape = {"UNIFORM": F.lit(1.0 / n), "ARITHMETIC": level / float(n * (n + 1) / 2), "RECIPROCAL": (1.0 / (F.lit(float(top)) - level)) / float(sum(1.0 / i for i in range(1, n + 1)))}[kind]
-    return F.when(level >= top, 1.0).otherwise(F.least(F.lit(1.0), shape * share * n))
+def kept_levels(top: int, kind: str, share: float, *batch: Column | str | int, seed: int = 0) -> Column:
+    """The levels of which a batch keeps the positives: the last, and round(share * (top - 1)) others.
+
+    These are drawn once for the batch, without replacement, with chances that
+    are UNIFORM, ARITHMETIC (rising with the level) or RECIPROCAL (in the
+    distance to the last level).
+    """
+    chance = {"UNIFORM": lambda lv: 1.0, "ARITHMETIC": float, "RECIPROCAL": lambda lv: 1.0 / (top - lv)}[kind]
+    inner = [F.struct((-F.ln(uniform(*batch, lv, seed=seed)) / chance(lv)).alias("k"), F.lit(lv).alias("lv")) for lv in range(1, top)]
+    if not inner:
+        return F.array(F.lit(top))
+    return F.concat(F.transform(F.slice(F.array_sort(F.array(*inner)), 1, round(share * len(inner))), lambda s: s["lv"]), F.array(F.lit(top)))
 
 
 def tree_samples(
-    positives: DataFrame, nodes: DataFrame, user: str, item: str, branches: int, negatives: dict[int, int], seed: int = 0, remain_share: float = 1.0, kind: str = "UNIFORM",
+    positives: DataFrame, nodes: DataFrame, user: str, item: str, branches: int, negatives: dict[int, int], seed: int = 0, remain_share: float = 1.0, kind: str = "UNIFORM", batch: str | None = None,
 ) -> DataFrame:
     """(user, item, level, tree_code, label): all ancestors of each positive and, level by level, negatives of the same level.
 
     `nodes` has (item_id, tree_code, level); `negatives` the number by level.
     Negatives are distinct and not the positive itself: places of a level are
     numbered, and a row takes a run of places from a hashed start on, so the
-    join is by equal place and never meets a whole level.
+    join is by equal place and never meets a whole level.  With a `remain_share`
+    below 1 each batch (all rows, unless a column `batch` tells them apart)
+    keeps only some levels.
     """
     leaf = nodes.select(F.col("item_id").alias(item), F.col("tree_code").alias("leaf_code"), F.col("level").alias("leaf_level"))
     top = nodes.agg(F.max("level").alias("m")).first()["m"] or 0
     path = F.concat(F.array(F.col("leaf_code").cast("bigint")), ancestors(F.col("leaf_code"), branches))
-    rows = positives.select(user, item).join(leaf, item).select(user, item, "leaf_level", F.posexplode(path).alias("up", "tree_code"))
+    drawn = (F.col(batch) if batch else F.lit(0)).alias("__batch")
+    rows = positives.select(user, item, drawn).join(leaf, item).select(user, item, "__batch", "leaf_level", F.posexplode(path).alias("up", "tree_code"))
     rows = rows.withColumn("level", F.col("leaf_level") - F.col("up")).where("tree_code > 0").drop("leaf_level", "up")
     if remain_share < 1.0:
-        rows = rows.where(uniform(user, item, "level", seed=seed + 7) < keep_probability(F.col("level"), top, kind, remain_share))
+        rows = rows.where(F.array_contains(kept_levels(top, kind, remain_share, "__batch", seed=seed + 7), F.col("level")))
+    rows = rows.drop("__batch")
     placed = nodes.select("level", F.col("tree_code").cast("bigint").alias("tree_code")).withColumn("place", F.row_number().over(Window.partitionBy("level").orderBy("tree_code")) - 1)
     sizes = placed.groupBy("level").agg(F.count("*").alias("size"))
     wanted = F.coalesce(F.create_map(*[F.lit(x) for lv, n in negatives.items() for x in (lv, n)])[F.col("level")], F.lit(0)) if negatives else F.lit(0)

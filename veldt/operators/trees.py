@@ -119,6 +119,17 @@ def cluster_tree(items: DataFrame, item_id: str, vector: str, branches: int = 2,
     return nodes.groupBy("code").applyInPandas(split, f"item_id {kind}, tree_code long, level int")
 
 
+def level_of(code: Column, branches: int) -> Column:
+    """The level of a node, the root's being 0: how many levels begin at or before its code, in whole numbers."""
+    if branches < 2:
+        return code.cast("int")
+    first, firsts = 1, []
+    while first < 1 << 63:
+        firsts.append(first)
+        first = first * branches + 1
+    return F.size(F.filter(F.array(*[F.lit(x).cast("bigint") for x in firsts]), lambda x: x <= code)).cast("int")
+
+
 def build_tree(leaves: DataFrame, branches: int = 2, attributes: list[str] = (), raw_attributes: list[str] = ()) -> DataFrame:
     """(tree_code, item_id, level, is_leaf, attributes...): leaves and all their ancestors.
 
@@ -127,7 +138,7 @@ def build_tree(leaves: DataFrame, branches: int = 2, attributes: list[str] = (),
     after the largest item id, has the most frequent value of each attribute
     (empty ones left out, the smallest of equals) and the mean of each raw one.
     """
-    code_level = lambda c: F.floor(F.log(float(branches), (branches - 1) * c.cast("double") + 1 + 1e-9)).cast("int") if branches > 1 else c
+    code_level = lambda c: level_of(c, branches)
     extra = [*attributes, *raw_attributes]
     rows = leaves.select("item_id", F.col("tree_code").cast("bigint").alias("tree_code"), *extra).withColumn("level", code_level(F.col("tree_code")))
     head = rows.agg(F.max("level").alias("top"), F.max("item_id").alias("last")).first()

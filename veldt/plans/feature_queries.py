@@ -297,14 +297,14 @@ def _(spark, d):
 
 @query("text_functions", r"""
 SELECT doc_id, md5(upper(replace(text, 'ß', 'SS'))) AS upper_md5, md5(regexp_replace(text, '[^\p{L}\p{M}\p{N} \t\n\x0B\f\r]', '', 'g')) AS filtered_md5, md5(regexp_replace(text, '[ \t\n\x0B\f\r]', '', 'g')) AS packed_md5,
-  md5(regexp_replace(left(text, 200), '[aeiou]+', '_', 'g')) AS vowels_md5
+  md5(regexp_replace(text, '[aeiou]+', '_', 'g')) AS vowels_md5
 FROM documents""")
 def _(spark, d):
     md5 = lambda c: F.md5(c.cast("binary"))
     t = F.col("text")
     return table(spark, d, "documents", "doc_id", "text").select(
         "doc_id", md5(F.upper(t)).alias("upper_md5"), md5(text.normalise(t, ["TEXT_FILTER"])).alias("filtered_md5"), md5(text.normalise(t, ["TEXT_REMOVE_SPACE"])).alias("packed_md5"),
-        md5(F.regexp_replace(F.left(t, F.lit(200)), "[aeiou]+", "_")).alias("vowels_md5"),
+        md5(F.regexp_replace(t, "[aeiou]+", "_")).alias("vowels_md5"),
     )
 
 

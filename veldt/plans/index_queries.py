@@ -52,16 +52,11 @@ BOUGHT = "WITH b AS (SELECT DISTINCT o_custkey AS user_id, l_partkey AS item_id
 
 
 @query("negative_sample", BOUGHT + f""",
-us AS (SELECT DISTINCT user_id FROM b), n AS (SELECT greatest(1, floor(count(*) / (5 * 4.0)))::INT AS cells FROM part WHERE p_size > 0),
-it AS (SELECT p_partkey AS item_id, p_size::DOUBLE AS w, floor({u('p_partkey::VARCHAR', 8)} * cells)::INT AS cell FROM part, n WHERE p_size > 0),
-f AS (SELECT us.user_id, it.item_id, row_number() OVER (PARTITION BY us.user_id ORDER BY ln({u("us.user_id::VARCHAR || '|' || it.item_id::VARCHAR", 7)}) / w DESC, it.item_id) AS rank
-  FROM us, n JOIN it ON it.cell = floor({u('us.user_id::VARCHAR', 9)} * n.cells)::INT LEFT JOIN b ON b.user_id = us.user_id AND b.item_id = it.item_id WHERE b.user_id IS NULL),
-ok AS (SELECT user_id FROM f WHERE rank <= 5 GROUP BY 1 HAVING count(*) >= 5)
-SELECT user_id, item_id, rank FROM f JOIN ok USING (user_id) WHERE rank <= 5
-UNION ALL
-SELECT user_id, item_id, rank FROM (
-  SELECT us.user_id, it.item_id, row_number() OVER (PARTITION BY us.user_id ORDER BY ln({u("us.user_id::VARCHAR || '|' || it.item_id::VARCHAR", 7)}) / w DESC, it.item_id) AS rank
-  FROM (SELECT user_id FROM us WHERE user_id NOT IN (SELECT user_id FROM ok)) us, it LEFT JOIN b ON b.user_id = us.user_id AND b.item_id = it.item_id WHERE b.user_id IS NULL) WHERE rank <= 5""")
+it AS (SELECT p_partkey AS item_id, p_size::DOUBLE AS w, sum(p_size::DOUBLE) OVER (ORDER BY substr(md5(p_partkey::VARCHAR), 1, 4), p_partkey) AS high FROM part WHERE p_size > 0),
+c AS (SELECT item_id, high - w AS low FROM it),
+dr AS (SELECT user_id, j, {u("user_id::VARCHAR || '|' || j::VARCHAR", 7)} * (SELECT max(high) FROM it) AS x FROM (SELECT DISTINCT user_id FROM b), (SELECT unnest(range(1, 241)) AS j)),
+h AS (SELECT user_id, item_id, min(j) AS j FROM dr ASOF JOIN c ON dr.x >= c.low GROUP BY ALL)
+SELECT user_id, item_id, row_number() OVER (PARTITION BY user_id ORDER BY j) AS rank FROM h ANTI JOIN b USING (user_id, item_id) QUALIFY rank <= 5""")
 def _(spark, d):
     items = table(spark, d, "part", F.col("p_partkey").alias("item_id"), "p_size")
     return sampling.negative_sample(_bought(spark, d), items, "user_id", "item_id", 5, "p_size", seed=7).withColumn("rank", F.col("rank").cast("long"))
@@ -83,7 +78,11 @@ def _(spark, d):
     return sampling.fixed_batches(table(spark, d, "events", "user_id", "event_id"), "event_id", 16, "user_id", True)
 
 
-@query("cost_batches")
+@query("cost_batches", """
+WITH RECURSIVE o AS (SELECT user_id, event_id, value, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i FROM events),
+r AS (SELECT user_id, event_id, value, i, 0::BIGINT AS batch, value AS total FROM o WHERE i = 1
+  UNION ALL SELECT o.user_id, o.event_id, o.value, o.i, r.batch + (r.total + o.value > 400)::BIGINT, CASE WHEN r.total + o.value > 400 THEN o.value ELSE r.total + o.value END FROM r JOIN o ON o.user_id = r.user_id AND o.i = r.i + 1)
+SELECT user_id, event_id, value, batch FROM r""")
 def _(spark, d):
     return sampling.cost_batches(table(spark, d, "events", "user_id", "event_id", "value"), "event_id", "value", 400.0, "user_id")
 
@@ -109,53 +108,57 @@ def _vectors(spark, d) -> DataFrame:
 @query("top_k_inner_product", """
 SELECT query_id, item_id, round(score, 5) AS score, rank FROM (
   SELECT q.vec_id AS query_id, i.vec_id AS item_id, list_dot_product(q.embedding::DOUBLE[], i.embedding::DOUBLE[]) AS score, row_number() OVER (PARTITION BY q.vec_id ORDER BY list_dot_product(q.embedding::DOUBLE[], i.embedding::DOUBLE[]) DESC, i.vec_id) AS rank
-  FROM embeddings q, embeddings i WHERE q.vec_id % 5 = 0) WHERE rank <= 10""")
+  FROM embeddings q, embeddings i WHERE q.vec_id % 100 = 0) WHERE rank <= 10""")
 def _(spark, d):
     v = _vectors(spark, d)
-    out = retrieval.top_k(v.where("vec_id % 5 = 0").withColumnRenamed("vec_id", "query_id"), v.withColumnRenamed("vec_id", "item_id"), 10)
+    out = retrieval.top_k(v.where("vec_id % 100 = 0").withColumnRenamed("vec_id", "query_id"), v.withColumnRenamed("vec_id", "item_id"), 10)
     return rounded(out.withColumn("rank", F.col("rank").cast("long")), 5)
 
 
 @query("top_k_l2", """
 SELECT query_id, item_id, round(score, 5) AS score FROM (
   SELECT q.vec_id AS query_id, i.vec_id AS item_id, list_distance(q.embedding::DOUBLE[], i.embedding::DOUBLE[]) ** 2 AS score, row_number() OVER (PARTITION BY q.vec_id ORDER BY list_distance(q.embedding::DOUBLE[], i.embedding::DOUBLE[]), i.vec_id) AS rank
-  FROM embeddings q, embeddings i WHERE q.vec_id % 5 = 0 AND q.vec_id <> i.vec_id) WHERE rank <= 5""")
+  FROM embeddings q, embeddings i WHERE q.vec_id % 100 = 0 AND q.vec_id <> i.vec_id) WHERE rank <= 5""")
 def _(spark, d):
     v = _vectors(spark, d)
-    out = retrieval.top_k(v.where("vec_id % 5 = 0").withColumnRenamed("vec_id", "query_id"), v.withColumnRenamed("vec_id", "item_id"), 6, metric="l2")
+    out = retrieval.top_k(v.where("vec_id % 100 = 0").withColumnRenamed("vec_id", "query_id"), v.withColumnRenamed("vec_id", "item_id"), 6, metric="l2")
     return rounded(out.where("query_id <> item_id").select("query_id", "item_id", F.greatest("score", F.lit(0.0)).alias("score")), 5)
 
 
 @query("hit_rate", """
 WITH k AS (SELECT query_id, item_id FROM (
   SELECT q.vec_id AS query_id, i.vec_id AS item_id, row_number() OVER (PARTITION BY q.vec_id ORDER BY list_dot_product(q.embedding::DOUBLE[], i.embedding::DOUBLE[]) DESC, i.vec_id) AS rank
-  FROM embeddings q, embeddings i WHERE q.vec_id % 5 = 0) WHERE rank <= 10),
-t AS (SELECT q.vec_id AS query_id, i.vec_id AS item_id FROM embeddings q JOIN embeddings i ON q.label = i.label WHERE q.vec_id % 5 = 0 AND i.vec_id < 100)
+  FROM embeddings q, embeddings i WHERE q.vec_id % 100 = 0) WHERE rank <= 10),
+t AS (SELECT q.vec_id AS query_id, i.vec_id AS item_id FROM embeddings q JOIN embeddings i ON q.label = i.label WHERE q.vec_id % 100 = 0)
 SELECT round((SELECT count(*) FROM k JOIN t USING (query_id, item_id))::DOUBLE / (SELECT count(*) FROM t), 6) AS hitrate""")
 def _(spark, d):
     e = table(spark, d, "embeddings")
-    q = e.where("vec_id % 5 = 0").withColumnRenamed("vec_id", "query_id")
-    truth = q.select("query_id", "label").join(e.where("vec_id < 100").select("label", "vec_id"), "label").groupBy("query_id").agg(F.collect_set("vec_id").alias("gt_items"))
+    q = e.where("vec_id % 100 = 0").withColumnRenamed("vec_id", "query_id")
+    truth = q.select("query_id", "label").join(e.select("label", "vec_id"), "label").groupBy("query_id").agg(F.collect_set("vec_id").alias("gt_items"))
     found = retrieval.top_k(q, e.withColumnRenamed("vec_id", "item_id"), 10)
     return rounded(retrieval.hit_rate(retrieval.hit_details(found, truth)))
 
 
 @query("merge_interests", """
-WITH k AS (SELECT q.label AS query_id, i.vec_id AS item_id, max(list_dot_product(q.embedding::DOUBLE[], i.embedding::DOUBLE[])) AS score FROM embeddings q, embeddings i WHERE q.vec_id < 40 GROUP BY ALL)
+WITH k AS (SELECT q.label AS query_id, i.vec_id AS item_id, max(list_dot_product(q.embedding::DOUBLE[], i.embedding::DOUBLE[])) AS score FROM embeddings q, embeddings i WHERE q.vec_id % 100 = 0 GROUP BY ALL)
 SELECT query_id, item_id, round(score, 5) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, item_id) AS rank FROM k) WHERE rank <= 8""")
 def _(spark, d):
     e = table(spark, d, "embeddings")
-    found = retrieval.top_k(e.where("vec_id < 40").withColumnRenamed("vec_id", "query_id"), e.withColumnRenamed("vec_id", "item_id"), 8)
+    found = retrieval.top_k(e.where("vec_id % 100 = 0").withColumnRenamed("vec_id", "query_id"), e.withColumnRenamed("vec_id", "item_id"), 8)
     groups = e.select(F.col("vec_id").alias("query_id"), F.col("label"))
     merged = retrieval.merge_interests(found.join(groups, "query_id").select(F.col("label").alias("query_id"), "item_id", "score"), 8)
     return rounded(merged.withColumn("rank", F.col("rank").cast("long")), 5)
 
 
-CENTRES = "(SELECT vec_id AS c, embedding::DOUBLE[] AS cv FROM embeddings WHERE vec_id < 8)"
+# the sample that cells are made of: the 16 vectors whose ids have the least md5
+CENTRES = "(SELECT row_number() OVER (ORDER BY md5(vec_id::VARCHAR)) - 1 AS c, embedding::DOUBLE[] AS cv FROM embeddings ORDER BY md5(vec_id::VARCHAR) LIMIT 16)"
+#: Probed cells of 16: the given vectors have no clusters, so a recall of 0.9 takes most of them (see test_cells_reach_their_recall).
+PROBES = 13
 
 
 def _centres(spark, d) -> list[list[float]]:
-    return [list(map(float, r["embedding"])) for r in _vectors(spark, d).where("vec_id < 8").orderBy("vec_id").collect()]
+    least = F.md5(F.col("vec_id").cast("string").cast("binary"))
+    return [list(map(float, r["embedding"])) for r in _vectors(spark, d).orderBy(least).limit(16).collect()]
 
 
 @query("inverted_file_cells", f"""
@@ -166,11 +169,11 @@ def _(spark, d):
 
 @query("top_k_in_cells", f"""
 WITH a AS (SELECT e.vec_id, embedding::DOUBLE[] AS v, c, row_number() OVER (PARTITION BY e.vec_id ORDER BY list_distance(embedding::DOUBLE[], cv), c) AS r FROM embeddings e, {CENTRES}),
-p AS (SELECT q.vec_id AS query_id, i.vec_id AS item_id, list_dot_product(q.v, i.v) AS score FROM a q JOIN a i ON q.c = i.c WHERE q.r <= 3 AND i.r = 1 AND q.vec_id % 5 = 0)
+p AS (SELECT q.vec_id AS query_id, i.vec_id AS item_id, list_dot_product(q.v, i.v) AS score FROM a q JOIN a i ON q.c = i.c WHERE q.r <= {PROBES} AND i.r = 1 AND q.vec_id % 100 = 0)
 SELECT query_id, item_id, round(score, 5) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, item_id) AS rank FROM p) WHERE rank <= 10""")
 def _(spark, d):
     v = _vectors(spark, d)
-    out = retrieval.top_k_in_cells(v.where("vec_id % 5 = 0").withColumnRenamed("vec_id", "query_id"), v.withColumnRenamed("vec_id", "item_id"), 10, _centres(spark, d), 3)
+    out = retrieval.top_k_in_cells(v.where("vec_id % 100 = 0").withColumnRenamed("vec_id", "query_id"), v.withColumnRenamed("vec_id", "item_id"), 10, _centres(spark, d), PROBES)
     return rounded(out.drop("rank"), 5)
 
 
@@ -311,7 +314,14 @@ def _(spark, d):
     return rounded(trees.build_tree(leaves, 2, ["p_brand"], ["p_retailprice"]).where("tree_code = 0").select("tree_code", "p_brand", "p_retailprice"))
 
 
-@query("tree_samples")
+@query("tree_samples", TREE + f""", b AS (SELECT DISTINCT o_custkey AS user_id, l_partkey AS item_id FROM orders JOIN lineitem ON o_orderkey = l_orderkey),
+n AS (SELECT DISTINCT code AS tree_code, level FROM t), pl AS (SELECT *, row_number() OVER (PARTITION BY level ORDER BY tree_code) - 1 AS place, count(*) OVER (PARTITION BY level) AS size FROM n),
+rows AS (SELECT user_id, item_id, t.level, t.code AS tree_code FROM b JOIN t ON t.p_partkey = item_id WHERE t.code > 0),
+own AS (SELECT r.user_id, r.item_id, r.level, pl.place, pl.size, least(CASE r.level WHEN 3 THEN 2 WHEN 6 THEN 4 WHEN 11 THEN 8 ELSE 0 END, pl.size - 1) AS n,
+  floor({u("r.user_id::VARCHAR || '|' || r.item_id::VARCHAR || '|' || r.level::VARCHAR", 4)} * (pl.size - 1))::BIGINT AS start FROM rows r JOIN pl USING (level, tree_code)),
+j AS (SELECT *, unnest(range(n)) AS j FROM own WHERE n > 0)
+SELECT user_id, item_id, level, tree_code, 1 AS label FROM rows
+UNION ALL SELECT j.user_id, j.item_id, j.level, pl.tree_code, 0 FROM j JOIN pl ON pl.level = j.level AND pl.place = (j.place + 1 + (j.start + j.j) % (j.size - 1)) % j.size""")
 def _(spark, d):
     nodes = trees.build_tree(_category_tree(spark, d), 2).select("item_id", "tree_code", "level")
     return sampling.tree_samples(_bought(spark, d).distinct(), nodes, "user_id", "item_id", 2, {3: 2, 6: 4, 11: 8}, seed=4)
@@ -325,13 +335,21 @@ def _(spark, d):
     return rows.groupBy("level").agg(F.count("*").alias("n"))
 
 
-@query("beam_search")
+@query("beam_search", TREE + """,
+prices AS (SELECT t.level, t.code, avg(p_retailprice) AS price, any_value(t.p_partkey) AS item_id FROM t JOIN part USING (p_partkey) GROUP BY ALL),
+q AS (SELECT s_suppkey AS query_id, 900.0 + abs(s_acctbal) / 20 AS wanted FROM supplier),
+s AS (SELECT query_id, wanted, code, level, -abs(price - wanted) AS score, item_id FROM q, prices, dp WHERE level = least(depth, ceil(log2(20) - 1e-9))
+  QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY -abs(price - wanted) DESC, code) <= 10),
+r AS (SELECT * FROM s UNION ALL (SELECT r.query_id, r.wanted, p.code, p.level, -abs(p.price - r.wanted), p.item_id FROM r JOIN prices p ON p.level = r.level + 1 AND (p.code - 1) // 2 = r.code
+  QUALIFY row_number() OVER (PARTITION BY r.query_id ORDER BY -abs(p.price - r.wanted) DESC, p.code) <= 10))
+SELECT query_id, item_id, round(score, 6) AS score, rank FROM (SELECT query_id, item_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, item_id) AS rank FROM r, dp WHERE level = depth) WHERE rank <= 5""")
 def _(spark, d):
     """Nearest prices by tree: the score of a node is closeness of its leaves' mean price."""
     leaves = _category_tree(spark, d).join(table(spark, d, "part", F.col("p_partkey").alias("item_id"), "p_retailprice"), "item_id")
     nodes = trees.build_tree(leaves, 2, [], ["p_retailprice"])
     queries = table(spark, d, "supplier", F.col("s_suppkey").alias("query_id"), (F.lit(900.0) + F.abs(F.col("s_acctbal")) / 20).alias("wanted"))
-    return trees.beam_search(queries, nodes, 5, 2, lambda t: -F.abs(t["p_retailprice"] - t["wanted"]))
+    found = trees.beam_search(queries, nodes, 5, 2, lambda t: -F.abs(t["p_retailprice"] - t["wanted"]))
+    return rounded(found.select("query_id", "item_id", "score", F.col("rank").cast("long").alias("rank")))
 
 
 # --- deltas and configs --------------------------------------------------------------------

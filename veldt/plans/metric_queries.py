@@ -72,7 +72,7 @@ def _(spark, d):
 
 
 @query("auc_decayed", E + BINNED.format("batch,") + """,
-w AS (SELECT cut, sum(tp * pow(0.9, 19 - batch)) AS tp, sum(fp * pow(0.9, 19 - batch)) AS fp, sum(pos * pow(0.9, 19 - batch)) AS pos, sum(neg * pow(0.9, 19 - batch)) AS neg FROM t GROUP BY cut)""" + AREA.format("w"))
+w AS (SELECT cut, list_reduce(list(tp ORDER BY batch), lambda old, new: 0.9 * old + 0.1 * new) AS tp, list_reduce(list(fp ORDER BY batch), lambda old, new: 0.9 * old + 0.1 * new) AS fp, list_reduce(list(pos ORDER BY batch), lambda old, new: 0.9 * old + 0.1 * new) AS pos, list_reduce(list(neg ORDER BY batch), lambda old, new: 0.9 * old + 0.1 * new) AS neg FROM t GROUP BY cut)""" + AREA.format("w"))
 def _(spark, d):
     return rounded(M.decay_auc(clicks(spark, d), "score", "label", "batch", 0.9))
 
