@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from veldt.functions.bucketize import Bucketizer
 from veldt.operators.features import (
     BoolMaskFeature, ComboFeature, CombineFeature, CustomFeature, ExprFeature, IdFeature, KvDotProduct, LookupFeature, MatchFeature, OverlapFeature, RawFeature,
-    SequenceFeature, SequenceGroup, TokenizeFeature,
+    SequenceFeature, SequenceGroup, TokenizeFeature, sequenced,
 )
 from veldt.plans.features import FeaturePlan, debug_dump
 
@@ -176,6 +176,85 @@ def test_sequences(spark):
     assert [s.name for s in group.scalars()] == ["id", "price"]
 
 
+def test_sequenced_combo(spark):
+    """A user's value with the steps of a sequence; an empty step has the default, or 0."""
+    rows = [("ua", f"abc{M}efg;hij"), ("", ""), ("ub", "hij")]
+    combo = lambda default, dim: sequenced(ComboFeature("c", ["user:id", "item:iid"], default), group="click", value_dim=dim)
+    assert combo(None, 0).name == "click__c" and combo(None, 0).inputs == ["user:id", "item:click__iid"]
+    schema = "id string, click__iid string"
+    assert values(spark, schema, rows, combo(None, 0)) == [[["ua_abc", "ua_efg"], ["ua_hij"]], [["0"]], [["ub_hij"]]]
+    assert values(spark, schema, rows, combo("xyz", 1)) == [[["ua_abc"], ["ua_hij"]], [["xyz"]], [["ub_hij"]]]
+
+
+@pytest.mark.parametrize("how,bucketed,plain", [("sum", [[3], [1]], [[3], [1]]), ("mean", [[1], [1]], [[1.5], [1]])])
+def test_sequenced_combine(spark, how, bucketed, plain):
+    rows = [(f"tag1{M}tag2;tag1",), ("tag2",), ("",)]
+    f = CombineFeature("f", ["user:a"], "0", combiner=how, value_map={"tag1": 1.0, "tag2": 2.0})
+    assert values(spark, "a string", rows, sequenced(f)) == [plain, [[2]], [[0]]]
+    f = CombineFeature("f", ["user:a"], None, combiner=how, value_map={"tag1": 1.0, "tag2": 2.0}, buckets=Bucketizer(num_buckets=10))
+    assert values(spark, "a string", rows, sequenced(f)) == [bucketed, [[2]], [[0]]]
+
+
+KEYS = [f"ca{M}cb;ca", "ca", f"ca{M}cd;ce", "cd", "", "ca", ""]
+KV = [f"ca:1{M}cb:2"] * 5 + ["", ""]
+
+
+@pytest.mark.parametrize("how,want", [("sum", [[[4], [2]], [[2]], [[2], [1]]]), ("mean", [[[3], [2]], [[2]], [[2], [1]]]), ("", [[[2, 3], [2]], [[2]], [[2], [1]]])])
+def test_sequenced_lookup(spark, how, want):
+    f = LookupFeature("f", ["user:kv", "item:k"], "0", combiner=how, buckets=Bucketizer(boundaries=[-0.5, 0.5, 1.5, 2.5]))
+    got = values(spark, "kv string, k string", list(zip(KV, KEYS)), sequenced(f))
+    assert got[:3] == want and got[3:] == [[[1]]] * 4
+
+
+def test_sequenced_lookup_of_vectors(spark):
+    rows = list(zip([f"ca:1,2{M}cb:3,4"] * 3 + ["", f"ca:1,2{M}cb:3,4"], ["ca;cb", "cd;ca", "", "ca", ""]))
+    f = sequenced(LookupFeature("f", ["user:kv", "item:k"], "0", width=2))
+    assert values(spark, "kv string, k string", rows, f) == [[[1, 2], [3, 4]], [[0, 0], [1, 2]], [[0, 0]], [[0, 0]], [[0, 0]]]
+
+
+def test_sequenced_inputs(spark):
+    """Named fields win; a single input is the sequence unless it is a feature; of several the item's are."""
+    f = CustomFeature("f", ["user:a", "user:b"], operator="EditDistance")
+    assert sequenced(f, fields=["a"]).sequences == (True, False) and sequenced(IdFeature("i", ["user:a"])).sequences == (True,)
+    with pytest.raises(ValueError, match="no input"):
+        sequenced(f)
+    with pytest.raises(ValueError, match="no input"):
+        sequenced(IdFeature("i", ["feature:a"]))
+    assert values(spark, "a string, b string", [("cat;hat;", "hat"), (None, "x")], sequenced(f, fields=["a"])) == [[[1.0], [0.0], [3.0]], [[1.0]]]
+    # lists go as they are, and a shorter second sequence ends early
+    two = sequenced(BoolMaskFeature("f", ["item:v", "item:m"]), length=3)
+    rows = [([["1", "2"], ["3"], ["4"], ["5"]], [["true", "false"], ["true"]]), (None, None)]
+    assert values(spark, "v array<array<string>>, m array<array<string>>", rows, two) == [[["1"], ["3"], ["0"]], [["0"]]]
+
+
+def test_tokenizers(spark):
+    """Ids of stored tokenizers, as a list, as a sequence of tokens, and step by step, equal to the libraries'."""
+    import sentencepiece
+    from tokenizers import Tokenizer
+
+    bpe, piece = "/opt/tokenizers/byte_bpe_50k.json", "/opt/tokenizers/piece_bpe_32k.model"
+    want = {bpe: lambda t: Tokenizer.from_file(bpe).encode(t, add_special_tokens=False).ids, piece: sentencepiece.SentencePieceProcessor(model_file=piece).encode}
+    texts = ["Abc efg; hij", "", None, "x"]
+    for path, encode in want.items():
+        f = TokenizeFeature("f", ["user:a"], "xyz", tokenizer=path, options=["TEXT_UPPER2LOWER"])
+        ids = [encode(t.lower()) if t else encode("xyz") for t in texts]
+        assert values(spark, "a string", [(t,) for t in texts], f) == ids
+        many = TokenizeFeature("f", ["user:a"], "xyz", tokenizer=path, options=["TEXT_UPPER2LOWER"], as_sequence=True, length=2)
+        assert values(spark, "a string", [(t,) for t in texts], many) == [[[i] for i in own[:2]] for own in ids]
+        steps = [[encode(x.lower()) if x else encode("xyz") for x in (t or "").split(";")] for t in texts]
+        assert values(spark, "a string", [(t,) for t in texts], sequenced(f)) == steps
+
+
+def test_key_value_error_shows_the_row(spark):
+    from veldt.functions.values import strict_key_values
+
+    df = spark.createDataFrame([(f"a:1{M}b",)], "s string")
+    with pytest.raises(Exception, match=f"got a:1{M}b"):
+        df.select(strict_key_values(F.col("s"), "string")).collect()
+    ok = spark.createDataFrame([(f"a:1{M}b:2",), ("",), (None,)], "s string").select(strict_key_values(F.col("s"), "string").alias("m")).collect()
+    assert [r["m"] for r in ok] == [{"a": "1", "b": "2"}, None, None]
+
+
 def test_tokenize(spark):
     f = TokenizeFeature("f", ["user:a"], vocabulary={"ab": 1, "abc": 2, "d": 3}, options=["TEXT_UPPER2LOWER"], unknown=9)
     assert values(spark, "a string", [("ABC abd x",), ("",), (None,)], f) == [[2, 1, 3, 9], [], []]

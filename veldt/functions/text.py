@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.functions import pandas_udf
 
 # Options of the normaliser, in the order in which they apply.
 OPTIONS = ("TEXT_LOWER2UPPER", "TEXT_UPPER2LOWER", "TEXT_SBC2DBC", "TEXT_CHT2CHS", "TEXT_FILTER", "TEXT_SPLITCHRS", "TEXT_REMOVE_SPACE")
@@ -104,3 +106,29 @@ def greedy_tokens(c: Column, vocabulary: dict[str, int], unknown: int = 0) -> Co
     pattern = "|".join([*quoted, r"\S"])
     table = F.create_map(*[F.lit(x) for w in entries for x in (w, vocabulary[w])])
     return F.transform(F.regexp_extract_all(c, F.lit(f"({pattern})"), F.lit(1)), lambda t: F.coalesce(table[t], F.lit(unknown)))
+
+
+def token_ids(path: str):
+    """A function of array<string> that gives array<array<int>>: the ids of each text by the tokenizer stored at `path`.
+
+    The file is a tokenizers JSON or, with the ending .model, a sentencepiece
+    model; the driver reads it and its bytes travel with the function.
+    """
+    with open(path, "rb") as f:
+        spec = f.read()
+    sentences = path.endswith(".model")
+
+    @pandas_udf("array<array<int>>")
+    def ids(texts: pd.Series) -> pd.Series:
+        if sentences:
+            import sentencepiece
+
+            encode = sentencepiece.SentencePieceProcessor(model_proto=spec).encode
+        else:
+            from tokenizers import Tokenizer
+
+            tokenizer = Tokenizer.from_str(spec.decode())
+            encode = lambda t: tokenizer.encode(t, add_special_tokens=False).ids
+        return texts.map(lambda own: None if own is None else [None if t is None else list(encode(t)) for t in own])
+
+    return ids

@@ -15,6 +15,11 @@ ENCODED = "\x03"
 SEQUENCE = ";"
 
 
+def let(value: Column, body) -> Column:
+    """body(x) with x bound to the value, which is then worked out once for a row however often the body names it."""
+    return F.get(F.transform(F.array(value), lambda x: body(x)), F.lit(0))
+
+
 def literal_pattern(separator: str) -> str:
     """A regular expression for exactly this separator."""
     return "\\Q" + separator.replace("\\E", "\\E\\\\E\\Q") + "\\E"
@@ -65,7 +70,17 @@ def key_values(c: Column, kind: str, separator: str = MULTI, joiner: str = ":")
     else:
         items = split_on(c, separator)
     pairs = F.transform(items, lambda x: F.split(x, literal_pattern(joiner), 2))
-    return F.map_from_arrays(F.transform(pairs, lambda p: p[0]), F.transform(pairs, lambda p: F.get(p, F.lit(1))))
+    return let(pairs, lambda ps: F.map_from_arrays(F.transform(ps, lambda p: p[0]), F.transform(ps, lambda p: F.get(p, F.lit(1)))))
+
+
+def strict_key_values(c: Column, kind: str, separator: str = MULTI, joiner: str = ":") -> Column:
+    """Like key_values, but an item without a joiner is an error that shows the whole value."""
+    if kind.startswith("map<"):
+        return key_values(c, kind, separator, joiner)
+    items = c if kind.startswith("array<") else split_on(c, separator)
+    shown = F.array_join(c, separator) if kind.startswith("array<") else c
+    bad = F.exists(items, lambda x: ~F.contains(x, F.lit(joiner)))
+    return F.when(bad, F.raise_error(F.concat(F.lit(f"expected items key{joiner}value, got "), shown))).otherwise(key_values(c, kind, separator, joiner))
 
 
 def weighted(c: Column, kind: str, separator: str = MULTI) -> Column:
@@ -87,6 +102,14 @@ def sequence_values(c: Column, kind: str, separator: str = ENCODED, steps: str =
     return F.coalesce(F.transform(strings(c, kind, separator), lambda x: F.array(x)), F.array().cast("array<array<string>>"))
 
 
+def sequence_steps(c: Column, kind: str, steps: str = SEQUENCE) -> tuple[Column, str]:
+    """A sequence as an array of its steps, and the type of a step; without a value it has one empty step."""
+    if kind.startswith("array<"):
+        inner = kind[len("array<") : -1]
+        return F.when(F.size(c) > 0, c).otherwise(F.array(F.lit(None).cast(inner))), inner
+    return F.split(F.coalesce(c.cast("string"), F.lit("")), literal_pattern(steps), -1), "string"
+
+
 def dense(c: Column, kind: str, width: int, default: str = "0", separator: str = MULTI) -> Column:
     """array<double> of exactly `width`; another width is an error."""
     out = numbers(or_default(strings(c, kind, separator), separator.join([default] * width) if separator not in default else default, separator))

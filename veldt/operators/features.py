@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from ..functions import text as text_functions
 from ..functions.bucketize import Bucketizer, boundary_bucket
 from ..functions.expressions import Value, compile_expression
-from ..functions.values import MULTI, SEQUENCE, key_values, literal_pattern, numbers, or_default, present, sequence_values, split_on, strings, weighted
+from ..functions.values import MULTI, SEQUENCE, key_values, let, literal_pattern, numbers, or_default, present, sequence_steps, sequence_values, split_on, strings, weighted
 
 SIDES = ("user", "item", "context", "const", "feature")
 Resolver = Callable[[str], tuple[Column, str]]
@@ -70,17 +70,17 @@ def combine(values: Column, how: str) -> Column:
     gap_min and gap_max are the least and the greatest difference of neighbours
     in value order.
     """
-    kept = F.filter(values, lambda x: x.isNotNull())
-    total = F.aggregate(kept, F.lit(0.0), lambda a, x: a + x)
-    ordered = F.sort_array(kept)
-    gaps = F.zip_with(F.slice(ordered, F.lit(2), F.greatest(F.size(ordered) - 1, F.lit(0))), F.slice(ordered, F.lit(1), F.greatest(F.size(ordered) - 1, F.lit(0))), lambda a, b: a - b)
+    total = lambda x: F.aggregate(x, F.lit(0.0), lambda a, v: a + v)
+    most = lambda x: F.greatest(F.size(x) - 1, F.lit(0))
+    gaps = lambda x: let(F.sort_array(x), lambda o: F.zip_with(F.slice(o, F.lit(2), most(o)), F.slice(o, F.lit(1), most(o)), lambda a, b: a - b))
+    mean = lambda x: total(x) / F.size(x)
     one = {
-        "sum": total, "mean": total / F.size(kept), "avg": total / F.size(kept), "min": F.array_min(kept), "max": F.array_max(kept),
-        "count": F.size(kept).cast("double"), "gap_min": F.array_min(gaps), "gap_max": F.array_max(gaps),
+        "sum": total, "mean": mean, "avg": mean, "min": F.array_min, "max": F.array_max, "count": lambda x: F.size(x).cast("double"),
+        "gap_min": lambda x: F.array_min(gaps(x)), "gap_max": lambda x: F.array_max(gaps(x)),
     }
     if how not in one:
         raise ValueError(f"unknown combiner {how!r}")
-    return F.when(F.size(kept) > 0, one[how])
+    return let(F.filter(values, lambda x: x.isNotNull()), lambda kept: F.when(F.size(kept) > 0, one[how](kept)))
 
 
 @dataclass(frozen=True)
@@ -187,17 +187,18 @@ class LookupFeature(Feature):
     def column(self, resolve: Resolver) -> Column:
         table = key_values(*resolve(self.inputs[0]), self.separator)
         keys = strings(*resolve(self.inputs[1]), self.separator)
-        hit = lambda k: F.when(k.isNotNull(), F.element_at(table, k))
+        # the map is made once for a row, not once for a key
+        hits = let(table, lambda t: F.transform(keys, lambda k: F.when(k.isNotNull(), F.element_at(t, k))))
         if self.width > 1:
-            vectors = F.filter(F.transform(keys, lambda k: numbers(F.split(hit(k), literal_pattern(self.value_separator)))), lambda v: v.isNotNull())
+            vectors = F.filter(F.transform(hits, lambda v: numbers(F.split(v, literal_pattern(self.value_separator)))), lambda v: v.isNotNull())
             fallback = F.array_repeat(F.coalesce(self.number_default(), F.lit(0.0)), self.width)
             return F.coalesce(F.get(vectors, F.lit(0)), fallback)
         discrete = self.buckets.active and self.buckets.boundaries is None
         if not self.combiner or self.need_key or discrete:
-            found = F.filter(F.transform(keys, lambda k: F.when(hit(k).isNotNull(), F.concat(k, F.lit("_"), hit(k)) if self.need_key else hit(k))), lambda v: v.isNotNull())
-            values = or_default(F.when(F.size(found) > 0, found), self.default, self.separator)
+            named = F.zip_with(keys, hits, lambda k, v: F.concat(k, F.lit("_"), v)) if self.need_key else hits
+            values = let(F.filter(named, lambda v: v.isNotNull()), lambda found: or_default(F.when(F.size(found) > 0, found), self.default, self.separator))
             return self.bucketed(values) if discrete or self.need_key else self.bucketed_numbers(numbers(values))
-        one = F.coalesce(combine(numbers(F.transform(keys, hit)), self.combiner), self.number_default())
+        one = F.coalesce(combine(numbers(hits), self.combiner), self.number_default())
         return self.bucketed_numbers(F.array(one))
 
 
@@ -207,15 +208,8 @@ class MatchFeature(Feature):
 
     def column(self, resolve: Resolver) -> Column:
         outer = split_on(resolve(self.inputs[0])[0], "|")
-        entries = F.flatten(
-            F.transform(
-                outer,
-                lambda part: F.transform(
-                    F.split(F.get(F.split(part, r"\^", 2), F.lit(1)), ","),
-                    lambda kv: F.struct(F.split(part, r"\^", 2)[0].alias("pk"), F.split(kv, ":", 2)[0].alias("sk"), F.get(F.split(kv, ":", 2), F.lit(1)).alias("v")),
-                ),
-            )
-        )
+        entry = lambda pk, kv: let(F.split(kv, ":", 2), lambda x: F.struct(pk.alias("pk"), x[0].alias("sk"), F.get(x, F.lit(1)).alias("v")))
+        entries = F.flatten(F.transform(outer, lambda part: let(F.split(part, r"\^", 2), lambda ps: F.transform(F.split(F.get(ps, F.lit(1)), ","), lambda kv: entry(ps[0], kv)))))
 
         def key(i: str) -> Column:
             side, name = side_of(i)
@@ -223,8 +217,7 @@ class MatchFeature(Feature):
 
         pk, sk = key(self.inputs[1]), key(self.inputs[2])
         hits = F.filter(entries, lambda e: ((pk == "ALL") | (e["pk"] == pk)) & ((sk == "ALL") | (e["sk"] == sk)) & e["v"].isNotNull())
-        found = F.transform(hits, lambda e: e["v"])
-        values = or_default(F.when(F.size(found) > 0, found), self.default, self.separator)
+        values = let(F.transform(hits, lambda e: e["v"]), lambda found: or_default(F.when(F.size(found) > 0, found), self.default, self.separator))
         discrete = self.buckets.active and self.buckets.boundaries is None
         return self.bucketed(values) if discrete else self.bucketed_numbers(numbers(values))
 
@@ -267,17 +260,30 @@ class OverlapFeature(Feature):
 
 @dataclass(frozen=True)
 class TokenizeFeature(Feature):
-    """Normalise a text and turn it into vocabulary ids."""
+    """Normalise a text and turn it into vocabulary ids.
+
+    With a `tokenizer` (the path of a tokenizers JSON or a sentencepiece model)
+    the ids are its own, from an Arrow function; else the vocabulary is matched
+    greedily within the plan.  `as_sequence` makes each token a step, at most
+    `length` of them.
+    """
 
     vocabulary: dict[str, int] = field(default_factory=dict)
     options: list[str] = field(default_factory=list)
     max_length: int | None = None
     stop_chars: str = ""
     unknown: int = 0
+    tokenizer: str | None = None
+    as_sequence: bool = False
+    length: int = 50
+
+    def text(self, c: Column) -> Column:
+        return text_functions.normalise(F.coalesce(present(c), F.lit(self.default or "")), self.options, max_length=self.max_length, stop_chars=self.stop_chars)
 
     def column(self, resolve: Resolver) -> Column:
-        c = text_functions.normalise(F.coalesce(present(resolve(self.inputs[0])[0]), F.lit(self.default or "")), self.options, max_length=self.max_length, stop_chars=self.stop_chars)
-        return text_functions.greedy_tokens(c, self.vocabulary, self.unknown)
+        c = self.text(resolve(self.inputs[0])[0])
+        ids = F.get(text_functions.token_ids(self.tokenizer)(F.array(c)), F.lit(0)) if self.tokenizer else text_functions.greedy_tokens(c, self.vocabulary, self.unknown)
+        return F.transform(F.slice(ids, 1, self.length), lambda t: F.array(t)) if self.as_sequence else ids
 
 
 @dataclass(frozen=True)
@@ -292,9 +298,11 @@ class KvDotProduct(Feature):
             t = key_values(c, kind, self.kv_separator)
             return F.transform_values(t, lambda k, v: F.coalesce(v.try_cast("double"), F.lit(1.0)))
 
-        a, b = (table(i) for i in self.inputs)
-        shared = F.array_intersect(F.map_keys(a), F.map_keys(b))
-        one = F.when(F.size(shared) > 0, F.aggregate(shared, F.lit(0.0), lambda total, k: total + F.element_at(a, k) * F.element_at(b, k)))
+        def dot(a: Column, b: Column) -> Column:
+            product = lambda total, k: total + F.element_at(a, k) * F.element_at(b, k)
+            return let(F.array_intersect(F.map_keys(a), F.map_keys(b)), lambda shared: F.when(F.size(shared) > 0, F.aggregate(shared, F.lit(0.0), product)))
+
+        one = let(table(self.inputs[0]), lambda a: let(table(self.inputs[1]), lambda b: dot(a, b)))
         return self.bucketed_numbers(F.array(F.coalesce(one, self.number_default(), F.lit(0.0))))
 
 
@@ -362,17 +370,82 @@ class SequenceFeature(Feature):
         return F.transform(found, self.bucketed)
 
 
+#: Features of one input, which is the sequence on every side but `feature`.
+SINGLE_INPUT = (IdFeature, RawFeature, TokenizeFeature, CombineFeature)
+
+
+@dataclass(frozen=True)
+class SequencedFeature(Feature):
+    """Any feature applied to each step of its sequences; inputs that are no sequences are the same for every step.
+
+    Use `sequenced`.  The result is an array of what the feature gives for each
+    of the first `length` steps, of which `value_dim` values stay if that is not
+    0.  A sequence without a value has one empty step, and a step without a
+    value has the default, "0" unless named.  Several sequences go side by side,
+    as long as the first.
+    """
+
+    feature: Feature | None = None
+    sequences: tuple[bool, ...] = ()
+    length: int = 50
+    steps: str = SEQUENCE
+    value_dim: int = 0
+
+    def column(self, resolve: Resolver) -> Column:
+        inner = replace(self.feature, default=self.feature.default or "0")
+        place = {name: (outer, on) for name, outer, on in zip(inner.inputs, self.inputs, self.sequences)}
+        lists = {name: sequence_steps(*resolve(outer), self.steps) for name, (outer, on) in place.items() if on}
+        first = F.slice(lists[next(iter(lists))][0], 1, self.length)
+        cut = (lambda v: F.slice(v, 1, self.value_dim)) if self.value_dim else (lambda v: v)
+        if isinstance(inner, TokenizeFeature) and inner.tokenizer:
+            # a function of Python takes the texts of all steps at once
+            return F.transform(text_functions.token_ids(inner.tokenizer)(F.transform(first, inner.text)), cut)
+
+        def step(s: Column, i: Column) -> Column:
+            def at(name: str) -> tuple[Column, str]:
+                if name not in lists:
+                    return resolve(place[name][0])
+                return (s if name == next(iter(lists)) else F.get(lists[name][0], i)), lists[name][1]
+
+            return cut(inner.column(at))
+
+        return F.transform(first, step)
+
+
+def sequenced(feature: Feature, length: int = 50, steps: str = SEQUENCE, fields: list[str] = (), group: str | None = None, value_dim: int = 0) -> SequencedFeature:
+    """The feature over sequences, alone or as a member of a group.
+
+    Which inputs are sequences: those in `fields`, if any are named; else the
+    one input of a feature that has only one, unless it is another feature's
+    result; else those on the item's side.  In a group, the feature and its
+    sequences have the group's name and two underscores before theirs.
+    """
+    one = isinstance(feature, SINGLE_INPUT)
+    on = tuple((side_of(i)[1] in fields) if fields else (side_of(i)[0] != "feature" if one else side_of(i)[0] == "item") for i in feature.inputs)
+    if not any(on):
+        raise ValueError(f"{feature.name} has no input that is a sequence")
+    prefix = f"{group}__" if group else ""
+    inputs = [f"{side_of(i)[0]}:{prefix}{side_of(i)[1]}" if s else i for i, s in zip(feature.inputs, on)]
+    return SequencedFeature(prefix + feature.name, inputs, feature.default, feature.separator, feature.buckets, feature.stub, feature.mask_share, feature, on, length, steps, value_dim)
+
+
 @dataclass(frozen=True)
 class SequenceGroup:
-    """Sub-sequences of one history; each becomes `name__sub` with the group's length and step separator."""
+    """Sub-sequences of one history; each becomes `name__sub` with the group's length and step separator.
+
+    Members are sequences of their own, or features of any kind, which are
+    applied step by step (`fields` names their sequences, see `sequenced`).
+    """
 
     name: str
     length: int
-    members: list[SequenceFeature]
+    members: list[Feature]
     steps: str = SEQUENCE
+    fields: list[str] = ()
 
-    def features(self) -> list[SequenceFeature]:
-        return [replace(m, name=f"{self.name}__{m.name}", length=self.length, steps=self.steps) for m in self.members]
+    def features(self) -> list[Feature]:
+        plain = lambda m: replace(m, name=f"{self.name}__{m.name}", length=self.length, steps=self.steps)
+        return [plain(m) if isinstance(m, SequenceFeature) else sequenced(m, self.length, self.steps, self.fields, self.name) for m in self.members]
 
     def scalars(self) -> list[IdFeature]:
         """The members again as plain features with the same defaults."""
