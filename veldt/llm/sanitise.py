@@ -157,14 +157,16 @@ def disclosing_terms(docs: DataFrame, spans: DataFrame, id_col: str = "doc_id",
     n_named = named.count()
     some = _other(F.broadcast(named) if n_named <= BROADCAST_ROWS else named)
     texts = _texts(docs, id_col, text_col)
-    words = texts.join(some, _same(texts, some), "left_semi").dropDuplicates(["id", "h"]).select("id", "h", words_of(F.col("text")).alias("words"))
+    # columns of their own before they are exploded: an expression beside a generator would be worked out for each of its rows
+    words = texts.join(some, _same(texts, some), "left_semi").select("id", "h", words_of(F.col("text")).alias("words")).dropDuplicates(["id", "h"])
     sketch = F.coalesce(F.array_min(F.transform("words", lambda w: F.xxhash64(w))), F.lit(0))
     # stored: joined to entities, and asked for its vocabulary
-    words = words.select("id", "h", sketch.alias("sketch"), F.explode(_with_prefixes(F.col("words"))).alias("term")).checkpoint()
+    words = words.select("id", "h", sketch.alias("sketch"), "words").checkpoint()
+    words = words.select("id", "h", "sketch", F.explode(_with_prefixes(F.col("words"))).alias("term"))
     # documents of one sketch are worth one text, whatever the entity
     terms = saved(words.groupBy("term").agg((F.min("sketch") < F.max("sketch")).alias("differ")).where("differ").select("term"), rows, 1_000)
     n_terms = terms.count()
-    every = texts.select(F.explode(_with_prefixes(words_of(F.col("text")))).alias("term"))
+    every = texts.select(words_of(F.col("text")).alias("words")).select(F.explode(_with_prefixes(F.col("words"))).alias("term"))
     if n_terms <= BROADCAST_ROWS:
         df_t = every.join(F.broadcast(terms), "term").groupBy("term").agg(F.count("*").alias("df_t"))
     else:
