@@ -145,8 +145,18 @@ def test_cluster_tree_is_balanced(spark):
     df = spark.createDataFrame([(i, [float(x) for x in rng.normal(size=3)]) for i in range(16)], "i long, v array<double>")
     codes = Counter(r["tree_code"] for r in trees.cluster_tree(df, "i", "v", 2).collect())
     assert len(codes) == 16
-    big = trees.cluster_tree(df, "i", "v", 2, limit=5).collect()
-    assert len(big) == 16
+    for branches, n, limit in ((2, 16, 5), (2, 16, 1), (3, 25, 4)):
+        some = df.unionByName(df.selectExpr("i + 16 AS i", "v")).where(F.col("i") < n)  # with repeated vectors
+        big = trees.cluster_tree(some, "i", "v", branches, limit=limit).collect()
+        top = trees.tree_depth(n, branches)
+        assert len({r["tree_code"] for r in big}) == len(big) == n and {r["level"] for r in big} == {top}
+        up = Counter((r["tree_code"] - 1) // branches for r in big)
+        assert all(c <= branches for c in up.values())
+    # two far groups are parted at the root, whether levels are split over the table or in a task
+    far = spark.createDataFrame([(i, [float(100 * (i % 2)) + rng.random(), rng.random()]) for i in range(16)], "i long, v array<double>")
+    for limit in (4, 100):
+        halves = [{r["item_id"] % 2 for r in trees.cluster_tree(far, "i", "v", 2, limit=limit).collect() if (r["tree_code"] < 23) == first} for first in (True, False)]
+        assert sorted(map(sorted, halves)) == [[0], [1]]
     label = trees.balanced_kmeans(rng.normal(size=(11, 2)), 3)
     assert sorted(Counter(label.tolist()).values()) == [3, 4, 4]
 

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..sources.session import stored
 from .sampling import ancestors
 
 
@@ -80,27 +81,68 @@ def balanced_kmeans(vectors: np.ndarray, k: int, rounds: int = 10, seed: int = 0
     return label
 
 
-def cluster_tree(items: DataFrame, item_id: str, vector: str, branches: int = 2, limit: int = 20_000, seed: int = 0) -> DataFrame:
-    """(item_id, tree_code, level): balanced clusters within clusters.
+def ranked_within(rows: DataFrame, key: str, order: str, tie: str, out: str) -> DataFrame:
+    """Add `out`: the place (from 0) of each row among those of its key; no key is ordered by one task.
 
-    Levels with more than `limit` items to a node are split by the projection on
-    a seeded direction into equal halves over the whole table; below, a node's
-    items fit in one task and are split by balanced k-means.
+    Rows are sorted by ranges and stored; their places in the whole order, less
+    the place at which their key begins, come from counts of rows for each range.
+    """
+    dealt = stored(rows.repartitionByRange(key, order, tie).sortWithinPartitions(key, order, tie).withColumn("__m", F.monotonically_increasing_id()))
+    part = F.shiftright("__m", 33)
+    before = Window.orderBy("p").rowsBetween(Window.unboundedPreceding, -1)
+    starts = dealt.groupBy(part.alias("p")).agg(F.count("*").alias("n")).select("p", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
+    placed = dealt.withColumn("p", part).join(F.broadcast(starts), "p").withColumn("__at", F.col("start") + F.col("__m") - F.shiftleft("p", 33)).drop("p", "start", "__m")
+    return placed.join(placed.groupBy(key).agg(F.min("__at").alias("__first")), key).withColumn(out, F.col("__at") - F.col("__first")).drop("__at", "__first")
+
+
+def _split_level(nodes: DataFrame, branches: int, rounds: int) -> DataFrame:
+    """Rows (item_id, v, code) one level down: k-means within each node over the whole table, then equal parts by nearness."""
+    width = len(nodes.first()["v"])
+    h = F.xxhash64("item_id")
+    centres = nodes.groupBy("code").agg(F.array(*[F.min(F.when(F.pmod(h, F.lit(branches)) == k, F.struct(h.alias("h"), "v")))["v"] for k in range(branches)]).alias("centres"))
+    distance = lambda c: F.coalesce(F.aggregate(F.zip_with("v", c, lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda t, x: t + x), F.lit(float("inf")))
+    for _ in range(rounds):
+        # centres are branches vectors for a node, and nodes of a split level have thousands of items each
+        near = nodes.join(F.broadcast(centres), "code").withColumn("d", F.transform("centres", distance))
+        own = near.withColumn("k", F.array_position("d", F.array_min("d")))
+        means = own.groupBy("code", "k").agg(F.array(*[F.avg(F.get("v", F.lit(i))) for i in range(width)]).alias("mean"))
+        found = means.groupBy("code").agg(F.map_from_entries(F.collect_list(F.struct("k", "mean"))).alias("m"))
+        centres = stored(centres.join(found, "code").select("code", F.transform("centres", lambda c, i: F.coalesce(F.try_element_at("m", i.cast("bigint") + 1), c)).alias("centres")))
+    rest = stored(nodes.join(F.broadcast(centres), "code").select("item_id", "v", "code", F.transform("centres", distance).alias("d")))
+    sizes = nodes.groupBy("code").agg(F.count("*").alias("size"))
+    parts = []
+    for k in range(branches):
+        if k + 1 < branches:
+            # those come first that would lose most by going to one of the parts still to be filled
+            gain = F.col("d")[k] - F.array_min(F.slice("d", k + 2, branches))
+            ranked = ranked_within(rest.withColumn("gain", F.coalesce(F.nanvl(gain, F.lit(0.0)), F.lit(0.0))), "code", "gain", "item_id", "place").drop("gain")
+            quota = F.floor((k + 1) * F.col("size") / branches) - F.floor(k * F.col("size") / branches)
+            ranked = stored(ranked.join(F.broadcast(sizes), "code").withColumn("in", F.col("place") < quota).drop("place", "size"))
+            parts.append(ranked.where("in").drop("in").withColumn("k", F.lit(k)))
+            rest = ranked.where("not in").drop("in")
+        else:
+            parts.append(rest.withColumn("k", F.lit(k)))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return stored(out.select("item_id", "v", (F.col("code") * branches + 1 + F.col("k")).cast("bigint").alias("code")))
+
+
+def cluster_tree(items: DataFrame, item_id: str, vector: str, branches: int = 2, limit: int = 20_000, seed: int = 0, rounds: int = 5) -> DataFrame:
+    """(item_id, tree_code, level): balanced clusters within clusters, each item a leaf of its own.
+
+    Every level is balanced k-means.  While a node has more than `limit` items,
+    a level's nodes are split together over the whole table; below, each node's
+    items fit in one task, which splits them to the end.
     """
     n = items.count()
     depth = tree_depth(n, branches)
-    flat = items.select(F.col(item_id).alias("item_id"), F.transform(vector, lambda x: x.cast("double")).alias("v"))
-    width = len(flat.first()["v"]) if n else 0
+    nodes = items.select(F.col(item_id).alias("item_id"), F.transform(vector, lambda x: x.cast("double")).alias("v"), F.lit(0).cast("bigint").alias("code"))
     coarse = 0
     while n / branches**coarse > limit:
         coarse += 1
-    code = F.lit(0).cast("bigint")
-    nodes = flat.withColumn("code", code)
-    for level in range(coarse):
-        direction = np.random.default_rng([seed, level]).normal(size=width)
-        share = F.aggregate(F.zip_with("v", F.array(*[F.lit(float(x)) for x in direction]), lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x)
-        cuts = nodes.withColumn("s", share).groupBy("code").agg(F.percentile_approx("s", [i / branches for i in range(1, branches)], 10_000).alias("cuts"))
-        nodes = nodes.withColumn("s", share).join(cuts, "code").select("item_id", "v", (F.col("code") * branches + 1 + F.size(F.filter("cuts", lambda c: c < F.col("s")))).cast("bigint").alias("code"))
+    for _ in range(coarse):
+        nodes = _split_level(nodes, branches, rounds)
 
     def split(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("item_id", kind="stable")
@@ -112,7 +154,6 @@ def cluster_tree(items: DataFrame, item_id: str, vector: str, branches: int = 2,
                 part = balanced_kmeans(v[own], min(branches, len(own)), seed=seed + level) if len(own) > 1 else np.zeros(1, int)
                 new[own] = codes[own] * branches + 1 + part
             codes = new
-        # a cluster larger than the leaves below it has several items to a leaf: they are told apart by one more level
         return pd.DataFrame({"item_id": rows["item_id"], "tree_code": codes, "level": depth})
 
     kind = items.schema[item_id].dataType.simpleString()

@@ -2,10 +2,28 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 
 
 def configure(spark: SparkSession) -> SparkSession:
     """Of repeated keys in key-value text the last one wins."""
     spark.conf.set("spark.sql.mapKeyDedupPolicy", "LAST_WIN")
     return spark
+
+
+def scratch(spark: SparkSession) -> str:
+    """A new folder name that driver and executors share: in spark.checkpoint.dir, or a temporary one where all run on one machine."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    return f"{shared or tempfile.mkdtemp(prefix='veldt-')}/{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """The table written once and read again: later steps see the same rows, whoever is lost."""
+    path = scratch(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
