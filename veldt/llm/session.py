@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -48,6 +49,13 @@ def saved(df: DataFrame, rows: int | None = None, each: int = 100_000) -> DataFr
     return (df if rows is None else df.coalesce(max(1, -(-rows // each)))).checkpoint()
 
 
+def written(df: DataFrame) -> DataFrame:
+    """The table as Parquet beside the checkpoints: for rows of many small numbers far smaller than a checkpoint."""
+    path = f"{df.sparkSession.sparkContext.getCheckpointDir()}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def small_side(small: DataFrame, rows: int, row_bytes: int = 32) -> DataFrame:
     """The side of a join as a broadcast, where `rows` of about `row_bytes` each stay within BROADCAST_BYTES."""
     return F.broadcast(small) if rows * row_bytes <= BROADCAST_BYTES else small
