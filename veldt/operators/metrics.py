@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 D = lambda c: (F.col(c) if isinstance(c, str) else c).cast("double")
@@ -134,22 +137,45 @@ def normalized_entropy(df: DataFrame, prediction: str, label: str, eta: float =
     return sums.select(F.try_divide("ce", -(F.col("pos") * F.ln(m) + (F.col("n") - F.col("pos")) * F.ln(1 - m))).alias("normalized_entropy"))
 
 
+def concordant_pairs(p: np.ndarray, t: np.ndarray) -> int:
+    """How many pairs rise, or fall, in both numbers; ties in either are none.
+
+    In order of p, and of falling t where p ties, these are the pairs whose t
+    rises.  They part at the highest bit in which their ranks differ, so each
+    bit counts, among rows of equal higher bits, the zeros before every one.
+    """
+    _, rank = np.unique(t, return_inverse=True)
+    rank = rank[np.lexsort((-rank, p))]
+    total = 0
+    for bit in reversed(range(int(rank.max(initial=0)).bit_length())):
+        prefix, one = rank >> (bit + 1), (rank >> bit) & 1
+        order = np.argsort(prefix, kind="stable")
+        prefix, one = prefix[order], one[order]
+        zeros = np.cumsum(1 - one)
+        first = np.flatnonzero(np.r_[True, prefix[1:] != prefix[:-1]]) if len(prefix) else np.zeros(0, np.int64)
+        before = np.repeat((zeros - (1 - one))[first], np.diff(np.r_[first, len(prefix)]))
+        total += int((one * (zeros - before)).sum())
+    return total
+
+
 def _xauc_terms(df: DataFrame, keys: list[str], prediction: str, target: str) -> DataFrame:
-    """(keys, right, pairs): pairs of rows whose order in prediction and target agrees; ties are wrong."""
-    rows = df.select(*keys, D(prediction).alias("p"), D(target).alias("t"), F.monotonically_increasing_id().alias("i"))
-    a, b = rows.alias("a"), rows.alias("b")
-    on = F.col("a.i") < F.col("b.i")
-    for k in keys:
-        on = on & F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}"))
-    agree = (F.col("a.t") - F.col("b.t")) * (F.col("a.p") - F.col("b.p")) > 0
-    return a.join(b, on).groupBy(*[F.col(f"a.{k}").alias(k) for k in keys]).agg(F.sum(agree.cast("double")).alias("right"), F.count("*").cast("double").alias("pairs"))
+    """(keys, right, pairs): pairs of rows whose order in prediction and target agrees, by sorting; ties and missing numbers are wrong."""
+    rows = df.select(*keys, D(prediction).alias("p"), D(target).alias("t"))
+
+    def count(key: tuple, own: pd.DataFrame) -> pd.DataFrame:
+        known = own.dropna(subset=["p", "t"])
+        right = concordant_pairs(known["p"].to_numpy(float), known["t"].to_numpy(float))
+        return pd.DataFrame({**{k: [v] for k, v in zip(keys, key)}, "right": [float(right)], "pairs": [len(own) * (len(own) - 1) / 2.0]})
+
+    schema = T.StructType([*[df.schema[k] for k in keys], T.StructField("right", T.DoubleType()), T.StructField("pairs", T.DoubleType())])
+    return rows.groupBy(*keys).applyInPandas(count, schema).where("pairs > 0")
 
 
 def xauc(df: DataFrame, prediction: str, target: str, batch: str | None = None, pairs: int | None = None, seed: int = 0) -> DataFrame:
     """Share of pairs in right order: all pairs of each batch, or `pairs` drawn ones per row, with replacement.
 
-    All pairs of a batch are a quadratic job and meant for batches; a whole
-    table is measured by drawing.
+    A batch is sorted by one task, so batches are meant for this; a whole table
+    is measured by drawing.
     """
     if pairs is None:
         if batch is None:
