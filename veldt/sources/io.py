@@ -15,6 +15,15 @@ from ..functions.values import split_on
 from .schema import check_columns, parse_schema, project_by_name
 
 
+#: Formats beyond those of Spark: name -> (read(spark, paths, schema) or None, write(df, path, mode) or None).
+FORMATS: dict[str, tuple] = {}
+
+
+def register_format(name: str, reader=None, writer=None) -> None:
+    """Add a format for `read` and `write`; a Python data source of Spark needs none, its name will do."""
+    FORMATS[name] = (reader, writer)
+
+
 def source_format(path: str, kind: str | None = None) -> str:
     """The format of a path by scheme or suffix, unless named."""
     if kind:
@@ -46,6 +55,8 @@ def read(
         df = spark.table(path.removeprefix("table://").replace("/", "."))
     elif form == "kafka":
         raise ValueError("read streams with read_kafka")
+    elif form in FORMATS and FORMATS[form][0] is not None:
+        df = FORMATS[form][0](spark, paths, declared)
     else:
         r = spark.read
         if declared is not None:
@@ -84,7 +95,9 @@ def write(df: DataFrame, path: str, kind: str | None = None, mode: str = "errori
     w = df.write.mode(mode)
     if partition_by:
         w = w.partitionBy(*partition_by)
-    if form == "table":
+    if form in FORMATS and FORMATS[form][1] is not None:
+        FORMATS[form][1](df, path, mode)
+    elif form == "table":
         w.saveAsTable(path.removeprefix("table://").replace("/", "."))
     elif form == "csv":
         w.option("header", True).csv(path)

@@ -23,6 +23,21 @@ def unread(rows: DataFrame, state: DataFrame, source: str, offset: str) -> DataF
     return rows.join(known, source, "left").where(F.col("position").isNull() | (F.col(offset) > F.col("position"))).drop("position")
 
 
+#: The source under which a state keeps how many times all data were read.
+EPOCHS = "__epochs__"
+
+
+def with_epochs(state: DataFrame, source: str, epochs: int) -> DataFrame:
+    """A state of positions (text sources) with the number of finished passes; finishing one starts the positions anew."""
+    return state.where(F.col(source) != EPOCHS).select(source, "position").unionByName(state.sparkSession.createDataFrame([(EPOCHS, epochs)], f"`{source}` string, position long"))
+
+
+def epochs_done(state: DataFrame, source: str) -> int:
+    """Finished passes over all data, 0 where the state names none."""
+    row = state.where(F.col(source) == EPOCHS).agg(F.max("position").alias("n")).first()
+    return row["n"] or 0
+
+
 def batch_event_time(rows: DataFrame, batch: str, time: str) -> DataFrame:
     """(batch, event_time): the latest time in seconds, -1 where a batch has none."""
     return rows.groupBy(batch).agg(F.coalesce(F.max(F.col(time).cast("timestamp").cast("double")), F.lit(-1.0)).alias("event_time"))
