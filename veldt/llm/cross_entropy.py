@@ -12,7 +12,9 @@ and each bucket answers every chunk with the counts of what that chunk sent, in
 the same order.  A chunk scores its documents from its answers.
 
 A document is scored with its own counts taken out of both models, so a good
-document is not preferred for having been counted.  The score is the mean over
+document is not preferred for having been counted.  A bigram that occurs once in
+the corpus counts 0 for the one document that asks for it, so leaving these out
+changes no score: the models are those of the rest of the corpus.  The score is the mean over
 its tokens of target loss minus background loss, in nats: low is target-like.
 """
 
@@ -316,9 +318,11 @@ def mark_target(docs: DataFrame, target: DataFrame, id_col: str = "doc_id", text
 def score(docs: DataFrame, target: DataFrame, id_col: str = "doc_id", text_col: str = "text", share: float = SHARE) -> DataFrame:
     """(id, n_tokens, ce_target, ce_background, ce_diff), one row per document.
 
-    Null and empty texts have no tokens and scores of 0; without target
-    documents the target model is its smoothing alone; rows repeated in full
-    are counted and scored each; an empty table gives an empty result.
+    Null and empty texts have no tokens and scores of 0; very long ones are
+    counted and scored whole; without target documents the target model is its
+    smoothing alone; rows repeated in full are counted and scored each; a row
+    without an id is never in the target; other columns, whatever their names,
+    are ignored; an empty table gives an empty result.
     """
     spark = prepare(docs.sparkSession)
     marked = mark_target(docs, target, id_col, text_col, (id_col,))
