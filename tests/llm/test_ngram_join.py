@@ -66,6 +66,51 @@ def test_components(spark, monkeypatch, block_tokens, cell_tokens):
     assert got == brute(rows)
 
 
+def bridged(seed, families, copies, length=400, step=48):
+    """Families of near copies at places of a chain: neighbours on it link, others don't; single texts bridge some gaps."""
+    rng = random.Random(seed)
+    base = [f"w{seed}x{i}" for i in range(length)]
+
+    def at(place, copy):
+        words = list(base)
+        for p in range(place):
+            words[p * step : (p + 1) * step] = [f"p{p}y{i}" for i in range(step)]
+        return words if copy is None else words[:-1] + [f"c{place}z{copy}"]
+
+    rows, place = [], 0
+    for _ in range(families):
+        rows += [at(place, c) for c in range(copies)]
+        gap = rng.choice([2, 3])
+        if rng.random() < 0.7:
+            rows += [at(place + g, None) for g in range(1, gap)]
+        place += gap
+    rng.shuffle(rows)
+    return [(i, " ".join(r)) for i, r in enumerate(rows)]
+
+
+def test_bridges_between_leaders_families(spark):
+    """Two families of 110 near copies and a path of two texts between them, at the limits of production: one component."""
+    base = [f"w1x{i}" for i in range(400)]
+    change = lambda p, w: w[: p * 48] + [f"p{p}y{i}" for i in range(48)] + w[(p + 1) * 48 :]
+    a = change(0, base)
+    b = change(1, a)
+    far = change(2, b)
+    texts = [base[:-1] + [f"c{i}"] for i in range(110)] + [far[:-1] + [f"d{i}"] for i in range(110)] + [a, b]
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    assert sum(len(t) - 4 for t in texts) > N.CELL_TOKENS
+    got = {r["id"]: r["component_id"] for r in N.ngram_join(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert set(got.values()) == {0} and len(got) == 222
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_random_bridges(spark, monkeypatch, seed):
+    monkeypatch.setattr(N, "CELL_TOKENS", 2_000)
+    rows = bridged(seed, 4, 9, length=500)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["id"]: (r["n_shingles"], r["component_id"]) for r in N.ngram_join(df, block_tokens=random.Random(seed).choice([4_000, N.BLOCK_TOKENS])).collect()}
+    assert got == brute(rows)
+
+
 @pytest.mark.parametrize("percent", [50, 90])
 def test_other_thresholds(spark, percent):
     rows = variants(2)

@@ -15,11 +15,13 @@
    or when it holds no set that shares a prefix shingle and is outside the
    walker's component.
 5. Of a block of more than CELL_TOKENS shingles a few sets, picked by a hash,
-   are leaders.  Every set is compared with these, wherever it lies; a set that
-   links to one needs no comparison with others that do.  What links to none is
-   compared with all of its block in cells, which hold a part of either side, so
-   a family of very many near copies never meets in one task.  Links of all
-   cells are joined by components.
+   are leaders.  Every set is compared with these, wherever it lies.  Sets that
+   link to one leader are a group, groups that share a set are one group, and a
+   set that links to no leader is a group alone.  Within a group all is joined.
+   Linked sets of two groups are not both in the largest one, so every set
+   outside the largest group of its block is compared with all of the block, in
+   cells, which hold a part of either side: a family of very many near copies
+   never meets in one task.  Links of all cells are joined by components.
 """
 
 from __future__ import annotations
@@ -47,6 +49,8 @@ BLOCK_TOKENS = 4_000_000
 #: Blocks of more shingles are compared with leaders first; what is left goes into cells of about so many.
 CELL_TOKENS = 65_536
 LEADERS = 4
+#: Names of sets that a task remembers having sent; one sent again is found equal where it arrives.
+REMEMBERED = 1_000_000
 #: Sets that a task puts in order or solves before its results are stored.
 SETS_PER_TASK = 4_000
 
@@ -98,6 +102,8 @@ def _sent(docs: DataFrame, text_col: str, k: int, buckets: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sender, seen = RunSender(buckets), set()
         for batch in batches:
+            if len(seen) > REMEMBERED:
+                seen.clear()
             for _, _, data, at in chunks(batch.column(0)):
                 sets = shingle_sets(data, at, k)
                 names = set_ids(sets)
@@ -407,6 +413,18 @@ def _met_leaders(hot: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return saved(hot.join(sets, "sid").join(small_side(leaders, size, 1), "block").select("block", "sid", "n", "tokens", "leaders").mapInArrow(_meet(percent), MET))
 
 
+def _grouped_leaders(met: DataFrame) -> DataFrame:
+    """(block, leader, group): which leaders of a block are joined by sets that link to several; at most LEADERS rows a block."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = [(block, *pair) for block, kinds in zip(batch["block"], batch["kinds"]) for pair in _roots([(int(k[0]), int(x)) for k in kinds for x in k])]
+            yield pd.DataFrame(rows, columns=["block", "leader", "group"])
+
+    kinds = met.where(F.size("found") > 0).groupBy("block").agg(F.collect_set("found").alias("kinds"))
+    return kinds.mapInPandas(run, "block long, leader long, group long")
+
+
 def solve_blocks(blocks: DataFrame | None, sets: DataFrame, tasks: int, percent: int, block_tokens: int = BLOCK_TOKENS, rows: int | None = None) -> DataFrame:
     """(sid, root) of linked sets, given blocks (sid, block) outside of which no set has a link, and sets (sid, n, tokens).
 
@@ -430,18 +448,21 @@ def solve_blocks(blocks: DataFrame | None, sets: DataFrame, tasks: int, percent:
     ready = whole.select("block", F.lit("").alias("cell"), F.lit(True).alias("whole"), F.lit(True).alias("probe"), F.col("sid").alias("group"), "sid", "n", "tokens")
     if n_large:
         met = _met_leaders(blocks.join(small_side(large, n_large), "block", "left_semi"), sets, percent)
-        lost = F.size("found") == 0
-        parts = met.groupBy("block").agg(F.sum("w").alias("all"), F.sum(F.when(lost, F.col("w")).otherwise(0)).alias("left")).where("left > 0")
+        leaders = saved(_grouped_leaders(met).withColumnRenamed("group", "joined"), rows)
+        first = met.withColumn("leader", F.array_min("found")).join(small_side(leaders, LEADERS * n_large), ["block", "leader"], "left")
+        open_ = saved(first.select("block", "sid", "w", F.coalesce("joined", "sid").alias("group")), rows)
+        sizes = open_.groupBy("block", "group").agg(F.sum("w").alias("w"))
+        parts = sizes.groupBy("block").agg(F.max(F.struct("w", "group")).alias("most"), F.sum("w").alias("all")).withColumn("left", F.col("all") - F.col("most.w")).where("left > 0")
         half = F.lit(4 * block_tokens)  # of bytes
         side = F.least(F.greatest(F.col("left"), F.lit(8 * cell_tokens)), half)
-        parts = saved(parts.select("block", F.ceil(F.col("left") / half).cast("int").alias("p"), F.ceil(F.col("all") / side).cast("int").alias("q")))
-        open_ = met.join(small_side(parts, n_large), "block").withColumn("lost", lost)
+        parts = saved(parts.select("block", F.col("most.group").alias("largest"), F.ceil(F.col("left") / half).cast("int").alias("p"), F.ceil(F.col("all") / side).cast("int").alias("q")), rows)
+        # stored before the join, so that a block with very many sets can be split
+        open_ = open_.join(small_side(parts, n_large), "block").withColumn("probe", F.col("group") != F.col("largest"))
         open_ = open_.withColumn("i", F.pmod(F.xxhash64("sid", F.lit(1)), F.col("p"))).withColumn("j", F.pmod(F.xxhash64("sid", F.lit(2)), F.col("q")))
-        group = F.coalesce(F.array_min("found"), F.col("sid")).alias("group")
-        look = open_.where("lost").withColumn("to", F.explode(F.sequence(F.lit(0), F.col("q") - 1)))
-        look = look.select("block", F.concat_ws("-", "i", "to").alias("cell"), F.lit(False).alias("whole"), F.lit(True).alias("probe"), group, "sid")
-        seen = open_.withColumn("to", F.explode(F.sequence(F.lit(0), F.col("p") - 1))).where("not lost or to <> i")
-        seen = seen.select("block", F.concat_ws("-", "to", "j").alias("cell"), F.lit(False).alias("whole"), F.lit(False).alias("probe"), group, "sid")
+        look = open_.where("probe").withColumn("to", F.explode(F.sequence(F.lit(0), F.col("q") - 1)))
+        look = look.select("block", F.concat_ws("-", "i", "to").alias("cell"), F.lit(False).alias("whole"), "probe", "group", "sid")
+        seen = open_.withColumn("to", F.explode(F.sequence(F.lit(0), F.col("p") - 1))).where("not probe or to <> i")
+        seen = seen.select("block", F.concat_ws("-", "to", "j").alias("cell"), F.lit(False).alias("whole"), F.lit(False).alias("probe"), "group", "sid")
         ready = ready.unionByName(look.unionByName(seen).join(sets, "sid").select(*columns))
     links = (
         ready.repartition(tasks, "block", "cell")
