@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from ..sources.session import stored
+from .ordering import ranked_within
+
 
 def uniform(*parts: Column | str | int, seed: int = 0) -> Column:
     """A number in (0, 1) from the md5 of seed and parts."""
@@ -132,18 +135,29 @@ def append_candidates(sequence: Column, candidates: Column, separator: str | Non
 # --- trees ----------------------------------------------------------------------------
 
 
+def parent(code: Column, branches: int) -> Column:
+    """The code of a node's parent, in whole numbers; the root has none."""
+    return F.call_function("div", code - 1, F.lit(branches)).cast("bigint")
+
+
 def ancestors(code: Column, branches: int) -> Column:
-    """Codes from a node's parent up to the root (0), nearest first; children of c are branches * c + 1 and on."""
-    # 62 halvings exhaust a long; the list ends at the root
-    chain = F.transform(F.sequence(F.lit(1), F.lit(62)), lambda d: _up(code, d, branches))
-    return F.when(code > 0, F.concat(F.filter(chain, lambda c: c > 0), F.array(F.lit(0).cast("bigint")))).otherwise(F.array().cast("array<bigint>"))
+    """Codes from a node's parent up to the root (0), nearest first; children of c are branches * c + 1 and on.
+
+    The code is bound once, as a lambda's argument, and each step divides the
+    step before it: an expression behind `code` is worked out once for a row.
+    """
+    levels, reach = 0, 0  # `levels` steps bring any long to the root
+    while reach < (1 << 63) - 1:
+        levels, reach = levels + 1, reach * branches + branches if branches > 1 else (1 << 63)
+    if branches < 2:
+        return F.when(code > 0, F.reverse(F.sequence(F.lit(0).cast("bigint"), code - 1))).otherwise(F.array().cast("array<bigint>"))
+    state = F.struct(code.cast("bigint").alias("at"), F.array().cast("array<bigint>").alias("up"))
 
+    def step(s: Column, _: Column) -> Column:
+        up = parent(s["at"], branches)
+        return F.when(s["at"] > 0, F.struct(up.alias("at"), F.concat(s["up"], F.array(up)).alias("up"))).otherwise(s)
 
-def _up(code: Column, steps: Column, branches: int) -> Column:
-    """The ancestor `steps` above: with s = 1 + b + ... + b^(k-1), (code - s) / b^k rounded down; negative beyond the root."""
-    power = F.pow(F.lit(float(branches)), steps.cast("double"))
-    before = (power - 1) / (branches - 1) if branches > 1 else steps.cast("double")
-    return F.when(power < 2.0**61, F.floor((code.cast("double") - before) / power)).otherwise(F.lit(-1)).cast("bigint")
+    return F.aggregate(F.sequence(F.lit(1), F.lit(levels)), state, step, lambda s: s["up"])
 
 
 def kept_levels(top: int, kind: str, share: float, *batch: Column | str | int, seed: int = 0) -> Column:
@@ -181,7 +195,7 @@ def tree_samples(
     if remain_share < 1.0:
         rows = rows.where(F.array_contains(kept_levels(top, kind, remain_share, "__batch", seed=seed + 7), F.col("level")))
     rows = rows.drop("__batch")
-    placed = nodes.select("level", F.col("tree_code").cast("bigint").alias("tree_code")).withColumn("place", F.row_number().over(Window.partitionBy("level").orderBy("tree_code")) - 1)
+    placed = stored(ranked_within(nodes.select("level", F.col("tree_code").cast("bigint").alias("tree_code")), "level", "tree_code", "tree_code", "place"))
     sizes = placed.groupBy("level").agg(F.count("*").alias("size"))
     wanted = F.coalesce(F.create_map(*[F.lit(x) for lv, n in negatives.items() for x in (lv, n)])[F.col("level")], F.lit(0)) if negatives else F.lit(0)
     own = rows.join(placed, ["level", "tree_code"]).join(F.broadcast(sizes), "level").withColumn("n", F.least(wanted, F.col("size") - 1))
@@ -189,7 +203,7 @@ def tree_samples(
     # steps 1 .. size - 1 from the own place on reach every other place once
     step = F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("j")
     asked = own.where("n > 0").withColumn("start", start).select(user, item, "level", "place", "size", "start", step)
-    asked = asked.withColumn("place", ((F.col("place") + 1 + (F.col("start") + F.col("j")) % (F.col("size") - 1)) % F.col("size")).cast("int"))
+    asked = asked.withColumn("place", ((F.col("place") + 1 + (F.col("start") + F.col("j")) % (F.col("size") - 1)) % F.col("size")))
     negative = asked.join(placed, ["level", "place"]).select(user, item, "level", "tree_code", F.lit(0).alias("label"))
     return rows.select(user, item, "level", "tree_code", F.lit(1).alias("label")).unionByName(negative)
 

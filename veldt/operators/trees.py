@@ -15,8 +15,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..sources.session import stored
-from .sampling import ancestors
+from ..sources.session import small_side, stored
+from .ordering import placed_in_order, ranked_within
+from .sampling import ancestors, parent
 
 
 def split_code(place: Column, total: Column, branches: int, depth: int) -> Column:
@@ -44,17 +45,11 @@ def tree_depth(items: int, branches: int) -> int:
 
 
 def category_tree(items: DataFrame, item_id: str, category: str, branches: int = 2) -> DataFrame:
-    """(item_id, tree_code, level): items sorted by category and id, split evenly level by level.
-
-    Places come from two-level counts: categories first, then within each.
-    """
+    """(item_id, tree_code, level): items sorted by category and id, split evenly level by level."""
     n = items.count()
     depth = tree_depth(n, branches)
-    sizes = items.groupBy(category).agg(F.count("*").alias("n"))
-    base = sizes.select(F.col(category).alias("__c"), F.coalesce(F.sum("n").over(Window.orderBy(category).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
-    inner = F.row_number().over(Window.partitionBy(category).orderBy(item_id)) - 1
-    placed = items.withColumn("__in", inner).join(base, F.col(category).eqNullSafe(F.col("__c"))).withColumn("__p", F.col("base") + F.col("__in"))
-    return placed.select(F.col(item_id).alias("item_id"), split_code(F.col("__p"), F.lit(n), branches, depth).alias("tree_code"), F.lit(depth).alias("level"))
+    placed = placed_in_order(items.select(F.col(item_id).alias("item_id"), F.col(category).alias("__c")), ["__c", "item_id"], "__p")
+    return placed.select("item_id", split_code(F.col("__p"), F.lit(n), branches, depth).alias("tree_code"), F.lit(depth).alias("level"))
 
 
 def balanced_kmeans(vectors: np.ndarray, k: int, rounds: int = 10, seed: int = 0) -> np.ndarray:
@@ -81,35 +76,22 @@ def balanced_kmeans(vectors: np.ndarray, k: int, rounds: int = 10, seed: int = 0
     return label
 
 
-def ranked_within(rows: DataFrame, key: str, order: str, tie: str, out: str) -> DataFrame:
-    """Add `out`: the place (from 0) of each row among those of its key; no key is ordered by one task.
-
-    Rows are sorted by ranges and stored; their places in the whole order, less
-    the place at which their key begins, come from counts of rows for each range.
-    """
-    dealt = stored(rows.repartitionByRange(key, order, tie).sortWithinPartitions(key, order, tie).withColumn("__m", F.monotonically_increasing_id()))
-    part = F.shiftright("__m", 33)
-    before = Window.orderBy("p").rowsBetween(Window.unboundedPreceding, -1)
-    starts = dealt.groupBy(part.alias("p")).agg(F.count("*").alias("n")).select("p", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
-    placed = dealt.withColumn("p", part).join(F.broadcast(starts), "p").withColumn("__at", F.col("start") + F.col("__m") - F.shiftleft("p", 33)).drop("p", "start", "__m")
-    return placed.join(placed.groupBy(key).agg(F.min("__at").alias("__first")), key).withColumn(out, F.col("__at") - F.col("__first")).drop("__at", "__first")
-
-
 def _split_level(nodes: DataFrame, branches: int, rounds: int) -> DataFrame:
     """Rows (item_id, v, code) one level down: k-means within each node over the whole table, then equal parts by nearness."""
     width = len(nodes.first()["v"])
     h = F.xxhash64("item_id")
     centres = nodes.groupBy("code").agg(F.array(*[F.min(F.when(F.pmod(h, F.lit(branches)) == k, F.struct(h.alias("h"), "v")))["v"] for k in range(branches)]).alias("centres"))
     distance = lambda c: F.coalesce(F.aggregate(F.zip_with("v", c, lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda t, x: t + x), F.lit(float("inf")))
+    sizes = stored(nodes.groupBy("code").agg(F.count("*").alias("size")))
+    n = sizes.count()
+    near_centres = lambda: small_side(centres, n, 8 * branches * width)
     for _ in range(rounds):
-        # centres are branches vectors for a node, and nodes of a split level have thousands of items each
-        near = nodes.join(F.broadcast(centres), "code").withColumn("d", F.transform("centres", distance))
+        near = nodes.join(near_centres(), "code").withColumn("d", F.transform("centres", distance))
         own = near.withColumn("k", F.array_position("d", F.array_min("d")))
         means = own.groupBy("code", "k").agg(F.array(*[F.avg(F.get("v", F.lit(i))) for i in range(width)]).alias("mean"))
         found = means.groupBy("code").agg(F.map_from_entries(F.collect_list(F.struct("k", "mean"))).alias("m"))
         centres = stored(centres.join(found, "code").select("code", F.transform("centres", lambda c, i: F.coalesce(F.try_element_at("m", i.cast("bigint") + 1), c)).alias("centres")))
-    rest = stored(nodes.join(F.broadcast(centres), "code").select("item_id", "v", "code", F.transform("centres", distance).alias("d")))
-    sizes = nodes.groupBy("code").agg(F.count("*").alias("size"))
+    rest = stored(nodes.join(near_centres(), "code").select("item_id", "v", "code", F.transform("centres", distance).alias("d")))
     parts = []
     for k in range(branches):
         if k + 1 < branches:
@@ -117,7 +99,7 @@ def _split_level(nodes: DataFrame, branches: int, rounds: int) -> DataFrame:
             gain = F.col("d")[k] - F.array_min(F.slice("d", k + 2, branches))
             ranked = ranked_within(rest.withColumn("gain", F.coalesce(F.nanvl(gain, F.lit(0.0)), F.lit(0.0))), "code", "gain", "item_id", "place").drop("gain")
             quota = F.floor((k + 1) * F.col("size") / branches) - F.floor(k * F.col("size") / branches)
-            ranked = stored(ranked.join(F.broadcast(sizes), "code").withColumn("in", F.col("place") < quota).drop("place", "size"))
+            ranked = stored(ranked.join(small_side(sizes, n, 16), "code").withColumn("in", F.col("place") < quota).drop("place", "size"))
             parts.append(ranked.where("in").drop("in").withColumn("k", F.lit(k)))
             rest = ranked.where("not in").drop("in")
         else:
@@ -168,7 +150,9 @@ def level_of(code: Column, branches: int) -> Column:
     while first < 1 << 63:
         firsts.append(first)
         first = first * branches + 1
-    return F.size(F.filter(F.array(*[F.lit(x).cast("bigint") for x in firsts]), lambda x: x <= code)).cast("int")
+    # bound as a lambda's argument, so that an expression behind the code is worked out once
+    begun = F.transform(F.array(code.cast("bigint")), lambda c: F.size(F.filter(F.array(*[F.lit(x).cast("bigint") for x in firsts]), lambda x: x <= c)))
+    return begun[0].cast("int")
 
 
 def build_tree(leaves: DataFrame, branches: int = 2, attributes: list[str] = (), raw_attributes: list[str] = ()) -> DataFrame:
@@ -178,6 +162,7 @@ def build_tree(leaves: DataFrame, branches: int = 2, attributes: list[str] = (),
     level are pushed down to it along first children.  An ancestor is numbered
     after the largest item id, has the most frequent value of each attribute
     (empty ones left out, the smallest of equals) and the mean of each raw one.
+    The nodes are stored: exports and searches read them many times.
     """
     code_level = lambda c: level_of(c, branches)
     extra = [*attributes, *raw_attributes]
@@ -185,7 +170,7 @@ def build_tree(leaves: DataFrame, branches: int = 2, attributes: list[str] = (),
     head = rows.agg(F.max("level").alias("top"), F.max("item_id").alias("last")).first()
     top, last = head["top"] or 0, head["last"] or 0
     down = F.aggregate(F.sequence(F.lit(1), F.lit(top) - F.col("level")), F.col("tree_code"), lambda c, _: c * branches + 1)
-    rows = rows.withColumn("tree_code", F.when(F.col("level") < top, down).otherwise(F.col("tree_code"))).withColumn("level", F.lit(top))
+    rows = stored(rows.withColumn("tree_code", F.when(F.col("level") < top, down).otherwise(F.col("tree_code"))).withColumn("level", F.lit(top)))
     up = rows.select(F.explode(ancestors(F.col("tree_code"), branches)).alias("code"), *extra)
     inner = up.groupBy("code").agg(F.count("*").alias("n_leaves"), *[F.avg(a).alias(a) for a in raw_attributes])
     for a in attributes:
@@ -196,7 +181,7 @@ def build_tree(leaves: DataFrame, branches: int = 2, attributes: list[str] = (),
         if dict(leaves.dtypes)[a] in ("int", "bigint"):
             inner = inner.withColumn(a, F.round(a).cast(dict(leaves.dtypes)[a]))
     nodes = inner.select(F.col("code").alias("tree_code"), (F.lit(last) + F.col("code") + 1).alias("item_id"), code_level(F.col("code")).alias("level"), F.lit(False).alias("is_leaf"), *extra)
-    return nodes.unionByName(rows.select("tree_code", F.col("item_id").cast("bigint").alias("item_id"), "level", F.lit(True).alias("is_leaf"), *extra))
+    return stored(nodes.unionByName(rows.select("tree_code", F.col("item_id").cast("bigint").alias("item_id"), "level", F.lit(True).alias("is_leaf"), *extra)))
 
 
 def tree_edges(nodes: DataFrame, branches: int) -> DataFrame:
@@ -207,7 +192,7 @@ def tree_edges(nodes: DataFrame, branches: int) -> DataFrame:
 
 def predict_edges(nodes: DataFrame, branches: int) -> DataFrame:
     """(src_id, dst_id, weight): each node to its children."""
-    child = nodes.where("tree_code > 0").select(F.col("item_id").alias("dst_id"), F.floor((F.col("tree_code") - 1) / branches).cast("bigint").alias("code"))
+    child = nodes.where("tree_code > 0").select(F.col("item_id").alias("dst_id"), parent(F.col("tree_code"), branches).alias("code"))
     return child.join(nodes.select(F.col("tree_code").alias("code"), F.col("item_id").alias("src_id")), "code").select("src_id", "dst_id", F.lit(1.0).alias("weight"))
 
 
@@ -246,7 +231,7 @@ def beam_search(queries: DataFrame, nodes: DataFrame, k: int, branches: int, sco
             break
         level += 1
         kept = scored.select(query_id, F.col("tree_code").alias("parent"))
-        below = nodes.where(F.col("level") == level).withColumn("parent", F.floor((F.col("tree_code") - 1) / branches).cast("bigint"))
+        below = nodes.where(F.col("level") == level).withColumn("parent", parent(F.col("tree_code"), branches))
         table = kept.join(below, "parent").drop("parent").join(queries, query_id)
     leaves = scored.where("is_leaf").groupBy(query_id, "item_id").agg(F.max("score").alias("score"))
     rank = Window.partitionBy(query_id).orderBy(F.desc("score"), "item_id")

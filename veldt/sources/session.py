@@ -6,6 +6,10 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: Tables are broadcast up to about so many bytes, by their counted rows; beyond, their joins shuffle.
+BROADCAST_BYTES = 32 << 20
 
 
 def configure(spark: SparkSession) -> SparkSession:
@@ -27,3 +31,8 @@ def stored(df: DataFrame) -> DataFrame:
     path = scratch(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.parquet(path)
+
+
+def small_side(small: DataFrame, rows: int, row_bytes: int = 32) -> DataFrame:
+    """The side of a join as a broadcast, where `rows` of about `row_bytes` each stay within BROADCAST_BYTES."""
+    return F.broadcast(small) if rows * row_bytes <= BROADCAST_BYTES else small
