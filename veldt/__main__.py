@@ -8,7 +8,7 @@ import json
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .operators import configs, deltas, metrics, retrieval, scoring, trees
+from .operators import configs, deltas, metrics, retrieval, scoring, trees, vector_index
 from .operators import semantic_ids as S
 from .sources import io
 
@@ -66,6 +66,24 @@ def hitrate(spark: SparkSession, a: argparse.Namespace) -> None:
     io.write(retrieval.hit_rate(io.read(spark, f"{a.output}/details")), f"{a.output}/total")
 
 
+@job("build-index", "input", "output", item_id="item_id", vector="embedding", metric="ip", cells=0, links=vector_index.LINKS, rounds=8, generation="1")
+def build_index(spark: SparkSession, a: argparse.Namespace) -> None:
+    """Fit cells on all vectors and store the index; without links there is no graph, without cells their number follows the table."""
+    io.reject_overlap(a.output, [a.input])
+    items = _vectors(io.read(spark, a.input, [a.item_id, a.vector]), a.vector)
+    cells = int(a.cells) or vector_index.cell_count(items.count())
+    centres = vector_index.fit_cells(items, cells, a.item_id, a.vector, int(a.rounds))
+    vector_index.build_index(items, centres, a.metric, a.item_id, a.vector, int(a.links)).save(a.output, a.generation)
+
+
+@job("search-index", "queries", "index", "output", query_id="query_id", vector="embedding", k=100, probes=16, beam=0, generation="1")
+def search_index(spark: SparkSession, a: argparse.Namespace) -> None:
+    """The nearest items of each query in a stored index; a beam walks its graphs."""
+    index = vector_index.VectorIndex.load(spark, a.index, a.generation)
+    queries = _vectors(io.read(spark, a.queries, [a.query_id, a.vector]), a.vector)
+    io.write(vector_index.search(index, queries, int(a.k), int(a.probes), int(a.beam) or None, a.query_id, a.vector), a.output, inputs=[a.queries, a.index])
+
+
 @job("sid-quality", "input", "sizes", "output", codes="codes", after="")
 def sid_quality(spark: SparkSession, a: argparse.Namespace) -> None:
     """The quality report of semantic ids, perhaps against those after a change."""

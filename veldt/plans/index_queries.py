@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import vectors
-from ..operators import configs, deltas, retrieval, sampling, trees
+from ..operators import configs, deltas, retrieval, sampling, trees, vector_index
 from ..operators import semantic_ids as S
+from ..sources.session import scratch
 from .feature_queries import table
 from .metric_queries import rounded
 
@@ -177,6 +178,44 @@ def _(spark, d):
     return rounded(out.drop("rank"), 5)
 
 
+def _sides(spark, d) -> tuple[DataFrame, DataFrame]:
+    v = _vectors(spark, d)
+    return v.where("vec_id % 100 = 0").withColumnRenamed("vec_id", "query_id"), v.withColumnRenamed("vec_id", "item_id")
+
+
+def _stored_index(spark, items: DataFrame, cells: int, metric: str, links: int) -> vector_index.VectorIndex:
+    """An index that was built, saved and loaded again."""
+    path = scratch(spark)
+    vector_index.build_index(items, vector_index.fit_cells(items, cells, rounds=4), metric, links=links).save(path, "1")
+    return vector_index.VectorIndex.load(spark, path, "1")
+
+
+@query("vector_index_exact", """
+SELECT query_id, item_id, round(score, 5) AS score, rank, n AS scored FROM (
+  SELECT q.vec_id AS query_id, i.vec_id AS item_id, list_distance(q.embedding::DOUBLE[], i.embedding::DOUBLE[]) ** 2 AS score, count(*) OVER (PARTITION BY q.vec_id) AS n,
+    row_number() OVER (PARTITION BY q.vec_id ORDER BY list_distance(q.embedding::DOUBLE[], i.embedding::DOUBLE[]), i.vec_id) AS rank
+  FROM embeddings q, embeddings i WHERE q.vec_id % 100 = 0 AND q.vec_id <> i.vec_id) WHERE rank <= 10""")
+def _(spark, d):
+    """All cells of a fitted index, each scored whole: no item is lost in building, saving, loading or merging."""
+    q, items = _sides(spark, d)
+    found = vector_index.search(_stored_index(spark, items, 8, "l2", 0), q, 11, 8).where("query_id <> item_id")
+    return rounded(found.select("query_id", "item_id", "score", (F.col("rank") - 1).cast("long").alias("rank"), (F.col("scored") - 1).alias("scored")), 5)
+
+
+@query("vector_index_recall", "SELECT count(*) FILTER (vec_id % 100 = 0) AS n_queries, count(*) AS n_items, true AS recall_reached, true AS quarter_read FROM embeddings")
+def _(spark, d):
+    """Walks of the graphs against the exact neighbours: 0.9 of them by scoring a quarter of the items at most."""
+    q, items = _sides(spark, d)
+    index = _stored_index(spark, items, vector_index.cell_count(items.count()), "ip", vector_index.LINKS)
+    found = vector_index.search(index, q, 10, len(index.centres), beam=12)
+    exact = retrieval.top_k(q, items, 10).select("query_id", "item_id")
+    recall = exact.join(found.select("query_id", "item_id", F.lit(1).alias("hit")), ["query_id", "item_id"], "left").agg(F.avg(F.coalesce("hit", F.lit(0))).alias("recall"))
+    read = found.groupBy("query_id").agg(F.max("scored").alias("scored")).agg(F.count("*").alias("n_queries"), F.avg("scored").alias("scored"))
+    size = index.blocks.agg(F.sum("n").alias("n_items"))
+    one = recall.crossJoin(read).crossJoin(size)  # one row each
+    return one.select("n_queries", "n_items", (F.col("recall") >= 0.9).alias("recall_reached"), (F.col("scored") * 4 <= F.col("n_items")).alias("quarter_read"))
+
+
 @query("embedding_pooling", """
 WITH f AS (SELECT label AS g, vec_id AS id FROM embeddings), x AS (SELECT g, generate_subscripts(embedding, 1) AS p, unnest(embedding)::DOUBLE AS v FROM f JOIN embeddings ON vec_id = id)
 SELECT g, round(sum(s) FILTER (p <= 4), 5) AS first_four, round(sum(s), 4) AS total FROM (SELECT g, p, avg(v) AS s FROM x GROUP BY ALL) GROUP BY g""")
