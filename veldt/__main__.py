@@ -8,7 +8,7 @@ import json
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .operators import configs, deltas, metrics, retrieval, scoring, trees, vector_index
+from .operators import configs, deltas, dense, metrics, retrieval, scoring, trees, vector_index
 from .operators import semantic_ids as S
 from .sources import io
 
@@ -53,6 +53,14 @@ def predict(spark: SparkSession, a: argparse.Namespace) -> None:
     io.write_predictions(out, a.output, ["logits", "probs"], kept)
 
 
+@job("predict-model", "input", "weights", "model", "outputs", "output", reserved="")
+def predict_model(spark: SparkSession, a: argparse.Namespace) -> None:
+    """Outputs of a dense model, a JSON list of steps with a table of weights (name, i, v), beside reserved columns."""
+    kept, outputs = ([c for c in x.split(",") if c] for x in (a.reserved, a.outputs))
+    out = dense.score(io.read(spark, a.input), json.loads(a.model), dense.load_weights(io.read(spark, a.weights)), outputs, kept)
+    io.write_predictions(out, a.output, outputs, kept)
+
+
 @job("hitrate", "queries", "items", "output", query_id="request_id", item_id="item_id", truth="gt_items", query_vector="user_tower_emb", item_vector="item_tower_emb", k=200, metric="ip")
 def hitrate(spark: SparkSession, a: argparse.Namespace) -> None:
     """Details of each query, and the rate of all, in two tables of the output."""

@@ -24,6 +24,7 @@ from pyspark.sql import types as T
 from ..functions.vectors import doubles
 from ..sources import io
 from ..sources.session import stored
+from .matrices import matrix_of
 
 METRICS = ("ip", "l2")
 #: Items of a block at most, about; a cell of more has several, dealt by a hash of the id.
@@ -40,17 +41,6 @@ def cell_count(items: int, each: int = BLOCK // 2) -> int:
     return min(MAX_CELLS, max(1, -(-items // each)))
 
 
-def _matrix(column: pa.Array) -> np.ndarray:
-    """A list column of vectors of one width as a matrix; another width is an error."""
-    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    if not len(column):
-        return np.zeros((0, 0))
-    width = np.unique(np.diff(column.offsets.to_numpy()))
-    if len(width) != 1 or column.null_count or column.flatten().null_count:
-        raise ValueError("vectors must have one width and no nulls")
-    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), int(width[0]))
-
-
 def _nearest(v: np.ndarray, centres: np.ndarray, n: int = 1) -> np.ndarray:
     """The n nearest centres of each vector, nearest first, equal ones by number."""
     out = np.empty((len(v), n), np.int32)
@@ -90,7 +80,7 @@ def fit_cells(items: DataFrame, cells: int, item_id: str = "item_id", vector: st
             total, n = np.zeros_like(held), np.zeros(len(held), np.int64)
             for batch in batches:
                 if batch.num_rows:
-                    v = _matrix(batch.column(0))
+                    v = matrix_of(batch.column(0))
                     near = _nearest(v, held)[:, 0]
                     np.add.at(total, near, v)
                     n += np.bincount(near, minlength=len(held))
@@ -265,7 +255,7 @@ def build_index(items: DataFrame, centres: np.ndarray, metric: str = "ip", item_
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            v = _matrix(batch.column(1))
+            v = matrix_of(batch.column(1))
             cell = _nearest(v, centres)[:, 0] if len(v) else np.zeros(0, np.int32)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(cell)], names=["id", "v", "cell"])
 
@@ -279,7 +269,7 @@ def build_index(items: DataFrame, centres: np.ndarray, metric: str = "ip", item_
     def graph(table: pa.Table) -> pa.Table:
         table = table.sort_by("id")
         ids = table.column("id").combine_chunks()
-        v = _matrix(table.column("v")).astype(np.float32)
+        v = matrix_of(table.column("v")).astype(np.float32)
         net = linked(v.astype(float), links, metric) if links else np.zeros((len(v), 0), np.int32)
         starts = entries(net).astype(np.int32) if links else np.zeros(0, np.int32)
         one = [pa.array([table.column(c)[0].as_py()], pa.int32()) for c in ("cell", "block")]
@@ -304,7 +294,7 @@ def search(index: VectorIndex, queries: DataFrame, k: int, probes: int, beam: in
     def aim(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                near = _nearest(_matrix(batch.column(1)), centres, probes)
+                near = _nearest(matrix_of(batch.column(1)), centres, probes)
                 at = pa.array(np.repeat(np.arange(len(near)), probes))
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(near.ravel())], names=["id", "v", "cell"])
 
@@ -323,7 +313,7 @@ def search(index: VectorIndex, queries: DataFrame, k: int, probes: int, beam: in
                 ids = batch.column("ids")[i].values
                 v = np.frombuffer(batch.column("vectors")[i].as_py(), np.float32).reshape(len(ids), -1).astype(float)
                 asked = batch.column("asked")[i].values
-                q_ids, q = asked.field("id"), _matrix(asked.field("v"))
+                q_ids, q = asked.field("id"), matrix_of(asked.field("v"))
                 net = np.frombuffer(batch.column("links")[i].as_py(), np.int32).reshape(len(ids), -1)
                 starts = np.frombuffer(batch.column("starts")[i].as_py(), np.int32)
                 for lo in range(0, len(q), 256):
