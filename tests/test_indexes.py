@@ -239,6 +239,18 @@ def test_collisions(spark, parts):
     assert max(slots.values()) == 1 and all(r["moved"] == (r["codes"] != r["resolved_codes"]) for r in rows)
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_hot_bands_by_proposals(spark, seed):
+    """Rounds of proposals place every item where placing one by one does, also with given candidates and published items."""
+    rng = random.Random(seed)
+    items = [(i, [rng.choice([0, 0, 0, 1]), min(rng.randrange(9), rng.randrange(9))], [[0, rng.randrange(9)] for _ in range(rng.randrange(5))]) for i in range(120)]
+    df = S.with_hash(spark.createDataFrame(items, "item_id long, codes array<int>, candidate_codes array<array<int>>"), "item_id")
+    prior = spark.createDataFrame([(k, rng.randrange(1, 6)) for k in range(0, 18, 4)], "key long, n long")
+    for how in ({"draws": 6}, {"candidates": "candidate_codes", "draws": 3}, {"draws": 4, "prior": prior}):
+        one_by_one, by_rounds = (sorted(map(str, S.resolve_collisions(df, "codes", [2, 9], 6, hot_band=h, **how).collect())) for h in (10**9, 5))
+        assert one_by_one == by_rounds
+
+
 def test_drawn_codes_golden(spark):
     rows = S.with_hash(spark.createDataFrame([(0,), (1,)], "item_id long"), "item_id").orderBy("item_id").collect()
     assert [S.drawn_codes(r["item_hash"], 4, n) for n in (3, 10) for r in rows] == [[1, 2, 0], [2, 0, 2]] * 2

@@ -70,14 +70,19 @@ def test_kafka_address():
     assert (k.brokers, k.topic, k.group, k.start_ms) == ("a:9092,b:9092", "t", "g", 12)
     assert io.kafka_options(k)["startingTimestamp"] == "12"
     assert io.kafka_options(k, {0: 4})["startingOffsets"] == '{"t": {"0": 5}}'
-    for bad in ("http://x", "kafka://a/t", "kafka://a/t?group.id=g&x=1", "kafka://a/t?group.id=g&start.timestamp.ms=z"):
+    given = io.parse_kafka_uri("kafka://a:1/t?group.id=g&auto.offset.reset=latest&security.protocol=SSL")
+    assert io.kafka_options(given) == {"kafka.bootstrap.servers": "a:1", "subscribe": "t", "kafka.group.id": "g", "kafka.security.protocol": "SSL", "startingOffsets": "latest"}
+    # partitions without a stored offset, added since perhaps
+    assert io.kafka_options(k, {0: 4}, [0, 1, 2])["startingOffsets"] == '{"t": {"0": 5, "1": -2, "2": -2}}'
+    assert io.kafka_options(given, {1: 7}, [0, 1])["startingOffsets"] == '{"t": {"0": -1, "1": 8}}'
+    for bad in ("http://x", "kafka://a/t", "kafka://a/t?group.id=g&auto.offset.reset=never", "kafka://a/t?group.id=g&start.timestamp.ms=z"):
         with pytest.raises(ValueError):
             io.parse_kafka_uri(bad)
 
 
 def test_arrow_messages(spark):
     df = spark.createDataFrame([(1, "a"), (2, None)], "k long, s string")
-    messages = spark.createDataFrame([(io.encode_arrow(df),), (None,), (io.encode_arrow(df.select("s", "k")),)], "value binary")
+    messages = io.encode_arrow(df, ["k", "s"]).unionByName(io.encode_arrow(df.coalesce(1), ["s", "k"], 1)).unionByName(spark.createDataFrame([(None,)], "value binary"))
     assert sorted(map(tuple, io.decode_arrow(messages, "value", schema.parse_schema("k:bigint")).collect())) == [(1,), (1,), (2,), (2,)]
     with pytest.raises(Exception, match="missing"):
         io.decode_arrow(messages, "value", schema.parse_schema("z:bigint")).collect()

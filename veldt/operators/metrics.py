@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -11,6 +12,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from ..sources.session import stored
+
 D = lambda c: (F.col(c) if isinstance(c, str) else c).cast("double")
 
 
@@ -158,9 +161,17 @@ def concordant_pairs(p: np.ndarray, t: np.ndarray) -> int:
     return total
 
 
-def _xauc_terms(df: DataFrame, keys: list[str], prediction: str, target: str) -> DataFrame:
+#: A group of more rows is counted by slabs over many tasks, each of about so many rows, at most MAX_SLABS by either number.
+LARGE_GROUP, SLAB_ROWS, MAX_SLABS = 1_000_000, 200_000, 1024
+
+
+def _xauc_terms(df: DataFrame, keys: list[str], prediction: str, target: str, large: int | None = None, slab_rows: int | None = None) -> DataFrame:
     """(keys, right, pairs): pairs of rows whose order in prediction and target agrees, by sorting; ties and missing numbers are wrong."""
+    large, slab_rows = large or LARGE_GROUP, slab_rows or SLAB_ROWS
     rows = df.select(*keys, D(prediction).alias("p"), D(target).alias("t"))
+    sizes = rows.groupBy(*keys).agg(F.count("*").alias("__n"))
+    # of such groups there are at most rows / large
+    huge = sizes.where(F.col("__n") > large).toPandas()
 
     def count(key: tuple, own: pd.DataFrame) -> pd.DataFrame:
         known = own.dropna(subset=["p", "t"])
@@ -168,14 +179,72 @@ def _xauc_terms(df: DataFrame, keys: list[str], prediction: str, target: str) ->
         return pd.DataFrame({**{k: [v] for k, v in zip(keys, key)}, "right": [float(right)], "pairs": [len(own) * (len(own) - 1) / 2.0]})
 
     schema = T.StructType([*[df.schema[k] for k in keys], T.StructField("right", T.DoubleType()), T.StructField("pairs", T.DoubleType())])
-    return rows.groupBy(*keys).applyInPandas(count, schema).where("pairs > 0")
+    if huge.empty:
+        return rows.groupBy(*keys).applyInPandas(count, schema).where("pairs > 0")
+    numbered = df.sparkSession.createDataFrame([(*r, i) for i, r in enumerate(huge[keys].itertuples(index=False, name=None))], T.StructType([*[df.schema[k] for k in keys], T.StructField("__g", T.IntegerType())]))
+    named = F.broadcast(numbered.withColumnsRenamed({k: f"__key_{k}" for k in keys}))
+    on = None
+    for k in keys:
+        same = F.col(k).eqNullSafe(F.col(f"__key_{k}"))
+        on = same if on is None else on & same
+    small = rows.join(named, on, "left_anti").groupBy(*keys).applyInPandas(count, schema)
+    right = _right_by_slabs(rows.join(named, on).select("__g", "p", "t").where("p is not null and t is not null and not isnan(p) and not isnan(t)"), int(huge["__n"].max()), slab_rows)
+    held = sizes.join(named, on).join(right, "__g", "left")
+    return small.unionByName(held.select(*keys, F.coalesce("right", F.lit(0.0)).alias("right"), (F.col("__n") * (F.col("__n") - 1) / 2).cast("double").alias("pairs"))).where("pairs > 0")
+
+
+def _right_by_slabs(rows: DataFrame, n: int, slab_rows: int) -> DataFrame:
+    """(__g, right): pairs of rows (__g, p, t) of a group that rise in p and in t, exactly, over many tasks.
+
+    Edges at quantiles cut p and t into slabs; a value on an edge is a slab of
+    its own, so many equal values make none large that has to be sorted.  Two
+    rows of a rising pair lie in different slabs by both numbers, which counts
+    of slabs tell; or in one slab by p, but not by t; or in one by t.  The last
+    two are counted within a slab each, by sorting.
+    """
+    slabs = int(min(MAX_SLABS, max(2, -(-n // slab_rows))))
+    shares = [i / slabs for i in range(1, slabs)]
+    found = rows.groupBy("__g").agg(F.percentile_approx("p", shares, 10_000).alias("p"), F.percentile_approx("t", shares, 10_000).alias("t")).collect()
+    edges = {r["__g"]: (np.unique(r["p"]), np.unique(r["t"])) for r in found}
+    shipped = rows.sparkSession.sparkContext.broadcast(edges)
+
+    def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            q, k = np.zeros((2, len(batch)), np.int32)
+            group = batch["__g"].to_numpy()
+            for g in np.unique(group):
+                own = group == g
+                for out, edge, c in zip((q, k), shipped.value[g], ("p", "t")):
+                    x = batch[c].to_numpy()[own]
+                    out[own] = np.searchsorted(edge, x) + np.searchsorted(edge, x, "right")  # odd on an edge
+            yield batch.assign(q=q, k=k)
+
+    placed = stored(rows.mapInPandas(place, "__g int, p double, t double, q int, k int"))
+
+    def grid(own: pd.DataFrame) -> pd.DataFrame:
+        held = np.zeros((own["k"].max() + 1, own["q"].max() + 1), np.longdouble)
+        held[own["k"], own["q"]] = own["n"]
+        below = held.cumsum(0).cumsum(1)[:-1, :-1]
+        return pd.DataFrame({"__g": [own["__g"].iloc[0]], "right": [float((held[1:, 1:] * below).sum())]})
+
+    def sorted_slab(a: str, b: str):
+        def run(own: pd.DataFrame) -> pd.DataFrame:
+            return pd.DataFrame({"__g": [own["__g"].iloc[0]], "right": [float(concordant_pairs(own[a].to_numpy(float), own[b].to_numpy(float)))]})
+
+        return run
+
+    kind = "__g int, right double"
+    apart = placed.groupBy("__g", "k", "q").agg(F.count("*").alias("n")).groupBy("__g").applyInPandas(grid, kind)
+    by_p = placed.where("q % 2 = 0").select("__g", "q", "k", "p").groupBy("__g", "q").applyInPandas(sorted_slab("k", "p"), kind)
+    by_t = placed.where("k % 2 = 0").select("__g", "k", "p", "t").groupBy("__g", "k").applyInPandas(sorted_slab("p", "t"), kind)
+    return apart.unionByName(by_p).unionByName(by_t).groupBy("__g").agg(F.sum("right").alias("right"))
 
 
 def xauc(df: DataFrame, prediction: str, target: str, batch: str | None = None, pairs: int | None = None, seed: int = 0) -> DataFrame:
     """Share of pairs in right order: all pairs of each batch, or `pairs` drawn ones per row, with replacement.
 
-    A batch is sorted by one task, so batches are meant for this; a whole table
-    is measured by drawing.
+    A batch of up to LARGE_GROUP rows is sorted by one task, a larger one, or a
+    whole table, is counted exactly by slabs over many tasks.
     """
     if pairs is None:
         if batch is None:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.vectors import doubles
+from ..sources.session import stored
 
 HASH_SEED = 2026
 
@@ -214,8 +215,41 @@ def collision_plan(items: DataFrame, codes: str, sizes: list[int], capacity: int
     return df.withColumn("taken", F.coalesce("taken", F.lit(0)).cast("long")).withColumn("overflow", F.col("rank") + F.col("taken") >= capacity)
 
 
+#: Overflowing items of a band that one task places.
+HOT_BAND = 200_000
+
+
+def _proposals(over: DataFrame, counts: DataFrame, capacity: int, last_size: int, draws: int) -> DataFrame:
+    """(item_id, resolved_last) of overflowing items (item_id, band, last, h, choice), by rounds of proposals.
+
+    Every item proposes to the first of its choices that has not refused it; a
+    code keeps as many as it has room for, the first by (last code, hash, id),
+    and refuses the others.  All codes rank alike, so what is left when no code
+    refuses is what placing the items one by one in that order gives.
+    """
+    @F.pandas_udf("array<int>")
+    def drawn(hashes: pd.Series) -> pd.Series:
+        return pd.Series([drawn_codes(int(h), last_size, draws) for h in hashes])
+
+    choice = F.when(F.size("choice") > 0, F.col("choice")).otherwise(drawn("h"))
+    state = over.withColumn("choice", choice).withColumn("choice", F.filter("choice", lambda c: c != F.col("last"))).withColumn("at", F.lit(0))
+    # codes without room are left out from the start; the window below then keeps `capacity` rows of a code before it is shuffled
+    room = stored(counts.select("band", F.col("last").alias("to"), (F.lit(capacity) - F.col("n")).alias("room")))
+    state = stored(state)
+    order = Window.partitionBy("band", "to").orderBy("last", "h", "item_id")
+    while True:
+        asking = state.where(F.col("at") < F.size("choice")).withColumn("to", F.get("choice", F.col("at")))
+        first = asking.select("item_id", "band", "to", "last", "h").withColumn("r", F.row_number().over(order)).where(F.col("r") <= capacity)
+        kept = first.join(room, ["band", "to"], "left").where(F.col("r") <= F.coalesce("room", F.lit(capacity))).select("item_id", F.lit(True).alias("kept"))
+        told = stored(state.join(kept, "item_id", "left").withColumn("refused", F.col("kept").isNull() & (F.col("at") < F.size("choice"))).drop("kept"))
+        if told.where("refused").first() is None:
+            return told.select("item_id", F.coalesce(F.get("choice", F.col("at")), F.col("last")).cast("int").alias("resolved_last"))
+        state = told.withColumn("at", F.col("at") + F.col("refused").cast("int")).drop("refused")
+
+
 def resolve_collisions(
     items: DataFrame, codes: str, sizes: list[int], capacity: int, hash_col: str = "item_hash", candidates: str | None = None, draws: int = 0, prior: DataFrame | None = None,
+    hot_band: int | None = None,
 ) -> DataFrame:
     """(item_id, codes, resolved_last, slot, moved): items beyond a bucket's capacity move to another last code of their band.
 
@@ -224,6 +258,8 @@ def resolve_collisions(
     capacity.  Candidates are a column of code lists, or `draws` last codes drawn
     by hash, with replacement.  Bands are independent, so each is one group; a task
     sees a band's overflow and its counts only, the items that fit never move.
+    A band with more than `hot_band` overflowing items (HOT_BAND) goes by rounds
+    of proposals over all tasks, with the same result.
     """
     last_size = sizes[-1]
     plan = collision_plan(items, codes, sizes, capacity, hash_col, prior).drop("key")
@@ -249,8 +285,17 @@ def resolve_collisions(
         return pd.DataFrame(out, columns=["item_id", "resolved_last"])
 
     kind = items.schema["item_id"].dataType.simpleString()
+    # of such bands there are at most overflow / hot_band
+    hot = [r["band"] for r in over.groupBy("band").agg(F.count("*").alias("n")).where(F.col("n") > (hot_band or HOT_BAND)).select("band").collect()]
+    counts = stored(counts) if hot else counts
+    placed = None
+    if hot:
+        is_hot = F.broadcast(items.sparkSession.createDataFrame([(b,) for b in hot], "band long"))
+        placed = _proposals(over.join(is_hot, "band", "left_semi"), counts, capacity, last_size, draws)
+        over = over.join(is_hot, "band", "left_anti")
     counts = counts.select(F.col("band").alias("held_band"), F.col("last").alias("held_last"), "n")
     moved = over.groupBy("band").cogroup(counts.groupBy("held_band")).applyInPandas(first_fit, f"item_id {kind}, resolved_last int")
+    moved = moved if placed is None else moved.unionByName(placed)
     done = plan.join(moved, "item_id", "left").withColumn("resolved_last", F.coalesce("resolved_last", "last"))
     # slots count on from published ones: items that fit first, by hash, then the others as they were placed
     w = Window.partitionBy("band", "resolved_last").orderBy("overflow", F.when(F.col("overflow"), F.col("last")), hash_col, "item_id")

@@ -227,10 +227,11 @@ def _(spark, d):
 
 
 @query("in_batch_logits", """
-SELECT a.label AS batch, a.vec_id AS user_id, b.vec_id AS item_id, round(CASE WHEN a.vec_id = b.vec_id THEN -1e32 ELSE list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) END, 5) AS logit
-FROM embeddings a JOIN embeddings b ON a.label = b.label""")
+WITH b AS (SELECT vec_id, embedding::DOUBLE[] AS v, label * 1000000 + floor((row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1) / 16)::BIGINT AS batch FROM embeddings)
+SELECT a.batch, a.vec_id AS user_id, b.vec_id AS item_id, round(CASE WHEN a.vec_id = b.vec_id THEN -1e32 ELSE list_dot_product(a.v, b.v) END, 5) AS logit
+FROM b a JOIN b ON a.batch = b.batch""")
 def _(spark, d):
-    e = table(spark, d, "embeddings").withColumnRenamed("label", "batch")
+    e = sampling.fixed_batches(table(spark, d, "embeddings"), "vec_id", 16, "label").withColumn("batch", F.col("label") * F.lit(1_000_000).cast("long") + F.col("batch"))
     out = retrieval.in_batch_logits(e.withColumnRenamed("vec_id", "user_id"), e.withColumnRenamed("vec_id", "item_id"), "batch")
     same = e.select(F.col("vec_id").alias("user_id"), F.col("vec_id").alias("item_id"))
     return rounded(retrieval.masked_logits(out, same, ["user_id", "item_id"]).select("batch", "user_id", "item_id", "logit"), 5)

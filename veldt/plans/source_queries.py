@@ -70,12 +70,11 @@ def _(spark, d):
     return nodes.select("id", "weight", io.attribute(attrs, 0, "string").alias("name"), io.attribute(attrs, 1, "bigint").alias("nation"))
 
 
-@query("arrow_messages", "SELECT n_nationkey, n_name FROM nation")
+@query("arrow_messages", "SELECT o_orderkey, o_custkey, o_orderpriority FROM orders")
 def _(spark, d):
-    nation = table(spark, d, "nation")
-    # a message holds a few rows by design
-    messages = spark.createDataFrame([(io.encode_arrow(nation.where(F.col("n_regionkey") == r)),) for r in range(5)], "value binary")
-    return io.decode_arrow(messages, "value", nation.select("n_nationkey", "n_name").schema)
+    """Messages of up to 100 rows with their columns in another order, decoded by name."""
+    orders = table(spark, d, "orders", "o_orderkey", "o_custkey", "o_orderpriority")
+    return io.decode_arrow(io.encode_arrow(orders, ["o_orderpriority", "o_orderkey", "o_custkey"], 100), "value", orders.schema)
 
 
 @query("ordered_read", """

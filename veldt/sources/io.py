@@ -170,42 +170,57 @@ class KafkaSource:
     topic: str
     group: str
     start_ms: int | None = None
+    #: Consumer settings as Kafka names them, but for those that are set by other means.
+    consumer: tuple[tuple[str, str], ...] = ()
+
+
+#: Where a topic is read from that no offset is stored for, by Kafka's name for it.
+RESETS = {"earliest": "earliest", "smallest": "earliest", "beginning": "earliest", "latest": "latest", "largest": "latest", "end": "latest"}
 
 
 def parse_kafka_uri(uri: str) -> KafkaSource:
-    """kafka://broker[,broker]/topic?group.id=g&start.timestamp.ms=t"""
+    """kafka://broker[,broker]/topic?group.id=g&start.timestamp.ms=t&...; other options are consumer settings."""
     m = re.fullmatch(r"kafka://([^/?]+)/([^/?]+)(?:\?(.*))?", uri)
     if not m:
         raise ValueError(f"not a Kafka address: {uri!r}")
     options = dict(parse_qsl(m[3] or "", keep_blank_values=True))
-    unknown = set(options) - {"group.id", "start.timestamp.ms"}
-    if unknown:
-        raise ValueError(f"unknown options {sorted(unknown)}")
-    if not options.get("group.id"):
+    group, start = options.pop("group.id", None), options.pop("start.timestamp.ms", None)
+    if not group:
         raise ValueError("group.id is required")
-    start = options.get("start.timestamp.ms")
     if start is not None and not re.fullmatch(r"\d+", start):
         raise ValueError(f"start.timestamp.ms must be a whole number, got {start!r}")
-    return KafkaSource(m[1], m[2], options["group.id"], int(start) if start else None)
+    reset = options.get("auto.offset.reset", "earliest")
+    if reset not in RESETS:
+        raise ValueError(f"auto.offset.reset must be one of {sorted(RESETS)}, got {reset!r}")
+    return KafkaSource(m[1], m[2], group, int(start) if start else None, tuple(sorted(options.items())))
 
 
-def kafka_options(source: KafkaSource, resume: dict[int, int] | None = None) -> dict[str, str]:
-    """Reader options: stored offsets plus one, else the start time, else the earliest."""
-    out = {"kafka.bootstrap.servers": source.brokers, "subscribe": source.topic, "kafka.group.id": source.group}
+def kafka_options(source: KafkaSource, resume: dict[int, int] | None = None, partitions: list[int] | None = None) -> dict[str, str]:
+    """Reader options: stored offsets plus one, else the start time, else what auto.offset.reset says, else the earliest.
+
+    Spark wants an offset for every partition when it gets one for any: those of
+    `partitions` that nothing is stored for begin at the earliest (-2) or, by
+    auto.offset.reset, at the latest (-1).  Stored offsets go before the start time.
+    """
+    settings = dict(source.consumer)
+    reset = RESETS[settings.pop("auto.offset.reset", "earliest")]
+    out = {"kafka.bootstrap.servers": source.brokers, "subscribe": source.topic, "kafka.group.id": source.group} | {f"kafka.{k}": v for k, v in settings.items()}
     if resume:
-        out["startingOffsets"] = json.dumps({source.topic: {str(p): o + 1 for p, o in sorted(resume.items())}})
+        fresh = {p: -2 if reset == "earliest" else -1 for p in partitions or [] if p not in resume}
+        held = fresh | {p: o + 1 for p, o in resume.items()}
+        out["startingOffsets"] = json.dumps({source.topic: {str(p): o for p, o in sorted(held.items())}})
     elif source.start_ms is not None:
         out["startingTimestamp"] = str(source.start_ms)
-        out["startingOffsetsByTimestampStrategy"] = "error"
+        out["startingOffsetsByTimestampStrategy"] = "error" if reset == "earliest" else "latest"
     else:
-        out["startingOffsets"] = "earliest"
+        out["startingOffsets"] = reset
     return out
 
 
-def read_kafka(spark: SparkSession, uri: str, schema: str | T.StructType, resume: dict[int, int] | None = None) -> DataFrame:
-    """A stream of Arrow IPC messages as rows of `schema` (needs Spark's Kafka connector)."""
+def read_kafka(spark: SparkSession, uri: str, schema: str | T.StructType, resume: dict[int, int] | None = None, partitions: list[int] | None = None) -> DataFrame:
+    """A stream of Arrow IPC messages as rows of `schema` (needs Spark's Kafka connector); to resume, name all partitions."""
     want = parse_schema(schema) if isinstance(schema, str) else schema
-    raw = spark.readStream.format("kafka").options(**kafka_options(parse_kafka_uri(uri), resume)).load()
+    raw = spark.readStream.format("kafka").options(**kafka_options(parse_kafka_uri(uri), resume, partitions)).load()
     return decode_arrow(raw, "value", want)
 
 
@@ -230,15 +245,19 @@ def decode_arrow(df: DataFrame, column: str, want: T.StructType) -> DataFrame:
     return df.select(column).mapInArrow(run, want)
 
 
-def encode_arrow(rows: DataFrame) -> bytes:
-    """A small DataFrame as one Arrow IPC message, as producers write it."""
+def encode_arrow(rows: DataFrame, columns: list[str], rows_each: int = 1024) -> DataFrame:
+    """(value): the rows as Arrow IPC messages of at most `rows_each` rows, as producers write them; executors encode their own."""
     import pyarrow as pa
 
-    table = rows.toArrow()
-    sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, table.schema) as w:
-        w.write_table(table)
-    return sink.getvalue().to_pybytes()
+    def run(batches):
+        for batch in batches:
+            for lo in range(0, batch.num_rows, rows_each):
+                sink = pa.BufferOutputStream()
+                with pa.ipc.new_stream(sink, batch.schema) as w:
+                    w.write_batch(batch.slice(lo, rows_each))
+                yield pa.RecordBatch.from_arrays([pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["value"])
+
+    return rows.select(*columns).mapInArrow(run, "value binary")
 
 
 # --- bundles: several tables that become visible together ------------------------------

@@ -57,10 +57,10 @@ def quorum_watermark(workers: DataFrame, quorum: float, worker: str = "worker",
 
 
 def fires(previous: float | None, now: float, interval: float, targets: list[float] = ()) -> bool:
-    """Whether event time moved into another interval or past a target; the first observation never fires."""
+    """Whether event time moved into another interval or past a target; the first observation never fires, an interval of 0 is none."""
     if previous is None or now < 0:
         return False
-    return now // interval > previous // interval or any(previous < t <= now for t in targets)
+    return (interval > 0 and now // interval > previous // interval) or any(previous < t <= now for t in targets)
 
 
 def event_time_trigger(stream: DataFrame, key: str, time: str, interval: float, targets: list[float] = ()) -> DataFrame:
