@@ -211,11 +211,12 @@ def _collide(table: pa.Table) -> pa.Table:
     again = lambda x: x[1:][x[1:] == x[:-1]]
     order = np.lexsort((names, keys))
     keys, names = keys[order], names[order]
-    same = np.r_[False, (keys[1:] == keys[:-1]) & (names[1:] == names[:-1])]
+    same, shared = np.zeros(len(keys), bool), np.zeros(len(keys), bool)
+    same[1:] = (keys[1:] == keys[:-1]) & (names[1:] == names[:-1])
     repeated = np.unique(np.r_[names[same], again(np.sort(windows))])
-    keys, names = keys[~same], names[~same]
-    shared = np.r_[False, keys[1:] == keys[:-1]]
-    shared = shared | np.r_[shared[1:], False]
+    keys, names, shared = keys[~same], names[~same], shared[~same]
+    shared[1:] = keys[1:] == keys[:-1]
+    shared[:-1] |= shared[1:].copy()
     sid = np.r_[names[shared], repeated].view(np.int64)
     block = np.r_[keys[shared], np.zeros(len(repeated), np.uint64)].view(np.int64)
     return pa.table({"sid": pa.array(sid), "block": pa.array(block, mask=np.arange(len(sid)) >= int(shared.sum()))})
