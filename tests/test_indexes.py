@@ -59,6 +59,38 @@ def test_negatives_follow_the_weights(spark):
     assert abs(Counter(r["i"] for r in rows if r["rank"] == 2)[0] - want) < 5 * want**0.5
 
 
+def test_negatives_beside_a_heavy_item(spark):
+    """One item has 99.9 % of the weight: who may draw it has it first nearly always, and all get their number, the rest evenly."""
+    items = spark.createDataFrame([(i, 99_900.0 if i == 7 else 1.0) for i in range(101)], "i int, w double")
+    positives = spark.createDataFrame([(u, 7 if u % 2 else 50 + u % 50) for u in range(3000)], "u int, i int")
+    got = sampling.negative_sample(positives, items, "u", "i", 4, "w", seed=2).collect()
+    own = {}
+    for r in got:
+        own.setdefault(r["u"], {})[r["rank"]] = r["i"]
+    assert len(own) == 3000 and all(sorted(x) == [1, 2, 3, 4] and len(set(x.values())) == 4 for x in own.values())
+    assert not any(7 in x.values() for u, x in own.items() if u % 2)
+    assert sum(x[1] == 7 for u, x in own.items() if u % 2 == 0) >= 1480
+    rest = Counter(i for u, x in own.items() if u % 2 for i in x.values())
+    mean = sum(rest.values()) / 100
+    assert sum((rest[i] - mean) ** 2 / mean for i in range(101) if i != 7) < 150  # chi-square of 99, beyond 0.1 %
+    drawn = Counter(i for u, x in own.items() if u % 2 == 0 for i in x.values() if i != 7 and i < 50)
+    mean = sum(drawn.values()) / 49
+    assert sum((drawn[i] - mean) ** 2 / mean for i in range(50) if i != 7) < 86
+
+
+def test_negatives_of_falling_weights(spark):
+    """Each item has a hundred times the weight of the next: every round finds some, the order is that of weights nearly always."""
+    items = spark.createDataFrame([(i, 100.0**-i) for i in range(12)], "i int, w double")
+    positives = spark.createDataFrame([(u, u % 3) for u in range(90)], "u int, i int")
+    got = sampling.negative_sample(positives, items, "u", "i", 9, "w", seed=1).collect()
+    ordered = 0
+    for u in range(90):
+        own = [r["i"] for r in sorted((r for r in got if r["u"] == u), key=lambda r: r["rank"])]
+        assert len(own) == 9 and len(set(own)) == 9 and u % 3 not in own
+        ordered += own == sorted(own)
+    assert ordered > 70
+
+
 def test_negatives_where_positives_weigh_nearly_all(spark):
     items = spark.createDataFrame([(i, 1e9 if i < 3 else 1.0) for i in range(9)], "i int, w double")
     positives = spark.createDataFrame([(1, i) for i in range(3)] + [(2, i) for i in range(8)], "u int, i int")

@@ -57,6 +57,8 @@ def sample_size(num: int, num_eval: int | None = None, training: bool = True) ->
 
 #: Draws of a user in the first round of negatives, as a multiple of the wanted number; each further round has four times as many.
 DRAWS, ROUNDS = 3, 4
+#: Items with more than this share of all weight are cut out of the line where they may not be drawn; there are at most 1 / HEAVY.
+HEAVY = 1 / 64
 
 
 def negative_sample(
@@ -68,41 +70,85 @@ def negative_sample(
     Draws are points on the line of all weights; repeats and positives are
     passed over, which is drawing one by one from what is left.  A point finds
     its item by the slot it falls into, of as many equal slots as items, so a
-    user meets its draws and never all items.  Users who come short draw on;
-    those who still do after the last round (few items, or positives with nearly
-    all weight) rank all their items by ln(u) / w, the same distribution.
+    user meets its draws and never all items.  Positives of much weight are cut
+    out of a user's line: a point beyond one moves on by its length.
+
+    Users who come short, because few items have nearly all weight, go on
+    without what they have found: its heavy items are cut out, too, and they
+    draw as often as the weight that is left to them asks for.  Each of these
+    rounds finds an item at least, mostly all.  Only a user whose light
+    positives leave so little that this would be more draws than there are items
+    ranks the items by ln(u) / w, which is the same distribution.
     """
-    line = weight_intervals(items, item, weight)
+    line = stored(weight_intervals(items, item, weight))
     head = line.agg(F.count("*").alias("n"), F.max("high").alias("w")).first()
     known = positives.select(user, item)
     if edges is not None:
         known = known.unionByName(edges.select(user, item))
-    known = known.distinct()
+    known = stored(known.distinct())
     users = positives.select(user).distinct()
     n, total = head["n"], head["w"] or 1.0
+    if not n:
+        return known.withColumn("rank", F.lit(1)).limit(0)
     slot = lambda x: F.least(F.lit(n - 1), F.floor(x / total * n)).cast("bigint")
-    slots = line.withColumn("__slot", F.explode(F.sequence(slot(F.col("low")), slot(F.col("high")))))
-
-    def drawn(who: DataFrame, draws: int) -> DataFrame:
-        points = who.withColumn("__j", F.explode(F.sequence(F.lit(1), F.lit(draws)))).withColumn("__x", uniform(user, "__j", seed=seed) * total).withColumn("__slot", slot(F.col("__x")))
+    slots = stored(line.withColumn("__slot", F.explode(F.sequence(slot(F.col("low")), slot(F.col("high"))))))
+    heavy = F.broadcast(line.where(F.col("high") - F.col("low") > HEAVY * total).select(item, F.struct("low", "high").alias("__cut")))  # 1 / HEAVY rows at most
+    any_heavy = line.where(F.col("high") - F.col("low") > HEAVY * total).first() is not None
+    none = F.array().cast("array<struct<low:double,high:double>>")
+
+    def with_cuts(who: DataFrame, taken: DataFrame) -> DataFrame:
+        """Add the heavy intervals that each user may not draw, in order, and the length of the line without them."""
+        if any_heavy:
+            cuts = taken.join(heavy, item).groupBy(user).agg(F.sort_array(F.collect_list("__cut")).alias("__cuts"))
+            who = who.join(cuts, user, "left").withColumn("__cuts", F.coalesce("__cuts", none))
+        else:
+            who = who.withColumn("__cuts", none)
+        return who.withColumn("__room", F.lit(total) - F.aggregate("__cuts", F.lit(0.0), lambda t, c: t + c["high"] - c["low"]))
+
+    def drawn(who: DataFrame, taken: DataFrame, draws: Column, salt: int) -> DataFrame:
+        """(user, item, j): first hits of points on each user's line that are not taken."""
+        points = who.withColumn("__j", F.explode(F.sequence(F.lit(1), draws)))
+        x = F.aggregate("__cuts", uniform(user, "__j", seed=salt) * F.col("__room"), lambda at, c: F.when(at >= c["low"], at + c["high"] - c["low"]).otherwise(at))
+        points = points.select(user, "__j", x.alias("__x")).withColumn("__slot", slot(F.col("__x")))
         hits = points.join(slots, "__slot").where("low <= __x and __x < high").groupBy(user, item).agg(F.min("__j").alias("__j"))
-        w = Window.partitionBy(user).orderBy("__j")
-        return hits.join(known, [user, item], "left_anti").withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= num).select(user, item, "rank")
+        return hits.join(taken, [user, item], "left_anti")
 
-    if not n:
-        return drawn(users, 1).limit(0)
-    out, draws = None, num * DRAWS
+    def first(found: DataFrame, wanted: Column, before: Column) -> DataFrame:
+        """The first of a user's hits as ranks after those found before."""
+        r = F.row_number().over(Window.partitionBy(user).orderBy("__j"))
+        return found.withColumn("__r", r).where(F.col("__r") <= wanted).select(user, item, (F.col("__r") + before).cast("int").alias("rank"))
+
+    out, draws, short = None, num * DRAWS, stored(with_cuts(users, known))
     for _ in range(ROUNDS):
-        found = drawn(users, draws)
+        found = stored(first(drawn(short, known, F.lit(draws), seed), F.lit(num), F.lit(0)))
         done = found.groupBy(user).agg(F.count("*").alias("__n")).where(F.col("__n") >= num).select(user)
         full = found.join(done, user, "left_semi")
         out = full if out is None else out.unionByName(full)
-        users, draws = users.join(done, user, "left_anti"), draws * 4
-        if users.first() is None:
+        short, draws = stored(short.join(done, user, "left_anti")), draws * 4
+        if short.first() is None:
             return out
-    key = F.ln(uniform(user, item, seed=seed)) / (F.col("high") - F.col("low"))
-    ranked = users.crossJoin(line).join(known, [user, item], "left_anti").withColumn("rank", F.row_number().over(Window.partitionBy(user).orderBy(F.desc(key), item)))
-    return out.unionByName(ranked.where(F.col("rank") <= num).select(user, item, "rank"))
+    mine = stored(found.join(short.select(user), user, "left_semi"))
+    length = (F.col("high") - F.col("low")).alias("__w")
+    for again in range(1, num + 2):
+        taken = stored(known.join(short.select(user), user, "left_semi").unionByName(mine.select(user, item)))
+        spent = taken.join(line.select(item, length), item).groupBy(user).agg(F.sum("__w").alias("__spent"), F.count("*").alias("__items"))
+        have = mine.groupBy(user).agg(F.count("*").alias("__have"))
+        state = with_cuts(short.select(user), taken).join(spent, user, "left").join(have, user, "left").withColumn("__have", F.coalesce("__have", F.lit(0)))
+        state = state.where((F.col("__have") < num) & (F.coalesce("__items", F.lit(0)) < n))
+        left = F.greatest(F.lit(total) - F.coalesce("__spent", F.lit(0.0)), F.lit(1e-12 * total))
+        asked = F.ceil((num - F.col("__have")) * DRAWS * F.col("__room") / left)
+        state = stored(state.withColumn("__draws", F.least(asked, F.lit(n + 1)).cast("int")))
+        short = state.select(user)
+        if state.first() is None:
+            break
+        new = first(drawn(state.where(F.col("__draws") <= n), taken, F.col("__draws"), seed + 1000 * again).join(state.select(user, "__have"), user), num - F.col("__have"), F.col("__have"))
+        # by the weights themselves: beside a very heavy item a light one may have no length on the line
+        own = items.select(item, (F.col(weight).cast("double") if weight else F.lit(1.0)).alias("__w")).where("__w > 0")
+        every = state.where(F.col("__draws") > n).select(user, "__have").crossJoin(own).join(taken, [user, item], "left_anti")
+        key = F.ln(uniform(user, item, seed=seed)) / F.col("__w")
+        ranked = every.withColumn("__r", F.row_number().over(Window.partitionBy(user).orderBy(F.desc(key), item))).where(F.col("__r") <= num - F.col("__have"))
+        mine = stored(mine.unionByName(new).unionByName(ranked.select(user, item, (F.col("__r") + F.col("__have")).cast("int").alias("rank"))))
+    return out.unionByName(mine)
 
 
 def hard_negatives(positives: DataFrame, hard_edges: DataFrame, user: str, item: str, num: int, weight: str | None = None) -> DataFrame:
