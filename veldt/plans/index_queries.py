@@ -292,7 +292,28 @@ def _(spark, d):
     return q.select("vec_id", "codes", F.round(vectors.norm(gap), 5).alias("error"))
 
 
-@query("sid_collisions")
+_TWO64 = "18446744073709551616::UHUGEINT"
+
+
+@query("sid_collisions", CODED.replace("WITH", "WITH RECURSIVE", 1) + f""",
+y0 AS (SELECT item_id, a * 8 + b AS band, c AS last, [a, b, c]::INT[] AS codes, key, (item_id::UHUGEINT + {S.HASH_SEED * S.SPLITMIX_STEP % 2**64}::UHUGEINT) % {_TWO64} AS z FROM k),
+y1 AS (SELECT * REPLACE ((xor(z, z >> 30) * {S.SPLITMIX_FACTORS[0]}::UHUGEINT) % {_TWO64} AS z) FROM y0),
+y2 AS (SELECT * REPLACE ((xor(z, z >> 27) * {S.SPLITMIX_FACTORS[1]}::UHUGEINT) % {_TWO64} AS z) FROM y1),
+y AS (SELECT * REPLACE (xor(z, z >> 31) AS z) FROM y2),
+r AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY z, item_id) > 2 AS overflow FROM y),
+w0 AS (SELECT item_id, i, (z + i * {S.SPLITMIX_STEP}::UHUGEINT + {S.HASH_SEED * S.SPLITMIX_STEP % 2**64}::UHUGEINT) % {_TWO64} AS v FROM r, (SELECT unnest(range(6))::UHUGEINT AS i) WHERE overflow),
+w1 AS (SELECT item_id, i, (xor(v, v >> 30) * {S.SPLITMIX_FACTORS[0]}::UHUGEINT) % {_TWO64} AS v FROM w0),
+w2 AS (SELECT item_id, i, (xor(v, v >> 27) * {S.SPLITMIX_FACTORS[1]}::UHUGEINT) % {_TWO64} AS v FROM w1),
+w AS (SELECT item_id, list((xor(v, v >> 31) % 16)::INT ORDER BY i) AS choice FROM w2 GROUP BY item_id),
+o AS (SELECT band, last, item_id, choice, row_number() OVER (PARTITION BY band ORDER BY last, z, item_id) AS i FROM r JOIN w USING (item_id)),
+f AS (SELECT band, last, count(*) AS n FROM r WHERE NOT overflow GROUP BY ALL),
+u AS (SELECT band, list(coalesce(n, 0) ORDER BY last) AS used FROM (SELECT DISTINCT band FROM o) CROSS JOIN (SELECT unnest(range(16)) AS last) LEFT JOIN f USING (band, last) GROUP BY band),
+g AS (SELECT band, 0::BIGINT AS i, used, NULL::BIGINT AS item_id, NULL::INT AS target FROM u
+  UNION ALL SELECT band, i, [used[x + 1] + (x = target)::INT FOR x IN range(16)], item_id, target FROM (
+    SELECT g.band, o.i, g.used, o.item_id, coalesce(list_filter(o.choice, lambda x: x <> o.last AND g.used[x + 1] < 2)[1], o.last)::INT AS target FROM g JOIN o ON o.band = g.band AND o.i = g.i + 1)),
+d AS (SELECT r.*, coalesce(g.target, r.last)::INT AS resolved_last FROM r LEFT JOIN g ON g.item_id = r.item_id)
+SELECT item_id, codes, [codes[1], codes[2], resolved_last] AS resolved_codes, resolved_last, row_number() OVER (PARTITION BY band, resolved_last ORDER BY overflow, CASE WHEN overflow THEN last END, z, item_id)::INT AS slot,
+  resolved_last <> last AS moved, band * 16 + resolved_last AS key FROM d""")
 def _(spark, d):
     items = S.with_hash(_coded(spark, d), "item_id")
     return S.resolve_collisions(items, "codes", SIZES, 2, draws=6)
@@ -305,12 +326,21 @@ def _(spark, d):
     return S.append_items(old, items, "codes", SIZES, 2, draws=6)["groups"]
 
 
-@query("sid_quality_report", CODED + """,
-v AS (SELECT a, b, c, a AS x, b AS y, (c // 2) AS z FROM k), f AS (SELECT (a * 8 + b) * 16 + c AS k1, (x * 8 + y) * 16 + z AS k2 FROM v)
-SELECT 'delta' AS view, (SELECT count(DISTINCT k2) - count(DISTINCT k1) FROM f)::DOUBLE AS unique_sids""")
+def _report_sql(key: str, most: int) -> str:
+    """SQL of the quality of codes with a joined number `key`, `most` of which there can be, as (metric, value)."""
+    return f"""
+SELECT unnest(['total', 'unique_sids', 'no_collision_rate', 'singleton_rate', 'max_bucket', 'gini', 'entropy', 'max_entropy', 'entropy_ratio']) AS metric,
+  unnest([sum(x), count(*), count(*) / sum(x), avg((x = 1)::INT), max(x), (2 * sum(i * x) - (max(m) + 1) * sum(x)) / (count(*) * sum(x)), ln(sum(x)) - sum(x * ln(x)) / sum(x), ln({most}), (ln(sum(x)) - sum(x * ln(x)) / sum(x)) / ln({most})]::DOUBLE[]) AS value
+FROM (SELECT x, row_number() OVER (ORDER BY x)::DOUBLE AS i, count(*) OVER () AS m FROM (SELECT count(*)::DOUBLE AS x FROM f GROUP BY {key}))"""
+
+
+@query("sid_quality_report", CODED + f""",
+f AS (SELECT key AS k1, (a * 8 + b) * 16 + c // 2 AS k2 FROM k), one AS ({_report_sql("k1", 512)}), two AS ({_report_sql("k2", 512)})
+SELECT 'before' AS view, metric, round(value, 6) AS value FROM one UNION ALL SELECT 'after', metric, round(value, 6) FROM two
+UNION ALL SELECT 'delta', metric, round(two.value - one.value, 6) FROM one JOIN two USING (metric)""")
 def _(spark, d):
     both = _coded(spark, d).withColumn("after", F.concat(F.slice("codes", 1, 2), F.array(F.floor(F.col("codes")[2] / 2).cast("int"))))
-    return S.quality_report(both, "codes", SIZES, "after").where("view = 'delta' and metric = 'unique_sids'").select("view", F.col("value").alias("unique_sids"))
+    return rounded(S.quality_report(both, "codes", SIZES, "after"))
 
 
 # --- trees --------------------------------------------------------------------------------
@@ -346,12 +376,13 @@ def _(spark, d):
     return trees.tree_edges(trees.build_tree(_category_tree(spark, d), 2), 2)
 
 
-@query("tree_attributes", """
-WITH c AS (SELECT p_brand, count(*) AS n FROM part GROUP BY 1)
-SELECT 0::BIGINT AS tree_code, (SELECT p_brand FROM c ORDER BY n DESC, p_brand LIMIT 1) AS p_brand, round(avg(p_retailprice), 6) AS p_retailprice FROM part""")
+@query("tree_attributes", TREE + """,
+r AS (SELECT code, level, p_brand, p_retailprice FROM t JOIN part USING (p_partkey)),
+b AS (SELECT code, p_brand, row_number() OVER (PARTITION BY code ORDER BY count(*) DESC, p_brand) AS i FROM r GROUP BY code, p_brand)
+SELECT code AS tree_code, any_value(r.level) AS level, any_value(b.p_brand) AS p_brand, round(avg(p_retailprice), 4) AS p_retailprice FROM r JOIN b USING (code) WHERE i = 1 GROUP BY code""")
 def _(spark, d):
     leaves = _category_tree(spark, d).join(table(spark, d, "part", F.col("p_partkey").alias("item_id"), "p_brand", "p_retailprice"), "item_id")
-    return rounded(trees.build_tree(leaves, 2, ["p_brand"], ["p_retailprice"]).where("tree_code = 0").select("tree_code", "p_brand", "p_retailprice"))
+    return rounded(trees.build_tree(leaves, 2, ["p_brand"], ["p_retailprice"]).select("tree_code", "level", "p_brand", "p_retailprice"), 4)
 
 
 @query("tree_samples", TREE + f""", b AS (SELECT DISTINCT o_custkey AS user_id, l_partkey AS item_id FROM orders JOIN lineitem ON o_orderkey = l_orderkey),

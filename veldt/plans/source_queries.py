@@ -118,10 +118,53 @@ def _(spark, d):
     return spark.read.parquet(path).groupBy("user_id").agg(F.max("global_step").alias("global_step"), F.max_by("value", "global_step").alias("value"))
 
 
-@query("stream_triggers", "SELECT user_id, max(epoch_us(ts)) / 1e6 AS latest FROM events GROUP BY user_id")
+def _arriving(spark, d, *parts: str) -> DataFrame:
+    """A stream whose micro-batches are the events of each condition, one after the other."""
+    path = scratch(spark)
+    rows = table(spark, d, "events", "event_id", "user_id", "event_type", "value", F.col("ts").cast("timestamp").alias("ts"))
+    for part in parts:
+        rows.where(part).coalesce(1).write.mode("append").parquet(path)
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
+@query("stream_triggers", """
+WITH b AS (SELECT user_id, event_id % 3 AS batch, max(epoch_us(ts)) / 1e6 AS now FROM events GROUP BY ALL),
+p AS (SELECT *, max(now) OVER (PARTITION BY user_id ORDER BY batch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS previous FROM b)
+SELECT user_id, now AS event_time, coalesce(floor(now / 21600) > floor(previous / 21600), false) AS fired FROM p""")
+def _(spark, d):
+    stream = _arriving(spark, d, *[f"event_id % 3 = {i}" for i in range(3)])
+    return _played(P.event_time_trigger(stream, "user_id", "ts", 21600), "append").select("user_id", "event_time", "fired")
+
+
+@query("stream_windows_sliding", """
+WITH w AS (SELECT unnest([time_bucket(INTERVAL '3 hours', ts, TIMESTAMP '1970-01-01'), time_bucket(INTERVAL '3 hours', ts, TIMESTAMP '1970-01-01') - INTERVAL '3 hours']) AS start, event_type FROM events)
+SELECT start::TIMESTAMP AS start, event_type, count(*) AS n FROM w GROUP BY ALL""")
 def _(spark, d):
-    fired = _played(P.event_time_trigger(_events(spark, d), "user_id", "ts", 3600), "append")
-    return fired.groupBy("user_id").agg(F.max("event_time").alias("latest"))
+    counts = _played(P.windowed_counts(_events(spark, d), "ts", "6 hours", "3650 days", "event_type", slide="3 hours"), "update")
+    return counts.groupBy("start", "event_type").agg(F.max("n").alias("n")).withColumn("start", F.col("start").cast("timestamp_ntz"))
+
+
+@query("stream_windows_session", """
+WITH g AS (SELECT user_id, ts, coalesce(ts - lag(ts) OVER w > INTERVAL '6 hours', true)::INT AS fresh FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+s AS (SELECT user_id, ts, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS session FROM g)
+SELECT min(ts)::TIMESTAMP AS start, (max(ts) + INTERVAL '6 hours')::TIMESTAMP AS "end", user_id, count(*) AS n FROM s GROUP BY user_id, session""")
+def _(spark, d):
+    counts = _played(P.windowed_counts(_events(spark, d), "ts", "6 hours", "3650 days", "user_id", session=True), "complete")
+    # each batch writes all sessions so far: the last one holds them whole
+    last = counts.agg(F.max("batch")).first()[0]
+    ntz = lambda c: F.col(c).cast("timestamp_ntz").alias(c)
+    return counts.where(F.col("batch") == last).select(ntz("start"), ntz("end"), "user_id", "n")
+
+
+@query("stream_late_rows", """
+WITH e AS (SELECT *, time_bucket(INTERVAL '6 hours', ts, TIMESTAMP '1970-01-01') AS start, ts < TIMESTAMP '2024-01-16' AS early FROM events),
+m AS (SELECT max(ts) - INTERVAL '1 day' AS mark FROM e WHERE event_id % 2 = 0 AND NOT early)
+SELECT start::TIMESTAMP AS start, event_type, count(*) AS n FROM e, m WHERE early OR event_id % 2 = 0 OR start + INTERVAL '6 hours' > mark GROUP BY ALL""")
+def _(spark, d):
+    """A batch's rows are late by the watermark of the batch before the last one: odd events of windows more than a day behind the even ones are dropped."""
+    stream = _arriving(spark, d, "event_id % 2 = 0 and ts >= '2024-01-16'", "ts < '2024-01-16'", "event_id % 2 = 1 and ts >= '2024-01-16'")
+    counts = _played(P.windowed_counts(stream, "ts", "6 hours", "1 day", "event_type"), "update")
+    return counts.groupBy("start", "event_type").agg(F.max("n").alias("n")).withColumn("start", F.col("start").cast("timestamp_ntz"))
 
 
 # --- tree exports and feature tables ------------------------------------------------------------------------
