@@ -44,7 +44,7 @@ def test_killed_between_write_and_commit(spark, tmp_path, monkeypatch, at):
             P.publish_batch(rows(spark, ("a", 2, 2.0), ("gone", 2, 2.0)), 1, path, KEYS, send=die)
     else:
         with monkeypatch.context() as m:
-            m.setattr(P, "_commit", die)
+            m.setattr(P, "commit", die)
             with pytest.raises(KeyboardInterrupt):
                 P.publish_batch(rows(spark, ("a", 2, 2.0), ("gone", 2, 2.0)), 1, path, KEYS)
     assert table(spark, path) == {"a": (1, 1.0)}, "rows without a commit are not there"

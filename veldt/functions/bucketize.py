@@ -117,14 +117,18 @@ class Bucketizer:
         return len(self.boundaries or []) + 1
 
 
-def admitted_ids(events: DataFrame, id_col: str, step_col: str, size: int, policy: str = "lfu", decay: float = 1.0, min_count: int = 1) -> DataFrame:
-    """(id, cnt, last_step, score) of the ids that a managed table of `size` rows holds.
+def admission_score(policy: str, now: Column, decay: float = 1.0) -> Column:
+    """The worth of an id (cnt, last_step) at step `now`.
 
     Policies: lfu ranks by count, lru by recency 1 / (age ^ decay), distance_lfu
-    by count / (age ^ decay); age is in steps behind the latest, plus one.
+    by count / (age ^ decay); age is in steps behind `now`, plus one.
     """
+    age = F.pow(now - F.col("last_step") + 1.0, F.lit(decay))
+    return {"lfu": F.col("cnt").cast("double"), "lru": 1.0 / age, "distance_lfu": F.col("cnt") / age}[policy]
+
+
+def admitted_ids(events: DataFrame, id_col: str, step_col: str, size: int, policy: str = "lfu", decay: float = 1.0, min_count: int = 1) -> DataFrame:
+    """(id, cnt, last_step, score) of the ids that a managed table of `size` rows holds, by admission_score at the latest step."""
     stats = events.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.count("*").alias("cnt"), F.max(step_col).alias("last_step")).where(F.col("cnt") >= min_count)
     now = events.agg(F.max(step_col).alias("now"))
-    age = F.pow(F.col("now") - F.col("last_step") + 1.0, F.lit(decay))
-    score = {"lfu": F.col("cnt").cast("double"), "lru": 1.0 / age, "distance_lfu": F.col("cnt") / age}[policy]
-    return stats.crossJoin(F.broadcast(now)).select("id", "cnt", "last_step", score.alias("score")).orderBy(F.desc("score"), "id").limit(size)
+    return stats.crossJoin(F.broadcast(now)).select("id", "cnt", "last_step", admission_score(policy, F.col("now"), decay).alias("score")).orderBy(F.desc("score"), "id").limit(size)

@@ -379,10 +379,10 @@ def _(spark, d):
 @query("tree_attributes", TREE + """,
 r AS (SELECT code, level, p_brand, p_retailprice FROM t JOIN part USING (p_partkey)),
 b AS (SELECT code, p_brand, row_number() OVER (PARTITION BY code ORDER BY count(*) DESC, p_brand) AS i FROM r GROUP BY code, p_brand)
-SELECT code AS tree_code, any_value(r.level) AS level, any_value(b.p_brand) AS p_brand, round(avg(p_retailprice), 4) AS p_retailprice FROM r JOIN b USING (code) WHERE i = 1 GROUP BY code""")
+SELECT code AS tree_code, any_value(r.level) AS level, any_value(b.p_brand) AS p_brand, round(avg(p_retailprice) + 0.0000123, 4) AS p_retailprice FROM r JOIN b USING (code) WHERE i = 1 GROUP BY code""")
 def _(spark, d):
     leaves = _category_tree(spark, d).join(table(spark, d, "part", F.col("p_partkey").alias("item_id"), "p_brand", "p_retailprice"), "item_id")
-    return rounded(trees.build_tree(leaves, 2, ["p_brand"], ["p_retailprice"]).select("tree_code", "level", "p_brand", "p_retailprice"), 4)
+    return rounded(trees.build_tree(leaves, 2, ["p_brand"], ["p_retailprice"]).select("tree_code", "level", "p_brand", (F.col("p_retailprice") + 0.0000123).alias("p_retailprice")), 4)  # off the halves that means of cents fall on
 
 
 @query("tree_samples", TREE + f""", b AS (SELECT DISTINCT o_custkey AS user_id, l_partkey AS item_id FROM orders JOIN lineitem ON o_orderkey = l_orderkey),

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..operators import dense, interests, pareto
 from ..sources.session import scratch
-from ..streaming import publish
+from ..streaming import managed, publish
 from .feature_queries import table
 from .index_queries import u
 from .metric_queries import rounded
@@ -160,3 +160,24 @@ def _(spark, d):
     publish.publish_batch(batch(1), 2, path, keys, clock=lambda: 950)
     out = publish.published(spark, path, keys).join(early, keys, "left")
     return out.select(*keys, "global_step", "value", F.coalesce("early", F.lit(False)).alias("known_early"))
+
+
+@query("managed_ids_stream", """
+WITH RECURSIVE e AS (SELECT user_id AS id, event_id // 50 + 1 AS step FROM events WHERE event_id % 5 <> 2 OR user_id % 2 = 0),
+s AS (SELECT id, ceil(step / 20.0)::BIGINT AS seg, count(*) AS cnt, max(step) AS last_step FROM e GROUP BY ALL),
+m AS (SELECT max(step) AS last FROM e),
+g AS (SELECT 0::BIGINT AS seg, [NULL::STRUCT(id BIGINT, cnt BIGINT, last_step BIGINT)][:0] AS held
+  UNION ALL SELECT seg + 1, list_slice(list_sort(list_transform(grown, lambda x: {'worth': -x.cnt / pow(least((seg + 1) * 20, last) - x.last_step + 1, 0.5), 'id': x.id, 'cnt': x.cnt, 'last_step': x.last_step})), 1, CASE WHEN (seg + 1) * 20 <= last THEN 40 ELSE 1000000 END).list_transform(lambda x: {'id': x.id, 'cnt': x.cnt, 'last_step': x.last_step})
+  FROM (SELECT seg, last, list_concat(
+      list_filter(held, lambda h: NOT list_contains(ids, h.id)),
+      list_transform(new, lambda x: {'id': x.id, 'cnt': (x.cnt + coalesce(list_sum(list_transform(list_filter(held, lambda h: h.id = x.id), lambda h: h.cnt)), 0))::BIGINT, 'last_step': x.last_step})) AS grown
+    FROM g JOIN (SELECT seg AS next, list({'id': id, 'cnt': cnt, 'last_step': last_step}) AS new, list(id) AS ids FROM s GROUP BY seg) n ON n.next = g.seg + 1, m))
+SELECT h.id, h.cnt, h.last_step FROM (SELECT unnest(held) AS h FROM g WHERE seg = (SELECT max(seg) FROM g))""")
+def _(spark, d):
+    """Three batches, one of them given twice, with evictions every 20 steps; an id that was evicted counts anew."""
+    e = table(spark, d, "events", F.col("user_id").alias("key"), "event_id").where("event_id % 5 <> 2 or key % 2 = 0").select("key", (F.floor(F.col("event_id") / 50) + 1).alias("step"))
+    path, last = scratch(spark), e.agg(F.max("step")).first()[0]
+    for number, (low, high) in enumerate([(0, last // 3), (last // 3, last // 2), (last // 3, last // 2), (last // 2, last)]):
+        part = e.where((F.col("step") > low) & (F.col("step") <= high))
+        managed.manage_batch(part, min(number, 1) if number < 3 else 2, path, "key", "step", 40, 20, policy="distance_lfu", decay=0.5)
+    return managed.managed_table(spark, path)

@@ -40,7 +40,8 @@ def commits(spark: SparkSession, path: str) -> list[dict]:
     return sorted((json.loads(r["value"]) for r in rows), key=lambda c: c["time"])
 
 
-def _commit(spark: SparkSession, path: str, number: int, entry: dict) -> None:
+def commit(spark: SparkSession, path: str, number: int, entry: dict) -> None:
+    """Make a batch visible: one small file, written last."""
     spark.createDataFrame([(json.dumps(entry),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/commits/batch={number}")
 
 
@@ -67,7 +68,7 @@ def publish_batch(
             latest(rows, keys, order).withColumn(TIME, F.lit(now).cast("long")).write.mode("overwrite").parquet(folder)
             if send is not None:
                 send(spark.read.parquet(folder), now)
-            _commit(spark, path, number, {"batch": number, "time": now, "mode": mode, "folder": f"deltas/batch={number}"})
+            commit(spark, path, number, {"batch": number, "time": now, "mode": mode, "folder": f"deltas/batch={number}"})
             return True
         except Exception:
             if attempt == attempts:
@@ -114,4 +115,4 @@ def compact(spark: SparkSession, path: str, keys: list[str], order: str = "globa
     now, number = done[-1]["time"] + 1, -1 - sum(bool(c.get("compacts")) for c in done)
     folder = f"bases/{now}"
     published(spark, path, keys, order).write.mode("overwrite").parquet(f"{path}/{folder}")
-    _commit(spark, path, number, {"batch": number, "time": now, "mode": REPLACE, "folder": folder, "compacts": True})
+    commit(spark, path, number, {"batch": number, "time": now, "mode": REPLACE, "folder": folder, "compacts": True})
