@@ -6,8 +6,8 @@ its words, A-Z lower-cased, and it is compared by the set of its 5-word shingles
 
 The number of bands is tuned so that contents at the threshold collide in one
 with a probability of at least RECALL.  Contents are sent once for each band to
-the bucket of that band's key, and those that keys connect are a block.  A block's
-pairs are verified by exact Jaccard similarity in a trie, and the components of
+the bucket of that band's key, and those that share a key are a block; blocks with
+the same least content are one.  A block's pairs are verified by exact Jaccard similarity in a trie, and the components of
 all links are the classes.
 
 Passages are also copied into the middle of lines, where no paragraph of another
@@ -292,12 +292,12 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     members = written(_members(docs, id_col, text_col, wanted, n, min_words))
     # several tasks may give the same content
     contents = saved(members.where("tokens is not null").select(F.col("name").alias("sid"), "n", "tokens").dropDuplicates(["sid"]), n, 20_000)
-    # contents that share keys of several bands, or keys with others in turn, are one block: each is sent once
+    # blocks of one least content are one block: contents that share keys of several bands are sent once, mostly
     near = hits.where("block is not null")
     least = saved(near.groupBy("block").agg(F.min("sid").alias("least")), n)
-    met = near.join(least, "block").select("sid", "least").distinct()
-    blocks = connected_components(met, "sid", "least", n).select(F.col("node").alias("sid"), F.col("component").alias("block"))
-    roots = saved(solve_blocks(blocks, contents, buckets, percent, rows=n).select(F.col("sid").alias("name"), "root"), n)
+    blocks = saved(near.join(least, "block").select("sid", F.col("least").alias("block")).distinct(), n)
+    links = solve_blocks(blocks, contents, buckets, percent, rows=n)
+    roots = saved(connected_components(links, "sid", "root", n).select(F.col("node").alias("name"), F.col("component").alias("root")), n)
     units = members.select(F.struct(F.col("id").isNull().alias("none"), "id", "h").alias("doc"), "unit", "kind", "start", "length", "name")
     # stored already, so that a content that repeats very often can be split
     placed = units.join(small_side(roots, roots.count(), 16), "name", "left").withColumn("root", F.coalesce("root", "name")).drop("name")
