@@ -57,7 +57,7 @@ def test_tables(spark, tmp_path):
     spark.createDataFrame([("g", f"f{i}", i / 10) for i in range(5)], "group string, feature string, dropout double").write.parquet(f"{d}/i.parquet")
     main(["select-features", "--input", f"{d}/i.parquet", "--output", f"{d}/s.parquet", "--top", "2"], spark)
     assert {r["feature"] for r in spark.read.parquet(f"{d}/s.parquet").collect()} == {"f0", "f1"}
-    assert len(JOBS) == 8
+    assert len(JOBS) == 12
     with pytest.raises(SystemExit):
         main(["nothing"], spark)
 
@@ -70,3 +70,18 @@ def test_registered_formats_and_epochs(spark, tmp_path):
     assert io.read(spark, "here", columns=["source"], kind="kept").count() == 2
     state = P.with_epochs(P.with_epochs(df, "source", 1), "source", 2)
     assert P.epochs_done(df, "source") == 0 and P.epochs_done(state, "source") == 2 and state.count() == 3
+
+
+def test_tree_retrieval(spark, tmp_path):
+    """A model of given weights over stored nodes: the nearest leaves, and their recall."""
+    d = str(tmp_path)
+    spark.createDataFrame([(i, i, float(i)) for i in range(16)], "item_id long, category int, x double").write.parquet(f"{d}/in.parquet")
+    main(["init-tree", "--input", f"{d}/in.parquet", "--output", f"{d}/tree", "--raw-attributes", "x"], spark)
+    spark.createDataFrame([(q, q + 0.2) for q in range(3, 12)], "request long, wanted double").write.parquet(f"{d}/queries.parquet")
+    spark.createDataFrame([(q, i) for q in range(3, 12) for i in (q, q + 1)], "request long, item_id long").write.parquet(f"{d}/truth.parquet")
+    spark.createDataFrame([("far.0.weight", 0, [1.0, -1.0]), ("far.0.weight", 1, [-1.0, 1.0]), ("far.1.weight", 0, [-1.0, -1.0])], "name string, i int, v array<double>").write.parquet(f"{d}/weights.parquet")
+    model = json.dumps([{"op": "mlp", "name": "far", "in": ["x", "wanted"], "out": "score", "last": "none"}])
+    main(["tree-retrieval", "--queries", f"{d}/queries.parquet", "--nodes", f"{d}/tree/nodes", "--weights", f"{d}/weights.parquet", "--model", model, "--output", f"{d}/out", "--query-id", "request", "--k", "2", "--truth", f"{d}/truth.parquet"], spark)
+    found = {(r["request"], r["rank"]): r["item_id"] for r in spark.read.parquet(f"{d}/out/found").collect()}
+    assert found == {(q, k): q + k - 1 for q in range(3, 12) for k in (1, 2)}
+    assert spark.read.parquet(f"{d}/out/recall").first()["recall"] == 1.0

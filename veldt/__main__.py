@@ -122,6 +122,17 @@ def init_tree(spark: SparkSession, a: argparse.Namespace) -> None:
         io.write(out, f"{a.output}/{name}")
 
 
+@job("tree-retrieval", "queries", "nodes", "weights", "model", "output", query_id="query_id", branches=2, k=100, truth="")
+def tree_retrieval(spark: SparkSession, a: argparse.Namespace) -> None:
+    """The best leaves of each query by a dense model that scores nodes level by level; with a table of true items, their recall."""
+    steps, weights = json.loads(a.model), dense.load_weights(io.read(spark, a.weights))
+    queries, nodes = io.read(spark, a.queries), io.read(spark, a.nodes)
+    found = trees.beam_search(queries, nodes, int(a.k), int(a.branches), lambda t: dense.score(t, steps, weights, ["score"], t.columns), a.query_id)
+    io.write(found.select(a.query_id, "item_id", "score", "rank"), f"{a.output}/found", inputs=[a.queries, a.nodes])
+    if a.truth:
+        io.write(trees.retrieval_recall(io.read(spark, f"{a.output}/found"), io.read(spark, a.truth), a.query_id), f"{a.output}/recall", inputs=[a.truth])
+
+
 @job("compare-deltas", "local", "remote", "output", keys="feature_name,key_id", quantised=0)
 def compare(spark: SparkSession, a: argparse.Namespace) -> None:
     """How many local embedding rows match those of a remote store, differ or are missing there."""

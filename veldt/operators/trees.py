@@ -213,11 +213,12 @@ def start_level(branches: int, k: int, top: int) -> int:
     return min(top, math.ceil(math.log(2 * branches * k, branches)))
 
 
-def beam_search(queries: DataFrame, nodes: DataFrame, k: int, branches: int, score: Callable[[DataFrame], Column], query_id: str = "query_id") -> DataFrame:
+def beam_search(queries: DataFrame, nodes: DataFrame, k: int, branches: int, score: Callable[[DataFrame], Column | DataFrame], query_id: str = "query_id") -> DataFrame:
     """(query_id, item_id, score, rank): from a start level down, the 2 k best nodes stay; leaves give the k best items.
 
-    `score` maps a table of queries joined with nodes to a number.  Levels are
-    joined by the parent's code, so only children of kept nodes are scored.
+    `score` maps a table of queries joined with nodes to a number, or to the
+    table with a column `score`, as models do.  Levels are joined by the parent's
+    code, so only children of kept nodes are scored.
     """
     top = nodes.agg(F.max("level").alias("m")).first()["m"] or 0
     level = start_level(branches, k, top)
@@ -226,7 +227,8 @@ def beam_search(queries: DataFrame, nodes: DataFrame, k: int, branches: int, sco
     # every query meets the start level: at most branches times 2 k branches nodes
     table = queries.crossJoin(F.broadcast(first))
     while True:
-        scored = table.withColumn("score", score(table)).withColumn("r", F.row_number().over(w)).where(F.col("r") <= 2 * k)
+        found = score(table)
+        scored = (found if isinstance(found, DataFrame) else table.withColumn("score", found)).withColumn("r", F.row_number().over(w)).where(F.col("r") <= 2 * k)
         if level >= top:
             break
         level += 1

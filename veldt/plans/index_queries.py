@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import vectors
-from ..operators import configs, deltas, retrieval, sampling, trees, vector_index
+from ..operators import configs, deltas, dense, retrieval, sampling, trees, vector_index
 from ..operators import semantic_ids as S
 from ..sources.session import scratch
 from .feature_queries import table
@@ -406,23 +406,41 @@ def _(spark, d):
     return rows.groupBy("level").agg(F.count("*").alias("n"))
 
 
-@query("beam_search", TREE + """,
+BEAM_SQL = TREE + """,
 prices AS (SELECT t.level, t.code, avg(p_retailprice) AS price, any_value(t.p_partkey) AS item_id FROM t JOIN part USING (p_partkey) GROUP BY ALL),
 q AS (SELECT s_suppkey AS query_id, 900.0 + abs(s_acctbal) / 20 AS wanted FROM supplier),
 s AS (SELECT query_id, wanted, code, level, -abs(price - wanted) AS score, item_id FROM q, prices, dp WHERE level = least(depth, ceil(log2(20) - 1e-9))
   QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY -abs(price - wanted) DESC, code) <= 10),
 r AS (SELECT * FROM s UNION ALL (SELECT r.query_id, r.wanted, p.code, p.level, -abs(p.price - r.wanted), p.item_id FROM r JOIN prices p ON p.level = r.level + 1 AND (p.code - 1) // 2 = r.code
   QUALIFY row_number() OVER (PARTITION BY r.query_id ORDER BY -abs(p.price - r.wanted) DESC, p.code) <= 10))
-SELECT query_id, item_id, round(score, 6) AS score, rank FROM (SELECT query_id, item_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, item_id) AS rank FROM r, dp WHERE level = depth) WHERE rank <= 5""")
-def _(spark, d):
-    """Nearest prices by tree: the score of a node is closeness of its leaves' mean price."""
+SELECT query_id, item_id, round(score, 6) AS score, rank FROM (SELECT query_id, item_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, item_id) AS rank FROM r, dp WHERE level = depth) WHERE rank <= 5"""
+
+
+def _priced(spark, d) -> tuple[DataFrame, DataFrame]:
+    """Wanted prices, and a tree whose nodes have their leaves' mean price."""
     leaves = _category_tree(spark, d).join(table(spark, d, "part", F.col("p_partkey").alias("item_id"), "p_retailprice"), "item_id")
-    nodes = trees.build_tree(leaves, 2, [], ["p_retailprice"])
     queries = table(spark, d, "supplier", F.col("s_suppkey").alias("query_id"), (F.lit(900.0) + F.abs(F.col("s_acctbal")) / 20).alias("wanted"))
+    return queries, trees.build_tree(leaves, 2, [], ["p_retailprice"])
+
+
+@query("beam_search", BEAM_SQL)
+def _(spark, d):
+    """Nearest prices by tree: the score of a node is closeness of its leaves' mean price."""
+    queries, nodes = _priced(spark, d)
     found = trees.beam_search(queries, nodes, 5, 2, lambda t: -F.abs(t["p_retailprice"] - t["wanted"]))
     return rounded(found.select("query_id", "item_id", "score", F.col("rank").cast("long").alias("rank")))
 
 
+@query("tree_retrieval", BEAM_SQL)
+def _(spark, d):
+    """The same search with a dense model of two layers that measures the distance, in Arrow batches."""
+    queries, nodes = _priced(spark, d)
+    weights = dense.load_weights(spark.createDataFrame([("far.0.weight", 0, [1.0, -1.0]), ("far.0.weight", 1, [-1.0, 1.0]), ("far.1.weight", 0, [-1.0, -1.0])], dense.WEIGHTS))
+    steps = [{"op": "mlp", "name": "far", "in": ["p_retailprice", "wanted"], "out": "score", "last": "none"}]
+    found = trees.beam_search(queries, nodes, 5, 2, lambda t: dense.score(t, steps, weights, ["score"], t.columns))
+    return rounded(found.select("query_id", "item_id", "score", F.col("rank").cast("long").alias("rank")))
+
+
 # --- deltas and configs --------------------------------------------------------------------
 
 
