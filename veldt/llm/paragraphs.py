@@ -7,8 +7,8 @@ its words, A-Z lower-cased, and it is compared by the set of its 5-word shingles
 The number of bands is tuned so that contents at the threshold collide in one
 with a probability of at least RECALL.  Contents are sent once for each band to
 the bucket of that band's key, and those that share a key are a block; blocks with
-the same least content are one.  A block's pairs are verified by exact Jaccard similarity in a trie, and the components of
-all links are the classes.
+the same least content are one.  A block's pairs are verified by exact Jaccard
+similarity in a trie, and the components of all links are the classes.
 
 Passages are also copied into the middle of lines, where no paragraph of another
 text is like the line they stand in.  So windows of WINDOW_WORDS words are
