@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -140,24 +141,28 @@ def normalized_entropy(df: DataFrame, prediction: str, label: str, eta: float =
     return sums.select(F.try_divide("ce", -(F.col("pos") * F.ln(m) + (F.col("n") - F.col("pos")) * F.ln(1 - m))).alias("normalized_entropy"))
 
 
-def concordant_pairs(p: np.ndarray, t: np.ndarray) -> int:
-    """How many pairs rise, or fall, in both numbers; ties in either are none.
+def concordant_pairs(p: np.ndarray, t: np.ndarray, group: np.ndarray | None = None, groups: int = 1) -> np.ndarray:
+    """For each of `groups` groups (numbers from 0), how many pairs of its rows rise, or fall, in both numbers; ties in either are none.
 
     In order of p, and of falling t where p ties, these are the pairs whose t
     rises.  They part at the highest bit in which their ranks differ, so each
-    bit counts, among rows of equal higher bits, the zeros before every one.
+    bit counts, among rows of a group and of equal higher bits, the zeros before
+    every one, for all groups at once.
     """
+    group = np.zeros(len(p), np.int64) if group is None else group.astype(np.int64)
     _, rank = np.unique(t, return_inverse=True)
-    rank = rank[np.lexsort((-rank, p))]
-    total = 0
-    for bit in reversed(range(int(rank.max(initial=0)).bit_length())):
-        prefix, one = rank >> (bit + 1), (rank >> bit) & 1
+    order = np.lexsort((-rank, p, group))
+    rank, group = rank[order].astype(np.int64), group[order]
+    total = np.zeros(groups, np.int64)
+    bits = int(rank.max(initial=0)).bit_length()
+    for bit in reversed(range(bits)):
+        prefix, one = (group << bits) | (rank >> (bit + 1)), (rank >> bit) & 1
         order = np.argsort(prefix, kind="stable")
         prefix, one = prefix[order], one[order]
         zeros = np.cumsum(1 - one)
         first = np.flatnonzero(np.r_[True, prefix[1:] != prefix[:-1]]) if len(prefix) else np.zeros(0, np.int64)
         before = np.repeat((zeros - (1 - one))[first], np.diff(np.r_[first, len(prefix)]))
-        total += int((one * (zeros - before)).sum())
+        np.add.at(total, group[order], one * (zeros - before))
     return total
 
 
@@ -173,21 +178,35 @@ def _xauc_terms(df: DataFrame, keys: list[str], prediction: str, target: str, la
     # of such groups there are at most rows / large
     huge = sizes.where(F.col("__n") > large).toPandas()
 
-    def count(key: tuple, own: pd.DataFrame) -> pd.DataFrame:
-        known = own.dropna(subset=["p", "t"])
-        right = concordant_pairs(known["p"].to_numpy(float), known["t"].to_numpy(float))
-        return pd.DataFrame({**{k: [v] for k, v in zip(keys, key)}, "right": [float(right)], "pairs": [len(own) * (len(own) - 1) / 2.0]})
+    buckets = max(1, -(-rows.count() // slab_rows))
+
+    def count(table: pa.Table) -> pa.Table:
+        code = np.zeros(len(table), np.int64)
+        for k in keys:
+            values = table.column(k).combine_chunks().dictionary_encode(null_encoding="encode")
+            code = np.unique(code * max(1, len(values.dictionary)) + values.indices.to_numpy(), return_inverse=True)[1]
+        n = np.bincount(code).astype(float)
+        first = pa.array(np.unique(code, return_index=True)[1])
+        p, t = table.column("p").to_numpy(), table.column("t").to_numpy()  # a null is no number
+        known = ~(np.isnan(p) | np.isnan(t))
+        right = concordant_pairs(p[known], t[known], code[known], len(n))
+        return pa.Table.from_arrays([*[table.column(k).take(first) for k in keys], pa.array(right.astype(float)), pa.array(n * (n - 1) / 2)], names=schema.names)
+
+    def counted(some: DataFrame) -> DataFrame:
+        # many groups to a call, about `slab_rows` rows in all
+        dealt = some.withColumn("__bucket", F.pmod(F.xxhash64(*keys), F.lit(buckets)))
+        return dealt.groupBy("__bucket").applyInArrow(count, schema)
 
     schema = T.StructType([*[df.schema[k] for k in keys], T.StructField("right", T.DoubleType()), T.StructField("pairs", T.DoubleType())])
     if huge.empty:
-        return rows.groupBy(*keys).applyInPandas(count, schema).where("pairs > 0")
+        return counted(rows).where("pairs > 0")
     numbered = df.sparkSession.createDataFrame([(*r, i) for i, r in enumerate(huge[keys].itertuples(index=False, name=None))], T.StructType([*[df.schema[k] for k in keys], T.StructField("__g", T.IntegerType())]))
     named = F.broadcast(numbered.withColumnsRenamed({k: f"__key_{k}" for k in keys}))
     on = None
     for k in keys:
         same = F.col(k).eqNullSafe(F.col(f"__key_{k}"))
         on = same if on is None else on & same
-    small = rows.join(named, on, "left_anti").groupBy(*keys).applyInPandas(count, schema)
+    small = counted(rows.join(named, on, "left_anti"))
     right = _right_by_slabs(rows.join(named, on).select("__g", "p", "t").where("p is not null and t is not null and not isnan(p) and not isnan(t)"), int(huge["__n"].max()), slab_rows)
     held = sizes.join(named, on).join(right, "__g", "left")
     return small.unionByName(held.select(*keys, F.coalesce("right", F.lit(0.0)).alias("right"), (F.col("__n") * (F.col("__n") - 1) / 2).cast("double").alias("pairs"))).where("pairs > 0")
@@ -229,7 +248,7 @@ def _right_by_slabs(rows: DataFrame, n: int, slab_rows: int) -> DataFrame:
 
     def sorted_slab(a: str, b: str):
         def run(own: pd.DataFrame) -> pd.DataFrame:
-            return pd.DataFrame({"__g": [own["__g"].iloc[0]], "right": [float(concordant_pairs(own[a].to_numpy(float), own[b].to_numpy(float)))]})
+            return pd.DataFrame({"__g": [own["__g"].iloc[0]], "right": [float(concordant_pairs(own[a].to_numpy(float), own[b].to_numpy(float))[0])]})
 
         return run
 
