@@ -353,6 +353,31 @@ def test_top_k(spark, metric):
     assert retrieval.top_k(queries.limit(0), items, 3).count() == 0
 
 
+@pytest.mark.parametrize("block", [3, 1024])
+def test_in_batch_logits(spark, monkeypatch, block):
+    """Batches above and below a block, repeated and null ids, a batch of one side, vectors of other widths or without an element."""
+    monkeypatch.setattr(retrieval, "LOGIT_BLOCK", block)
+    rng = np.random.default_rng(5)
+    vec = lambda n=4: rng.integers(-3, 4, n).astype(float).tolist()
+    users = [("a", i, vec()) for i in range(11)] + [("b", 1, vec()), ("b", 1, vec()), ("b", None, vec(2)), ("c", 5, vec()), (None, 6, vec())] + [(f"s{i}", i, vec()) for i in range(20)]
+    items = [("a", i, vec()) for i in range(7)] + [("b", 2, vec()), ("b", 3, None), ("b", 4, [1.0, None, 0.0, 2.0]), ("b", 5, vec(2)), ("d", 5, vec()), (None, 6, vec())] + [(f"s{i}", -i, vec()) for i in range(20)]
+    schema = "g string, {} int, embedding array<double>"
+    got = retrieval.in_batch_logits(spark.createDataFrame(users, schema.format("user_id")), spark.createDataFrame(items, schema.format("item_id")), "g").collect()
+    dot = lambda x, y: sum(p * q for p, q in zip(x, y)) if y and len(x) == len(y) and None not in y else None
+    want = Counter((g, u, i, dot(x, y)) for g, u, x in users for h, i, y in items if g is not None and g == h)
+    assert Counter(tuple(r) for r in got) == want
+
+
+def test_in_batch_logits_of_whole_labels(spark):
+    """The query pairs all vectors of a label, not those of pieces of it."""
+    from veldt.plans import index_queries as I
+
+    d = "/root/testdata/sf0.001"
+    sizes = {r["label"]: r["count"] for r in spark.read.parquet(f"{d}/embeddings.parquet").groupBy("label").count().collect()}
+    got = I.QUERIES["in_batch_logits"](spark, d)
+    assert {r["batch"]: r["count"] for r in got.groupBy("batch").count().collect()} == {g: n * n for g, n in sizes.items()}
+
+
 def test_inverted_file_recall(spark):
     rng = np.random.default_rng(4)
     centres = rng.normal(size=(6, 8)) * 4
