@@ -5,6 +5,7 @@ import re
 import numpy as np
 import pytest
 
+from veldt.llm import components
 from veldt.llm import ngram_join as N
 from veldt.llm.components import connected_components
 from veldt.llm.session import prepare
@@ -152,3 +153,27 @@ def test_connected_components(spark):
             x, y = find(a), find(b)
             group[max(x, y)] = min(x, y)
     assert got == {x: find(x) for x in group}
+
+
+@pytest.mark.parametrize("forest_edges", [4, 60])
+def test_connected_components_of_many_tasks(spark, monkeypatch, forest_edges):
+    """Stars of several tasks, over fewer and fewer tasks or with rounds after them; loops beside and within components."""
+    prepare(spark)
+    monkeypatch.setattr(components, "FOREST_EDGES", forest_edges)
+    rng = random.Random(4)
+    edges = [(rng.randrange(200), rng.randrange(200)) for _ in range(120)] + [(1000 + i, 1001 + i) for i in range(30)] + [(2000, 2000 + i) for i in range(1, 40)] + [(5, 5), (777, 777), (1003, 1003), (None, 3)]
+    df = spark.createDataFrame(edges, "a long, b long").repartition(7)
+    one = {r["node"]: r["component"] for r in connected_components(df, "a", "b", 1).collect()}
+    assert one[1030] == 1000 and one[2039] == 2000 and one[777] == 777 and len(one) == len({x for e in edges if e[0] is not None for x in e})
+    assert {r["node"]: r["component"] for r in connected_components(df, "a", "b").collect()} == one
+    assert {r["node"]: r["component"] for r in connected_components(df, "a", "b", len(edges)).collect()} == one
+
+
+def test_components_in_few_jobs(spark):
+    """A path of 300 nodes, which takes many rounds, is no more jobs for the driver than a single edge."""
+    prepare(spark)
+    spark.sparkContext.setJobGroup("few-jobs", "")
+    got = connected_components(spark.createDataFrame([(i, i + 1) for i in range(299)], "a long, b long"), "a", "b", 300).collect()
+    jobs = spark.sparkContext.statusTracker().getJobIdsForGroup("few-jobs")
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert len(got) == 300 and {r["component"] for r in got} == {0} and len(jobs) <= 6

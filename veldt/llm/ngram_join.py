@@ -477,16 +477,15 @@ def solve_blocks(blocks: DataFrame | None, sets: DataFrame, tasks: int, percent:
     return done.unionByName(connected_components(rest, "sid", "root", rows).select(F.col("node").alias("sid"), F.col("component").alias("root")))
 
 
-def set_components(docs: DataFrame, text_col: str, k: int, percent: int, block_tokens: int) -> DataFrame:
-    """(sid, root) of every set that is linked to another set."""
-    rows = docs.count()
+def set_components(docs: DataFrame, rows: int, text_col: str, k: int, percent: int, block_tokens: int) -> DataFrame:
+    """(sid, root) of every set that is linked to another set, for documents of so many rows."""
     buckets = bucket_count(docs)
     sent = _sent(docs, text_col, k, buckets)
     shared = sent.groupBy("bucket").applyInArrow(_count_bucket(buckets), SHARED)
     ordered = saved(shared.groupBy("bucket").applyInArrow(_order_part(percent), ORDERED), rows, SETS_PER_TASK)
     postings = ordered.select("sid", F.explode("prefix").alias("token"))
     leaders = postings.groupBy("token").agg(F.min("sid").alias("leader"), F.max("sid").alias("other")).where("leader <> other").select("token", "leader")
-    edges = postings.join(leaders, "token").where("sid <> leader").select("sid", "leader").distinct()
+    edges = postings.join(leaders, "token").where("sid <> leader").select("sid", "leader")
     blocks = connected_components(edges, "sid", "leader", rows).select(F.col("node").alias("sid"), F.col("component").alias("block"))
     return solve_blocks(blocks, ordered.select("sid", "n", "tokens"), buckets, percent, block_tokens, rows)
 
@@ -506,13 +505,14 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     prepare(docs.sparkSession)
     sets = _sets_of(docs, id_col, text_col, k)
-    roots = set_components(docs, text_col, k, percent, block_tokens)
+    rows = docs.count()
+    roots = set_components(docs, rows, text_col, k, percent, block_tokens)
     # a set without shingles has no name; its documents get no root and are their own component
     named = sets.withColumn("sid", F.when(F.col("n") > 0, F.col("sid")))
     joined = named.join(small_side(roots, roots.count(), 16), "sid", "left").select("id", "row", "n", "sid", F.coalesce("root", "sid").alias("root")).checkpoint()
     lowest = joined.where("root is not null").groupBy("root").agg(F.min("id").alias("component_id"), F.count("*").alias("members")).where("members > 1")
     # stored before the join, so that a component with very many documents can be split
-    lowest = saved(lowest, docs.count())
+    lowest = saved(lowest, rows)
     out = joined.join(small_side(lowest, lowest.count(), 64), "root", "left")
     component = F.when(F.col("members").isNull(), F.col("id")).otherwise(F.col("component_id"))
     return out.select(
