@@ -73,3 +73,26 @@ def test_stream(spark, tmp_path):
     assert table(spark, f"{base}/t") == want
     play("b")  # its state was lost: the same batches are given again
     assert table(spark, f"{base}/t") == want
+
+
+@pytest.mark.parametrize("policy, decay, min_count", [("lfu", 1.0, 1), ("lru", 1.0, 2), ("distance_lfu", 0.5, 1)])
+@pytest.mark.parametrize("kind", ["int", "string"])
+def test_no_job_for_an_eviction(spark, tmp_path, monkeypatch, kind, policy, decay, min_count):
+    """A batch of many evictions costs as many jobs as one of few, also where new ids are dropped before their eviction."""
+    rng, path = random.Random(6), str(tmp_path / "t")
+    name = (lambda i: i) if kind == "int" else (lambda i: f"é{i}")
+    events = [(name(rng.choice([*range(4), *range(300)])), s) for s in range(1, 400) if not 100 < s < 130 for _ in range(rng.randrange(8))]
+    how = dict(size=6, interval=2, policy=policy, decay=decay, min_count=min_count)
+    monkeypatch.setattr(M, "HELD_BACK", 1)
+    monkeypatch.setattr(M, "evicted", lambda *_, **__: pytest.fail("an eviction is no job"))
+    for number, (a, b) in enumerate([(0, 3), (3, 350), (350, 399)]):
+        M.manage_batch(spark.createDataFrame([e for e in events if a < e[1] <= b], f"id {kind}, step int"), number, path, "id", "step", **how)
+        assert table(spark, path) == brute([e for e in events if e[1] <= b], 6, 2, policy, decay, min_count)
+
+
+def test_tables_too_large_for_a_task(spark, tmp_path, monkeypatch):
+    rng = random.Random(7)
+    events = [(rng.randrange(40), s) for s in range(1, 24) for _ in range(5)]
+    monkeypatch.setattr(M, "TASK_SIZE", 5)
+    M.manage_batch(spark.createDataFrame(events, "id int, step int"), 0, str(tmp_path / "t"), "id", "step", 6, 10, policy="distance_lfu", decay=0.5)
+    assert table(spark, str(tmp_path / "t")) == brute(events, 6, 10, "distance_lfu", 0.5, 1)

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass, field
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -127,6 +129,16 @@ def admission_score(policy: str, now: Column, decay: float = 1.0) -> Column:
     return {"lfu": F.col("cnt").cast("double"), "lru": 1.0 / age, "distance_lfu": F.col("cnt") / age}[policy]
 
 
+def admission_scores(policy: str, cnt: np.ndarray, last_step: np.ndarray, now: int, decay: float = 1.0) -> np.ndarray:
+    """admission_score of many ids within a task."""
+    if policy == "lfu":
+        return cnt.astype(float)
+    steps, at = np.unique(last_step, return_inverse=True)
+    # the same power function for every age, whatever numpy was built with
+    age = np.array([math.pow(now - s + 1.0, decay) for s in steps.tolist()])[at]
+    return {"lru": np.ones(len(cnt)), "distance_lfu": cnt}[policy] / age
+
+
 def admitted_ids(events: DataFrame, id_col: str, step_col: str, size: int, policy: str = "lfu", decay: float = 1.0, min_count: int = 1) -> DataFrame:
     """(id, cnt, last_step, score) of the ids that a managed table of `size` rows holds, by admission_score at the latest step."""
     stats = events.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.count("*").alias("cnt"), F.max(step_col).alias("last_step")).where(F.col("cnt") >= min_count)
