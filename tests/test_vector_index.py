@@ -104,6 +104,17 @@ def test_graph_of_vectors_without_clusters(spark):
     assert recall(found, exact(v, v[:40], 10, "ip"), 10) >= 0.9
     assert found.agg({"scored": "max"}).first()[0] <= 1000
 
+def test_recall_of_larger_blocks(spark):
+    """A beam that is enough for 2000 items without clusters finds far less among 8000, unless the block's own beam is wider."""
+    rng = np.random.default_rng(4)
+    for n in (2000, 8000):
+        v = rng.normal(size=(n, 48))
+        v /= np.linalg.norm(v, axis=1)[:, None]
+        items, queries = table(spark, v), table(spark, v[:50], name="query_id")
+        found = V.search(V.build_index(items, V.fit_cells(items, 1, rounds=1), "ip"), queries, 10, 1, beam=12)
+        assert recall(found, exact(v, v[:50], 10, "ip"), 10) >= 0.9
+        assert found.agg({"scored": "avg"}).first()[0] * 4 <= n
+
 
 def test_odd_tables(spark):
     """String ids, null ids and vectors, equal vectors, more results than items, one hot cell, many queries of one cell."""
