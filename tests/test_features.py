@@ -287,3 +287,20 @@ def test_training_mask(spark):
     df = spark.range(2000).select(F.lit("1").alias("x"))
     n = FeaturePlan([IdFeature("f", ["user:x"], mask_share=0.5)]).apply(df, training=True).where(F.size("f") == 0).count()
     assert 800 < n < 1200
+
+
+def test_vector_interactions_round_as_their_sql(spark, tmp_path):
+    """Numbers that round to 0 keep the sign that the SQL's have."""
+    import duckdb
+
+    from veldt.plans import catalog
+
+    tiny = 1e-4
+    vectors = [[tiny, tiny, 0, 0, -tiny, -3e-7, 0, 0, tiny, 0, 0, 0], [tiny, 0, 0, 1, tiny, 0, 0, -2e-7, 0, tiny, 0, 0], [0.5, -0.25, 0, 0, 0.1, 0.7, 0, 0, -0.3, 0, 0, 1]]
+    spark.createDataFrame([(i, v) for i, v in enumerate([[float(x) for x in v] for v in vectors])], "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+    found = catalog.QUERIES["vector_interactions"](spark, str(tmp_path))
+    want = {repr(tuple(r)) for r in con.execute(f"SELECT {', '.join(found.columns)} FROM ({catalog.ORACLE_SQL['vector_interactions']})").fetchall()}
+    assert any("-0.0," in w for w in want)
+    assert {repr(tuple(r)) for r in found.collect()} == want
