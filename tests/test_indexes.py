@@ -402,3 +402,25 @@ def test_configs(spark):
     got = configs.with_info([IdFeature(n, ["user:x"]) for n in "abcd"], info)
     assert [f.name for f in got] == ["a", "c", "d"] and got[0].buckets.boundaries == [1.0] and got[1].buckets.hash_size == 9
     assert configs.without_dropped(info).count() == 2 and len(configs.request_sample(info, 2)) == 2
+
+
+def test_cells_are_scored_in_blocks(spark, monkeypatch):
+    """Each pair of blocks is a product of its own, no table holds a row for every pair; equal scores go by id, odd vectors have none."""
+    monkeypatch.setattr(retrieval, "QUERY_BLOCK", 20)
+    monkeypatch.setattr(retrieval, "ITEM_BLOCK", 30)
+    rng = np.random.default_rng(11)
+    v = np.round(rng.normal(size=(400, 4)), 1)
+    centres = v[:5].tolist()
+    rows = [(f"i{i:03}", x.tolist()) for i, x in enumerate(v)]
+    items = spark.createDataFrame([*rows, ("odd", [1.0, None, 1.0, 1.0]), ("short", [1.0]), ("none", None), (None, [1.0] * 4)], "item_id string, embedding array<double>")
+    queries = spark.createDataFrame(rows[:50], "query_id string, embedding array<double>")
+    found = retrieval.top_k_in_cells(queries, items, 6, centres, 3, salts=2)
+    assert "Join" not in found._jdf.queryExecution().executedPlan().toString()
+    d = ((v[:, None] - np.array(centres)[None]) ** 2).sum(2)
+    near = [sorted(range(5), key=lambda c: (x[c], c)) for x in d]
+    want = set()
+    for i in range(50):
+        held = [j for j in range(400) if near[j][0] in near[i][:3]]
+        best = sorted(held, key=lambda j: (-round(float(v[i] @ v[j]), 9), j))[:6]
+        want |= {(rows[i][0], r + 1, round(float(v[i] @ v[j]), 9)) for r, j in enumerate(best)}
+    assert {(r["query_id"], r["rank"], round(r["score"], 9)) for r in found.collect()} == want
