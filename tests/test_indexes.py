@@ -424,3 +424,15 @@ def test_cells_are_scored_in_blocks(spark, monkeypatch):
         best = sorted(held, key=lambda j: (-round(float(v[i] @ v[j]), 9), j))[:6]
         want |= {(rows[i][0], r + 1, round(float(v[i] @ v[j]), 9)) for r, j in enumerate(best)}
     assert {(r["query_id"], r["rank"], round(r["score"], 9)) for r in found.collect()} == want
+
+
+def test_tree_samples_join_levels_with_negatives_only(spark):
+    """Rows of the other levels, nearly all, meet nothing but their leaf; a small level is no shuffle of its rows."""
+    nodes = spark.createDataFrame([(c - 14, c, 4) for c in range(15, 31)] + [(100 + c, c, [0, 1, 1, 2, 2, 2, 2, 3, 3, 3, 3, 3, 3, 3, 3][c]) for c in range(15)], "item_id long, tree_code long, level int")
+    positives = spark.createDataFrame([(1, 3), (1, 4), (2, 9)], "u int, i long")
+    plan = lambda negatives: sampling.tree_samples(positives, nodes, "u", "i", 2, negatives)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan({}).count("Join ") == plan({3: 0}).count("Join ") == 1
+    some = plan({2: 2, 7: 1})
+    assert some.count("Join ") == 5 and some.count("rightHint=(strategy=broadcast)") == 3
+    rows = sampling.tree_samples(positives, nodes, "u", "i", 2, {2: 2, 7: 1}).collect()
+    assert Counter((r["level"], r["label"]) for r in rows) == {(1, 1): 3, (2, 1): 3, (3, 1): 3, (4, 1): 3, (2, 0): 6}

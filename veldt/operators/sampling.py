@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from ..sources.session import stored
+from ..sources.session import small_side, stored
 from .ordering import ranked_within
 
 
@@ -228,30 +228,38 @@ def tree_samples(
     `nodes` has (item_id, tree_code, level); `negatives` the number by level.
     Negatives are distinct and not the positive itself: places of a level are
     numbered, and a row takes a run of places from a hashed start on, so the
-    join is by equal place and never meets a whole level.  With a `remain_share`
+    join is by equal place and never meets a whole level; only rows of levels
+    with negatives are joined at all.  Paths are worked out once for a leaf, not
+    for each of its positives.  With a `remain_share`
     below 1 each batch (all rows, unless a column `batch` tells them apart)
     keeps only some levels.
     """
-    leaf = nodes.select(F.col("item_id").alias(item), F.col("tree_code").alias("leaf_code"), F.col("level").alias("leaf_level"))
+    path = F.concat(F.array(F.col("tree_code").cast("bigint")), ancestors(F.col("tree_code"), branches))
+    leaf = nodes.select(F.col("item_id").alias(item), F.col("level").alias("leaf_level"), path.alias("path"))
     top = nodes.agg(F.max("level").alias("m")).first()["m"] or 0
-    path = F.concat(F.array(F.col("leaf_code").cast("bigint")), ancestors(F.col("leaf_code"), branches))
     drawn = (F.col(batch) if batch else F.lit(0)).alias("__batch")
-    rows = positives.select(user, item, drawn).join(leaf, item).select(user, item, "__batch", "leaf_level", F.posexplode(path).alias("up", "tree_code"))
+    rows = positives.select(user, item, drawn).join(leaf, item).select(user, item, "__batch", "leaf_level", F.posexplode("path").alias("up", "tree_code"))
     rows = rows.withColumn("level", F.col("leaf_level") - F.col("up")).where("tree_code > 0").drop("leaf_level", "up")
     if remain_share < 1.0:
         rows = rows.where(F.array_contains(kept_levels(top, kind, remain_share, "__batch", seed=seed + 7), F.col("level")))
     rows = rows.drop("__batch")
-    placed = stored(ranked_within(nodes.select("level", F.col("tree_code").cast("bigint").alias("tree_code")), "level", "tree_code", "tree_code", "place"))
+    positive = rows.select(user, item, "level", "tree_code", F.lit(1).alias("label"))
+    negatives = {lv: n for lv, n in negatives.items() if n > 0}
+    if not negatives:
+        return positive
+    asked_of = F.col("level").isin(*negatives)
+    placed = stored(ranked_within(nodes.where(asked_of).select("level", F.col("tree_code").cast("bigint").alias("tree_code")), "level", "tree_code", "tree_code", "place"))
     sizes = placed.groupBy("level").agg(F.count("*").alias("size"))
-    wanted = F.coalesce(F.create_map(*[F.lit(x) for lv, n in negatives.items() for x in (lv, n)])[F.col("level")], F.lit(0)) if negatives else F.lit(0)
-    own = rows.join(placed, ["level", "tree_code"]).join(F.broadcast(sizes), "level").withColumn("n", F.least(wanted, F.col("size") - 1))
+    n_placed = placed.count()
+    wanted = F.create_map(*[F.lit(x) for lv, n in negatives.items() for x in (lv, n)])[F.col("level")]
+    own = rows.where(asked_of).join(small_side(placed, n_placed), ["level", "tree_code"]).join(F.broadcast(sizes), "level").withColumn("n", F.least(wanted, F.col("size") - 1))
     start = F.floor(uniform(user, item, "level", seed=seed) * (F.col("size") - 1)).cast("bigint")
     # steps 1 .. size - 1 from the own place on reach every other place once
     step = F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("j")
     asked = own.where("n > 0").withColumn("start", start).select(user, item, "level", "place", "size", "start", step)
     asked = asked.withColumn("place", ((F.col("place") + 1 + (F.col("start") + F.col("j")) % (F.col("size") - 1)) % F.col("size")))
-    negative = asked.join(placed, ["level", "place"]).select(user, item, "level", "tree_code", F.lit(0).alias("label"))
-    return rows.select(user, item, "level", "tree_code", F.lit(1).alias("label")).unionByName(negative)
+    negative = asked.join(small_side(placed, n_placed), ["level", "place"]).select(user, item, "level", "tree_code", F.lit(0).alias("label"))
+    return positive.unionByName(negative)
 
 
 def expand_tree_samples(samples: DataFrame, users: DataFrame, nodes: DataFrame, user: str) -> DataFrame:
