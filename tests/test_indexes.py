@@ -436,3 +436,17 @@ def test_tree_samples_join_levels_with_negatives_only(spark):
     assert some.count("Join ") == 5 and some.count("rightHint=(strategy=broadcast)") == 3
     rows = sampling.tree_samples(positives, nodes, "u", "i", 2, {2: 2, 7: 1}).collect()
     assert Counter((r["level"], r["label"]) for r in rows) == {(1, 1): 3, (2, 1): 3, (3, 1): 3, (4, 1): 3, (2, 0): 6}
+
+
+def test_masked_pairs_travel_with_their_users(spark, monkeypatch):
+    """Masking within the products gives what masking the table of all pairs gives, without a join of it."""
+    monkeypatch.setattr(retrieval, "LOGIT_BLOCK", 8)
+    rng = np.random.default_rng(12)
+    rows = [(i % 3, f"n{i:02}", rng.normal(size=4).tolist() if i % 11 else None) for i in range(60)]
+    users = spark.createDataFrame([(b, i, v) for b, i, v in rows], "b int, user_id string, embedding array<float>")
+    items = users.withColumnRenamed("user_id", "item_id")
+    masked = spark.createDataFrame([(rows[rng.integers(60)][1], rows[rng.integers(60)][1]) for _ in range(400)] + [("n00", "n00"), ("n03", None), ("none", "n03")], "user_id string, item_id string").distinct()
+    found = retrieval.in_batch_logits(users, items, "b", masked=masked)
+    want = retrieval.masked_logits(retrieval.in_batch_logits(users, items, "b"), masked, ["user_id", "item_id"])
+    assert sorted(map(repr, map(tuple, found.collect()))) == sorted(map(repr, (tuple(r) for r in want.select(found.columns).collect())))
+    assert found.where("logit = -1e32").count() > 20 and found.count() == 1200
